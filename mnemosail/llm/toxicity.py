@@ -40,7 +40,7 @@ class Config:
     hi: int = 6
     buckets: int = 1 << 17
     dim: int = 8
-    span: int = 8
+    span: int = 2
     sample_toxic: int = 1500
     sample_clean: int = 2500
     rounds: int = 4
