@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, packing, token_counts, toxicity, url_filter
+from . import ann, language_id, minhash, packing, token_counts, toxicity, url_filter
 from .common import crc_mod, read_table
 
 
@@ -16,6 +16,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), minhash.Config(words=4, percent=80))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = toxicity.fit(*toxicity.labelled_sample(docs, labels, crc_mod(F.col("doc_id"), 3) != 1))
@@ -54,6 +58,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_minhash": op3_minhash,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
