@@ -115,8 +115,8 @@ def gram_hashes(h: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> np.nda
         return mix64(out)
 
 
-def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Sorted positions that hold the leftmost smallest hash of some ``w`` neighbours.
+def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
+    """For each run of ``w`` neighbours (or the one run of all, if fewer) the place of its leftmost smallest hash.
 
     The position sits in the low bits of each hash, so minima are unique and
     name their own place; 24 bits suit texts of up to 16 million words, and
@@ -133,7 +133,7 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
         width *= 2
     n = m - w + 1
     least = np.minimum(lo[:n], lo[w - width : w - width + n])
-    return np.unique(least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
