@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from functools import reduce
 
 import numpy as np
@@ -39,26 +41,77 @@ MODEL = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
 
+#: ASCII marks that may follow a word; the tokenizer's pattern parts them from letters.
+MARKS = ".,;:!?%$#&*"
+#: Letters below this sign are composed and fold case one by one, so lower() equals the tokenizer's normalizer.
+SIMPLE = "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet as a translation of Latin-1 text: printable bytes stand for themselves, the others follow from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+assert array("I").itemsize == 4 and sys.byteorder == "little"
+
+
 class ChunkEncoder:
-    """Little-endian unsigned 32-bit ids of texts, by remembered chunks."""
+    """Little-endian unsigned 32-bit ids of texts, by remembered chunks.
+
+    A chunk of simple letters and marks is one or two pre-tokens, whose ids the
+    tokenizer's model gives directly and which many chunks share; any other
+    chunk goes through the whole tokenizer.
+    """
 
-    def __init__(self, name: str = MODEL, limit: int = 500_000):
+    def __init__(self, name: str = MODEL, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(public_tokenizers.path(name)), limit
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        probe = ["hello", "\u00fcber", "gar\u00e7on", "...", "?!", "\u00f1"]
+        self.direct = all(self.part(w) == self.whole(w) for w in probe)
+
+    def whole(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def part(self, w: str) -> bytes:
+        """Ids of one pre-token."""
+        if not w.isascii():
+            w = w.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(w)]).tobytes()
+
+    def add(self, chunk: str) -> None:
+        core = chunk.rstrip(MARKS)
+        low, parts = core.lower(), self.parts
+        # letters before and after folding: capital dotted I, for one, folds to a letter and a mark
+        if self.direct and (not core or core.isalpha() and (core.isascii() or low.isalpha() and max(core) < SIMPLE)):
+            a = parts.get(low)
+            if a is None:
+                a = parts[low] = self.part(low)
+            if len(core) < len(chunk):
+                tail = chunk[len(core) :]
+                b = parts.get(tail)
+                if b is None:
+                    b = parts[tail] = self.part(tail)
+                a += b
+            self.known[chunk] = a
+        else:
+            self.known[chunk] = self.whole(chunk)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunks = [CHUNK.findall(t) if t else [] for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        new = [w for w in dict.fromkeys(w for ws in chunks for w in ws) if w not in self.known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.parts) > self.limit:
+            self.parts = {"": b""}
+        for w in set().union(*chunks).difference(self.known):
+            self.add(w)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in chunks]
 
