@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, language_id, minhash, packing, token_counts, toxicity, url_filter
+from . import ann, decontam, language_id, minhash, packing, substring, token_counts, toxicity, url_filter
 from .common import crc_mod, read_table
 
 
@@ -45,6 +45,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.remove_repeats(read_table(spark, sf_dir, "documents"), length=35))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_substring": op7_substring,
     "op8_ann": op8_ann,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
