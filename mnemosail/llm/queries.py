@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, language_id, minhash, packing, substring, token_counts, toxicity, url_filter
+from . import ann, decontam, language_id, minhash, packing, substring, suffix_dedup, token_counts, toxicity, url_filter
 from .common import crc_mod, read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per later copy of a passage of 50 words or more: its document, place, and the document that holds it earlier."""
+    docs = read_table(spark, sf_dir, "documents")
+    spans = suffix_dedup.repeated_spans(docs, length=50).select("did", F.explode("spans").alias("s"))
+    return spans.select(F.col("did").alias("doc_id"), F.col("s.start").alias("start_word"), (F.col("s.stop") - F.col("s.start")).alias("n_words"), F.col("s.source").alias("earlier_doc_id"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs).withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -65,6 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_minhash": op3_minhash,
     "op4_toxicity": op4_toxicity,
