@@ -168,20 +168,26 @@ class Benchmark:
         return [(self.ids[k], -v[1] + 0, v[0], v[2], v[3]) for k, v in sorted(best.items())]
 
 
+def benchmark_chunks(benchmark: DataFrame, c: Config, item_id: str, item_text: str):
+    """Broadcast parts of the benchmark, each of about ``chunk_windows`` windows at most."""
+    spark = session(benchmark)
+    items = benchmark.select(F.col(item_id).cast("long").alias("_item"), F.col(item_text).alias("_text")).where(F.col("_text").isNotNull())
+    # a word takes two characters at least, so this bounds the windows from above
+    size = items.agg(F.sum(F.length("_text") / 2 + 1)).first()[0] or 0
+    chunks = max(1, int(-(-size // c.chunk_windows)))
+    for k in range(chunks):
+        part = items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(chunks)) == k).toArrow()
+        rows = sorted(zip(part["_item"].to_pylist(), part["_text"].to_pylist(), strict=True), key=str)
+        yield spark.sparkContext.broadcast(Benchmark(rows, c))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start, n_words, coverage, consistency: every document and benchmark item that match."""
-    spark = session(docs)
-    small_batches(spark)
+    small_batches(session(docs))
     schema = "doc_id long, item_id long, start long, n_words long, coverage double, consistency double"
-    items = benchmark.select(F.col(item_id).cast("long").alias("_item"), F.col(item_text).alias("_text")).where(F.col("_text").isNotNull())
-    # blanks bound the number of words, and so of windows, from above for ordinary texts
-    size = items.agg(F.sum(F.length("_text") / 4 + 1)).first()[0] or 0
-    chunks = max(1, int(-(-size // c.chunk_windows)))
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     out = None
-    for k in range(chunks):
-        part = items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(chunks)) == k).toArrow()
-        shared = spark.sparkContext.broadcast(Benchmark(sorted(zip(part["_item"].to_pylist(), part["_text"].to_pylist(), strict=True), key=str), c))
+    for shared in benchmark_chunks(benchmark, c, item_id, item_text):
 
         def run(batches, shared=shared):
             bench, memo = shared.value, Memo(code)
@@ -196,3 +202,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(), do
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of ``docs``, in all their columns, that match no benchmark item."""
+    small_batches(session(docs))
+    for shared in benchmark_chunks(benchmark, c, item_id, item_text):
+
+        def run(batches, shared=shared):
+            bench, memo = shared.value, Memo(code)
+            for b in batches:
+                yield b.filter(pa.array([not (t and bench.matches(t, memo)) for t in b.column(text).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -80,14 +80,14 @@ def minhash(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, c: Config, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, s1, s2 (128-bit hash of the set), bands, sketch of each row."""
+    """doc_id, text_hash, n, s1, s2 (128-bit hash of the set), bands, sketch of each row."""
 
     def run(batches):
         memo, (mul, add) = word_memo(), constants(c.samples)
         place = np.arange(c.samples, dtype=np.uint64)
         for b in batches:
             n, s1, s2, bands, sketch = [], [], [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
+            for t in b.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(t, c.words, memo)
                 n.append(len(s))
                 if not len(s):
@@ -106,10 +106,10 @@ def features(docs: DataFrame, c: Config, doc_id: str, text: str) -> DataFrame:
                 odd = np.bincount(bit.astype(np.int64), minlength=c.bits) & 1
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs)], ["doc_id", "n", "s1", "s2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs)], ["doc_id", "text_hash", "n", "s1", "s2", "bands", "sketch"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, bands array<long>, sketch array<long>")
 
 
 def full_sets(texts: DataFrame, c: Config) -> DataFrame:
@@ -151,7 +151,7 @@ def xor_bits(a: Column, b: Column, words: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+    """doc_id, n_shingles, component_id, text_hash, kept of every row of ``docs``."""
     small_batches(session(docs))
     words = c.bits // 64
     feats = materialize(features(docs, c, doc_id, text), "features")
@@ -195,9 +195,21 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
         labels = materialize(labels.unionByName(alone).join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
 
     group = nodes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
-    out = feats.select("doc_id", "n", "s1", "s2").join(group, ["s1", "s2"], "left")
+    out = feats.select("doc_id", "text_hash", "n", "s1", "s2").join(group, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def without_near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, in all their columns, with one row of each group.
+
+    Rows with a null id come after all others of their group, and rows that
+    repeat an id and a text are one.
+    """
+    late = F.shiftrightunsigned(F.xxhash64(text, F.lit("late")), 2) + F.lit(1 << 62)
+    rows = docs.withColumns({"_key": F.coalesce(F.col(doc_id).cast("long"), late), "_hash": F.xxhash64(text)})
+    kept = near_duplicates(rows, c, "_key", text).where("kept").select(F.col("doc_id").alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    return rows.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*docs.columns)
 
 
 def candidates(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tested: DataFrame, leaders: int | None, tries: int | None, c: Config, words: int) -> DataFrame:

@@ -65,7 +65,7 @@ class ChunkEncoder:
     chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, name: str = MODEL, limit: int = 400_000):
+    def __init__(self, name: str = MODEL, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -116,6 +116,16 @@ class ChunkEncoder:
         return [b"".join(map(get, ws)) for ws in chunks]
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(name: str) -> ChunkEncoder:
+    """The worker process's encoder: what one task has remembered serves the next."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = ChunkEncoder(name)
+    return _ENCODERS[name]
+
+
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit decreasing: bin and offset of each item, and each bin's fill.
 
@@ -149,7 +159,7 @@ def tokenize_and_pack(docs: DataFrame, capacity: int, end_id: int, doc_id: str,
     """Pieces of all documents with their partition's bins (PIECES)."""
 
     def run(batches):
-        enc, end = ChunkEncoder(model), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(model), np.array([end_id], "<u4").tobytes()
         ids, piece, start, length, crc = [], [], [], [], []
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()

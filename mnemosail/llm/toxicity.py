@@ -203,6 +203,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, c: Confi
     return rows[text].tolist(), rows["_y"].tolist()
 
 
+def scorer(shared):
+    """Texts of a batch to scores, on a worker."""
+    m = shared.value
+    vocab = Vocabulary(m.u, m.config.lo, m.config.hi)
+
+    def run(texts: list[str | None]) -> np.ndarray:
+        worst = []
+        for part in groups(texts, lambda t: len(t or ""), 2_000_000):
+            words = [WORD.findall((t or "").lower()) for t in part]
+            worst += [m.worst(r[:, 0]) for r in vocab.rows(words)]
+        return m.probability(np.array(worst, float))
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score of each row, whole texts."""
     spark = session(docs)
@@ -210,13 +225,22 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        vocab = Vocabulary(m.u, m.config.lo, m.config.hi)
+        judge = scorer(shared)
         for b in batches:
-            worst = []
-            for part in groups(b.column(1).to_pylist(), lambda t: len(t or ""), 2_000_000):
-                words = [WORD.findall((t or "").lower()) for t in part]
-                worst += [m.worst(r[:, 0]) for r in vocab.rows(words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.probability(np.array(worst, float)), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(judge(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(run, "doc_id long, score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """Rows of ``docs``, in all their columns, whose score is below ``threshold``."""
+    spark = session(docs)
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        judge = scorer(shared)
+        for b in batches:
+            yield b.filter(pa.array(judge(b.column(text).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
