@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, session, small_batches
 
 LEAF = 256
 
@@ -115,6 +115,7 @@ def usable(vec: Column) -> Column:
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 20_000, min_shards: int = 24, block: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest; ``queries`` is a condition on the rows."""
+    small_batches(session(vectors))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda v: v.cast("double")).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("id").isNotNull())
     rows = materialize(rows.where(usable(F.col("v"))), "vectors")
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("int")).alias("q")).orderBy(F.desc("n"), "dim").limit(1).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -39,8 +40,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of long texts can hold in a Python worker."""
+    """Bound what one Arrow batch of long texts can hold in a Python worker, and let workers find this package.
+
+    The path serves workers that see the driver's files; clusters that ship
+    the package with the job do not need it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
