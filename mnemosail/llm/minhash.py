@@ -3,11 +3,13 @@
 1. Features. Each text becomes the set of hashes of its distinct word shingles. ``samples``
    MinHash values are taken; the first ``bands * rows`` of them form band keys,
    and all are folded into an odd sketch, a bitmap whose bits are the parities
-   of the samples that fall on them. Texts with equal sets are one node from
+   of the samples that fall on them. The set itself is folded into a second one. Texts with equal sets are one node from
    here on, so a group of copies, however large, costs one row.
 2. Candidates. Two sets are candidates if they share a band and the XOR of their
    sketches has few bits: its population count estimates their similarity, and
    the bound leaves more than five standard deviations below the threshold.
+   The XOR of the sets' own odd sketches never has more bits than the sets
+   differ in, which bounds their similarity from above without any chance.
 3. Confirmation. Links are confirmed on the full sets.
 
 A bucket is never expanded into all pairs. First every node is confirmed
@@ -48,6 +50,7 @@ class Config:
     rows: int = 3
     samples: int = 120
     bits: int = 512
+    parity: int = 1024
     far: int = 86  # XOR bits of the sketches above which a pair is no candidate
     leaders: int = 16
     tries: int = 4
@@ -80,18 +83,18 @@ def minhash(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, c: Config, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text_hash, n, s1, s2 (128-bit hash of the set), bands, sketch of each row."""
+    """doc_id, text_hash, n, s1, s2 (128-bit hash of the set), bands, sketch, own (the set's odd sketch) of each row."""
 
     def run(batches):
         memo, (mul, add) = word_memo(), constants(c.samples)
         place = np.arange(c.samples, dtype=np.uint64)
         for b in batches:
-            n, s1, s2, bands, sketch = [], [], [], [], []
+            n, s1, s2, bands, sketch, own = [], [], [], [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(t, c.words, memo)
                 n.append(len(s))
                 if not len(s):
-                    s1.append(0), s2.append(0), bands.append([]), sketch.append([])
+                    s1.append(0), s2.append(0), bands.append([]), sketch.append([]), own.append([])
                     continue
                 i = np.arange(1, len(s) + 1, dtype=np.uint64)
                 s1.append(int(mix64(s * (2 * i + np.uint64(1))).sum(dtype=np.uint64).view(np.int64)))
@@ -105,11 +108,13 @@ def features(docs: DataFrame, c: Config, doc_id: str, text: str) -> DataFrame:
                 bit = mix64(m + place * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(c.bits)
                 odd = np.bincount(bit.astype(np.int64), minlength=c.bits) & 1
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                odd = np.bincount((s >> np.uint64(7) & np.uint64(c.parity - 1)).astype(np.int64), minlength=c.parity) & 1
+                own.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs)], ["doc_id", "text_hash", "n", "s1", "s2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs), pa.array(own, longs)], ["doc_id", "text_hash", "n", "s1", "s2", "bands", "sketch", "own"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, bands array<long>, sketch array<long>, own array<long>")
 
 
 def full_sets(texts: DataFrame, c: Config) -> DataFrame:
@@ -150,26 +155,42 @@ def xor_bits(a: Column, b: Column, words: int) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, words)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
+def may_link(c: Config, x: str = "x", y: str = "y") -> Column:
+    """Candidate test on the columns nx, sx, ox and ny, sy, oy: both odd sketches allow a link."""
+    least = xor_bits(F.col(f"o{x}"), F.col(f"o{y}"), c.parity // 64)  # of the sets' difference
+    total = F.col(f"n{x}") + F.col(f"n{y}")
+    return (xor_bits(F.col(f"s{x}"), F.col(f"s{y}"), c.bits // 64) <= c.far) & (100 * (total - least) >= c.percent * (total + least))
+
+
+def as_side(nodes: DataFrame, side: str, name: str) -> DataFrame:
+    return nodes.select(*as_side_columns(side, name))
+
+
+def as_side_columns(side: str, name: str | None = None) -> list[Column]:
+    return [F.col("node").alias(name or side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"), F.col("own").alias(f"o{side}")]
+
+
 def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, text_hash, kept of every row of ``docs``."""
     small_batches(session(docs))
-    words = c.bits // 64
     feats = materialize(features(docs, c, doc_id, text), "features")
     # equal sets have equal bands and sketches: any row's stand for all
-    nodes = feats.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = feats.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), F.first("n").alias("n"))
     nodes = materialize(nodes, "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1")
     buckets = materialize(rows.join(shared, "key"), "buckets")
-    sketches = nodes.select("node", "sketch")
+    sketches = nodes.select("node", "n", "sketch", "own")
 
     # round 0: each node's best leader
     pairs = buckets.where("node <> lead").select("node", "lead").distinct()
-    x, y = sketches.select("node", F.col("sketch").alias("sx")), sketches.select(F.col("node").alias("lead"), F.col("sketch").alias("sy"))
-    pairs = pairs.join(x, "node").join(y, "lead").withColumn("bits", xor_bits(F.col("sx"), F.col("sy"), words)).where(F.col("bits") <= c.far)
+    pairs = pairs.join(as_side(sketches, "x", "node"), "node").join(as_side(sketches, "y", "lead"), "lead").where(may_link(c))
+    pairs = pairs.withColumn("bits", xor_bits(F.col("sx"), F.col("sy"), c.bits // 64))
     best = materialize(pairs.groupBy("node").agg(F.min_by("lead", F.struct("bits", "lead")).alias("lead")), "best")
     involved = buckets.select("node").distinct().join(best, "node", "left")
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text")).join(involved, "node")
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text"))
+    # both sides grow with the corpus: always a shuffle, whatever their size today
+    texts = texts.join(involved.hint("merge"), "node")
     sets = materialize(full_sets(texts, c).dropDuplicates(["node"]), "sets")
     lead_sets = sets.join(sets.where("lead is not null").select(F.col("lead").alias("node")).distinct(), "node", "left_semi")
     first = sets.where("lead is not null").select(F.col("node").alias("x"), F.col("lead").alias("y"), F.col("members").alias("mx")).join(lead_sets.select(F.col("node").alias("y"), F.col("members").alias("my")), "y")
@@ -177,7 +198,7 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
     labels = materialize(components(tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
 
     for leaders, tries in ((c.leaders, c.tries), (None, c.tries), (None, None)):
-        pairs = candidates(buckets, labels, sketches, tested, leaders, tries, c, words)
+        pairs = candidates(buckets, labels, sketches, tested, leaders, tries, c)
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             continue
@@ -212,17 +233,17 @@ def without_near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str =
     return rows.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*docs.columns)
 
 
-def candidates(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tested: DataFrame, leaders: int | None, tries: int | None, c: Config, words: int) -> DataFrame:
+def candidates(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tested: DataFrame, leaders: int | None, tries: int | None, c: Config) -> DataFrame:
     """Untested pairs (x, y) of one bucket and different components, x outside the bucket's largest."""
     rows = buckets.select("key", "node", "m").join(labels, "node", "left").select("key", "node", "m", F.coalesce("root", "node").alias("c"))
     parts = rows.groupBy("key", "c").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(F.max_by("c", F.col("size")).alias("big"), F.count("*").alias("parts")).where("parts > 1").select("key", "big")
     rows = rows.join(mixed, "key").join(sketches, "node")
     y = rows if leaders is None else rows.where(F.pmod(F.xxhash64("node", "key"), F.col("m")) < leaders)
-    x = rows.where("c <> big").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("sketch").alias("sx"))
-    y = y.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("sketch").alias("sy"))
-    bits = xor_bits(F.col("sx"), F.col("sy"), words)
-    found = x.join(y, "key").where((F.col("cx") != F.col("cy")) & (bits <= c.far)).select("x", "y", "cx", "cy", bits.alias("bits"))
+    x = rows.where("c <> big").select("key", F.col("c").alias("cx"), *as_side_columns("x"))
+    y = y.select("key", F.col("c").alias("cy"), *as_side_columns("y"))
+    bits = xor_bits(F.col("sx"), F.col("sy"), c.bits // 64)
+    found = x.join(y, "key").where((F.col("cx") != F.col("cy")) & may_link(c)).select("x", "y", "cx", "cy", bits.alias("bits"))
     found = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("cx")).otherwise(F.col("cy")).alias("cx"), F.when(F.col("x") < F.col("y"), F.col("cy")).otherwise(F.col("cx")).alias("cy"), "bits").distinct()
     done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     found = found.join(done, ["x", "y"], "left_anti")
