@@ -15,14 +15,20 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions.patterns import EXPLORATION_TOOLS, PRODUCTIVE_TOOLS, RECALL_REQUEST
 
-ORDER = Window.partitionBy("t").orderBy("raw_idx")
-WHOLE = Window.partitionBy("t")
+
+
+def in_order():
+    return Window.partitionBy("t").orderBy("raw_idx")
+
+
+def whole():
+    return Window.partitionBy("t")
 
 
 def parsed(messages: DataFrame) -> DataFrame:
     """User and assistant messages with text, numbered densely as ``i`` while raw_idx stays."""
     rows = messages.where(F.col("role").isin("user", "assistant") & (F.coalesce("text", F.lit("")) != ""))
-    return rows.withColumn("i", F.row_number().over(ORDER) - 1)
+    return rows.withColumn("i", F.row_number().over(in_order()) - 1)
 
 
 def learning_windows(messages: DataFrame, start: Column | int = 0, around: int = 2) -> DataFrame:
@@ -34,7 +40,7 @@ def learning_windows(messages: DataFrame, start: Column | int = 0, around: int =
     user = F.col("role") == "user"
     rows = rows.withColumn("fix", user & T.is_correction(F.col("text"))).withColumn("rule", user & T.is_instruction(F.col("text")))
     line = F.concat(F.initcap("role"), F.lit(": "), F.substring("text", 1, 300))
-    near = ORDER.rowsBetween(-around, around)
+    near = in_order().rowsBetween(-around, around)
     ctx = F.collect_list(F.struct("i", line.alias("line"))).over(near)
     tag = F.when(F.col("fix"), "CORRECTION").when(F.col("rule"), "INSTRUCTION")
     centres = rows.withColumn("ctx", ctx).withColumn("tag", tag).where(F.col("tag").isNotNull() & (F.col("raw_idx") >= start))
@@ -58,12 +64,12 @@ def annotated(messages: DataFrame) -> DataFrame:
             "recalls": asst & F.exists(tools, lambda b: F.coalesce(F.lower(b["call"]["tool"]).contains("recall"), F.lit(False))),
             "fix": (F.col("role") == "user") & T.is_correction(F.col("text")),
             "asks": (F.col("role") == "user") & F.coalesce(F.col("text").rlike("(?iU)" + RECALL_REQUEST), F.lit(False)),
-            "turn": F.sum(asst.cast("int")).over(ORDER),
-            "running": F.sum("chars").over(ORDER),
-            "messages": F.count("*").over(WHOLE),
+            "turn": F.sum(asst.cast("int")).over(in_order()),
+            "running": F.sum("chars").over(in_order()),
+            "messages": F.count("*").over(whole()),
         }
     )
-    place = F.min(F.when(F.col("n_productive") > 0, F.col("raw_idx"))).over(WHOLE)
+    place = F.min(F.when(F.col("n_productive") > 0, F.col("raw_idx"))).over(whole())
     rows = rows.withColumn("productive_at", place)
     # tools of the first productive message count up to its first productive tool
     lead_in = F.slice(tools, 1, F.greatest(F.coalesce(F.array_position(F.transform(tools, productive), True), F.lit(1)) - 1, F.lit(0)).cast("int"))
@@ -74,7 +80,7 @@ def annotated(messages: DataFrame) -> DataFrame:
 def facts(messages: DataFrame, banks: list[str], least: int = 6) -> DataFrame:
     """One row of metrics per session of ``least`` messages or more."""
     rows = annotated(messages).where(F.col("messages") >= least)
-    total = F.sum("chars").over(WHOLE)
+    total = F.sum("chars").over(whole())
     fixes = Window.partitionBy("t", "fix").orderBy("raw_idx")
     rows = rows.withColumn("total", total)
     segment = F.lead("running", 1).over(fixes)
@@ -113,7 +119,7 @@ def facts(messages: DataFrame, banks: list[str], least: int = 6) -> DataFrame:
 def consumption(messages: DataFrame) -> DataFrame:
     """Token use per session with two user messages or more; corrections cost their own text and the answer before them."""
     user, asst = F.col("role") == "user", F.col("role") == "assistant"
-    rows = messages.withColumn("segment", F.sum(user.cast("int")).over(ORDER))
+    rows = messages.withColumn("segment", F.sum(user.cast("int")).over(in_order()))
     # a user message belongs to the segment it ends: the one before its own count
     rows = rows.withColumn("segment", F.col("segment") - user.cast("int"))
     back = Window.partitionBy("t", "segment").orderBy("raw_idx").rowsBetween(Window.unboundedPreceding, -1)
