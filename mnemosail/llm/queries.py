@@ -24,7 +24,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), minhash.Config(words=4, percent=80))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), minhash.Config(words=4, percent=80)).drop("text_hash")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
+OP3_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda p: array_to_string(ws[p:p+3], ' ')) END) AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * shared >= 80 * (len(sa.sh) + len(sb.sh) - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id AS doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.a = s.doc_id"""
+
+OP7_SQL = f"""WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text,'')")} AS ws FROM documents),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p+34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS p FROM w WHERE len(ws) >= 35)),
+rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+tok AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+hit AS (SELECT tok.doc_id, word, i, max(rep.p) OVER (PARTITION BY tok.doc_id ORDER BY i) AS last FROM tok LEFT JOIN rep ON rep.doc_id = tok.doc_id AND rep.p = i),
+k AS (SELECT doc_id, count(*) FILTER (last > i - 35) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (coalesce(last <= i - 35, true)) AS kept FROM hit GROUP BY 1)
+SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+#: The others train models, follow links or call tokenizers; tests hold them against brute force.
+SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op7_substring": OP7_SQL}
