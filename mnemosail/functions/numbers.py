@@ -51,7 +51,7 @@ def age_label(hours: Column) -> Column:
         F.when(hours.isNull(), "—")
         .when(hours < 1, "<1h")
         .when(hours < 24, F.concat(F.bround(hours, 0).cast("int").cast("string"), F.lit("h")))
-        .otherwise(F.format_string("%.1fd", hours / 24))
+        .otherwise(F.format_string("%.1fd", F.bround(hours / 24, 1)))
     )
 
 

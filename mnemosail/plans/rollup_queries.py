@@ -57,22 +57,27 @@ def _(i: Inputs):
     return served(i).groupBy("server").agg(n.alias("recalls"), h.alias("hits"), F.round(1 - F.try_divide(h.cast("double"), n.cast("double")), 3).alias("empty_rate"), N.ratio(F.sum(F.col("chars") % 5), n, 4).alias("writes_per_search"))
 
 
-DAILY = "daily AS (SELECT CAST(ts AS DATE) AS day, 'p'||(user_id%2) AS project, count(*) AS sessions, count(*) FILTER (value>50) AS with_recall, count(*) FILTER (value<=50) AS without_recall, round(avg(event_id%9),2) AS avg_corrections, round(avg(value),2) AS avg_tokens, CASE WHEN day(ts)%3=0 THEN NULL ELSE round(avg(value)/10,1) END AS reduction, CASE WHEN day(ts)%5=0 THEN NULL ELSE '2024-01-0'||(day(ts)%7+1) END AS epoch FROM events GROUP BY CAST(ts AS DATE), day(ts), user_id%2)"
+# Means are cut to whole hundredths of integers, so both engines have the same inputs to roll up.
+DAILY = """daily AS (SELECT CAST(ts AS DATE) AS day, 'p'||(user_id%2) AS project, count(*) AS sessions, count(*) FILTER (value>50) AS with_recall, count(*) FILTER (value<=50) AS without_recall,
+  (CAST(sum(event_id%9) AS BIGINT)*100//count(*))/100.0::DOUBLE AS avg_corrections, (CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT)//count(*))/100.0::DOUBLE AS avg_tokens,
+  CASE WHEN day(ts)%3=0 THEN NULL ELSE (CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT)//count(*)//100)/10.0::DOUBLE END AS reduction, CASE WHEN day(ts)%5=0 THEN NULL ELSE '2024-01-0'||(day(ts)%7+1) END AS epoch
+  FROM events GROUP BY CAST(ts AS DATE), day(ts), user_id%2)"""
 
 
 def daily(i: Inputs):
     """Daily reports per project, made from events."""
-    v, d = F.col("value"), F.dayofmonth("day")
+    v, d, n = F.col("value"), F.dayofmonth("day"), F.count("*")
+    cents = F.floor(F.sum(F.round(v * 100).cast("long")) / n)
     g = i.table("events").groupBy(F.to_date("ts").alias("day"), F.concat(F.lit("p"), (F.col("user_id") % 2).cast("string")).alias("project")).agg(
-        F.count("*").alias("sessions"), F.count(F.when(v > 50, 1)).alias("with_recall"), F.count(F.when(v <= 50, 1)).alias("without_recall"), F.round(F.avg(F.col("event_id") % 9), 2).alias("avg_corrections"), F.round(F.avg(v), 2).alias("avg_tokens"), F.round(F.avg(v) / 10, 1).alias("_r")
+        n.alias("sessions"), F.count(F.when(v > 50, 1)).alias("with_recall"), F.count(F.when(v <= 50, 1)).alias("without_recall"), (F.floor(F.sum(F.col("event_id") % 9) * 100 / n) / 100).alias("avg_corrections"), (cents / 100).alias("avg_tokens"), (F.floor(cents / 100) / 10).alias("_r")
     )
     return g.withColumns({"reduction": F.when(d % 3 != 0, F.col("_r")), "epoch": F.when(d % 5 != 0, F.concat(F.lit("2024-01-0"), (d % 7 + 1).cast("string")))}).drop("_r")
 
 
-@query("agg_weighted_rollup", f"WITH {DAILY} SELECT project, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(with_recall) AS BIGINT) AS with_recall, CAST(sum(without_recall) AS BIGINT) AS without_recall, round(sum(avg_corrections*sessions)/sum(sessions),4) AS avg_corrections, round(sum(avg_tokens*sessions)/sum(sessions),4) AS avg_tokens, round(avg(reduction),1) AS avg_reduction_pct, round(sum(with_recall)::DOUBLE/(sum(with_recall)+sum(without_recall))*100,1) AS adoption_pct FROM daily GROUP BY 1")
+@query("agg_weighted_rollup", f"WITH {DAILY} SELECT project, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(with_recall) AS BIGINT) AS with_recall, CAST(sum(without_recall) AS BIGINT) AS without_recall, round(sum(avg_corrections*sessions)/sum(sessions),4) AS avg_corrections, round(sum(avg_tokens*sessions)/sum(sessions),4) AS avg_tokens, round(avg(reduction),4) AS avg_reduction_pct, round(sum(with_recall)::DOUBLE/(sum(with_recall)+sum(without_recall))*100,1) AS adoption_pct FROM daily GROUP BY 1")
 def _(i: Inputs):
     w, wo = F.sum("with_recall"), F.sum("without_recall")
-    return daily(i).groupBy("project").agg(F.sum("sessions").alias("sessions"), w.alias("with_recall"), wo.alias("without_recall"), R.weighted("avg_corrections", "sessions").alias("avg_corrections"), R.weighted("avg_tokens", "sessions").alias("avg_tokens"), F.round(F.avg("reduction"), 1).alias("avg_reduction_pct"), N.percent(w, w + wo).alias("adoption_pct"))
+    return daily(i).groupBy("project").agg(F.sum("sessions").alias("sessions"), w.alias("with_recall"), wo.alias("without_recall"), R.weighted("avg_corrections", "sessions").alias("avg_corrections"), R.weighted("avg_tokens", "sessions").alias("avg_tokens"), F.round(F.avg("reduction"), 4).alias("avg_reduction_pct"), N.percent(w, w + wo).alias("adoption_pct"))
 
 
 @query("agg_weekly_trend", f"WITH {DAILY} SELECT strftime(day,'%G-W%V') AS week, CAST(sum(sessions) AS BIGINT) AS sessions, round(sum(avg_corrections*sessions)/sum(sessions),4) AS avg_corrections, round(sum(avg_tokens*sessions)/sum(sessions),4) AS avg_tokens FROM daily WHERE sessions>0 GROUP BY 1")
