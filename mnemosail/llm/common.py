@@ -46,7 +46,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     the package with the job do not need it.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    env = spark.sparkContext.environment
+    env.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    # workers outlive their tasks: what a task frees goes back to the system, not to a pool
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "1")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", "1000000")
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", "1000000")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

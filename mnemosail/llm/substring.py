@@ -7,19 +7,21 @@ are removed. Counting all windows exactly would shuffle every one of them.
    smallest hash among its ``gram``-word runs. Neighbouring windows mostly
    share it, so there are some ten times fewer grams than windows, and a gram is
    at least as frequent as any window it was selected in. Each partition
-   counts its grams in a count-min sketch of two rows; sketches are merged block by block by
-   saturating addition, and what remains of a cell is one bit: counted twice or more. The sketch
-   has ``2 ** cells`` cells a row whatever the input, and so has its broadcast.
+   counts its grams in a count-min sketch of two rows; sketches are merged by
+   addition, block by block, and what is sent out of a cell is one bit: counted
+   twice or more. A few cells of each block, the largest of those over ``heavy``, are listed
+   as heavy. The sketch has ``2 ** cells`` cells a row whatever the input, and so has its broadcast.
 2. Exact count. A second pass groups only windows whose gram both rows
    estimate as repeated. The estimate never falls short, so no repeated window
-   is lost. Windows that repeat within a task are settled there and only announced, so a
-   window reaches its group once per task at most, however frequent it is.
+   is lost. Neighbouring windows travel together, dealt by their gram; those of heavy grams
+   travel alone, dealt by themselves. Windows that repeat within a task are settled there and only
+   announced, so a window reaches its group once per task at most, however frequent it is.
 3. Removal. Repeated starts meet their document, its words are marked and cut.
 
 If an input has many more grams than cells, estimates saturate: the result
 stays exact and the second pass groups more windows. ``cells`` is the knob.
 
-Windows are compared by 96 bits of two independent hashes. Null texts have no words. Rows are
+Windows are compared by 80 bits of two independent hashes. Null texts have no words. Rows are
 matched to their starts by id and text hash, so null ids and repeated rows
 are safe; a repeated row makes its own windows repeated.
 """
@@ -30,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import gram_hashes, mix64, session, small_batches, window_argmin, word_hashes, word_memo
 
@@ -57,8 +58,8 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("id"), t.alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(t, F.lit("id"))).alias("did"), F.hash(t).alias("th"))
 
 
-def sketch(docs: DataFrame, length: int, gram: int, cells: int, text: str = "text") -> list[np.ndarray]:
-    """Per row of the merged count-min sketch a packed bitmap: cells counted twice or more."""
+def sketch(docs: DataFrame, length: int, gram: int, cells: int, heavy: int, text: str = "text", most: int = 2048) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per row of the merged count-min sketch a packed bitmap of cells counted twice or more, and the sorted heavy cells."""
     block = min(BLOCK, cells)
     blocks = 1 << (cells - block)
 
@@ -73,9 +74,12 @@ def sketch(docs: DataFrame, length: int, gram: int, cells: int, text: str = "tex
                 at = np.searchsorted(c >> np.uint64(block), np.arange(blocks + 1, dtype=np.uint64))
                 low = (c & np.uint64((1 << block) - 1)).astype("<u4")
                 some = np.flatnonzero(np.diff(at))
-                ones = [low[at[k] : at[k + 1]][total[at[k] : at[k + 1]] == 1].tobytes() for k in some]
-                twos = [low[at[k] : at[k + 1]][total[at[k] : at[k + 1]] > 1].tobytes() for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some * 2 + row, pa.int32()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], ["block", "ones", "twos"])
+                ones, more = [], []
+                for k in some:
+                    x, t = low[at[k] : at[k + 1]], total[at[k] : at[k + 1]]
+                    ones.append(x[t == 1].tobytes())
+                    more.append(np.stack([x[t > 1], t[t > 1].astype("<u4")]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(some * 2 + row, pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], ["block", "ones", "more"])
 
         for b in batches:
             for t in b.column(0).cast(pa.binary()).to_pylist():
@@ -85,73 +89,114 @@ def sketch(docs: DataFrame, length: int, gram: int, cells: int, text: str = "tex
                 if len(at):
                     held.append(g[np.unique(at)])
                     size += len(held[-1])
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         yield from out()
                         held, size = [], 0
         if held:
             yield from out()
 
     def merge(batches):
-        dense: dict[int, np.ndarray] = {}
+        at, total = None, np.zeros(1 << block, np.int64)
+
+        def out():
+            top = np.flatnonzero(total > heavy)
+            top = np.sort(top[np.argsort(-total[top], kind="stable")[:most]])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total > 1).tobytes()], pa.binary()), pa.array([top.astype("<u4").tobytes()], pa.binary())], ["block", "bits", "heavy"])
+
         for b in batches:
-            for k, ones, twos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                cnt = dense.setdefault(k, np.zeros(1 << block, np.uint8))
-                at = np.frombuffer(ones, "<u4")
-                cnt[at] = np.minimum(cnt[at] + 1, 2)
-                cnt[np.frombuffer(twos, "<u4")] = 2
-        for k, cnt in dense.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(cnt > 1).tobytes()], pa.binary())], ["block", "bits"])
-
-    parts = docs.select(text).mapInArrow(count, "block int, ones binary, twos binary")
-    merged = parts.repartition("block").mapInArrow(merge, "block int, bits binary").collect()  # fixed size: the sketch
-    out = [np.zeros((1 << cells) // 8, np.uint8) for _ in ROW_SEEDS]
+            for k, ones, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield out()
+                        total[:] = 0
+                    at = k
+                total[np.frombuffer(ones, "<u4")] += 1
+                x, n = np.frombuffer(more, "<u4").reshape(2, -1)
+                total[x] += n
+        if at is not None:
+            yield out()
+
+    parts = docs.select(text).mapInArrow(count, "block int, ones binary, more binary")
+    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary, heavy binary").collect()  # of fixed size
+    maps = [np.zeros((1 << cells) // 8, np.uint8) for _ in ROW_SEEDS]
+    tops: list[list[np.ndarray]] = [[], []]
     step = (1 << block) // 8
-    for k, bits in merged:
-        out[k % 2][k // 2 * step : (k // 2 + 1) * step] = np.frombuffer(bits, np.uint8)
-    return out
+    for k, bits, top in merged:
+        maps[k % 2][k // 2 * step : (k // 2 + 1) * step] = np.frombuffer(bits, np.uint8)
+        tops[k % 2].append(np.frombuffer(top, "<u4").astype(np.uint64) + (np.uint64(k // 2) << np.uint64(block)))
+    return maps, [np.sort(np.concatenate(t)) if t else np.empty(0, np.uint64) for t in tops]
 
 
-def estimated_repeated(grams: np.ndarray, bitmaps: list[np.ndarray], cells: int) -> np.ndarray:
+def estimated_repeated(grams: np.ndarray, maps: list[np.ndarray], cells: int) -> np.ndarray:
     ok = np.ones(len(grams), bool)
-    for row, bits in enumerate(bitmaps):
+    for row, bits in enumerate(maps):
         c = cell(grams, row, cells)
         ok &= (bits[c >> np.uint64(3)] >> (np.uint8(7) - (c & np.uint64(7)).astype(np.uint8))) & 1 == 1
     return ok
 
 
-def repeated_windows(rows: DataFrame, bitmaps, length: int, gram: int, cells: int, flush: int) -> DataFrame:
+def estimated_heavy(grams: np.ndarray, tops: list[np.ndarray], cells: int) -> np.ndarray:
+    ok = np.ones(len(grams), bool)
+    for row, top in enumerate(tops):
+        if not len(top):
+            return np.zeros(len(grams), bool)
+        c = cell(grams, row, cells)
+        ok &= top[np.minimum(np.searchsorted(top, c), len(top) - 1)] == c
+    return ok
+
+
+MARK = np.dtype([("h", "<u8"), ("c", "<u2")])
+
+
+def blobs(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Runs ``data[edges[k]:edges[k + 1]]`` as binary values."""
+    raw = np.ascontiguousarray(data)
+    offsets = (edges * raw.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def repeated_windows(rows: DataFrame, shared, length: int, gram: int, cells: int, flush: int) -> DataFrame:
     """(did, th, starts): starts of repeated windows, packed, from ``keyed`` rows; a row of ``rows`` may have several."""
-    schema = "h long, chk int, weight int, did long, th int, starts binary"
+    # k: what deals the row; marks: hashes of consecutive windows from pos on, or of announced ones (no did); starts: settled ones
+    schema = "k long, did long, th int, pos int, marks binary, starts binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def flagged(batches):
-        maps, memo = bitmaps.value, word_memo()
-        docs, hashes, checks, owner, place, size = [], [], [], [], [], 0
+        (maps, tops), memo = shared.value, word_memo(200_000)
+        docs, marks, keys, owner, place, size = [], [], [], [], [], 0
+
+        def batch(k, did, th, pos, marks, starts):
+            n = len(k)
+            cols = [pa.array(k.view(np.int64)), did, th, pos, marks, starts]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
         def out():
-            h, c, o, p = map(np.concatenate, (hashes, checks, owner, place))
-            order = np.lexsort((c, h))
-            h, c, o, p = h[order], c[order], o[order], p[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-            n = np.diff(np.concatenate([first, [len(h)]]))
+            m, k, o, p = map(np.concatenate, (marks, keys, owner, place))
+            order = np.lexsort((m["c"], m["h"]))
+            s = m[order]
+            new = np.concatenate([[True], (s["h"][1:] != s["h"][:-1]) | (s["c"][1:] != s["c"][:-1])])
+            group = np.cumsum(new) - 1
+            n = np.bincount(group)
+            many = np.empty(len(m), bool)
+            many[order] = n[group] > 1
             did, th = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int32)
-            one = first[n == 1]
-            many = first[n > 1]
-            yield batch(h[one], c[one], 1, did[o[one]], th[o[one]], pa.FixedSizeBinaryArray.from_buffers(pa.binary(4), len(one), [None, pa.py_buffer(p[one].astype("<u4").tobytes())]).cast(pa.binary()) if len(one) else None)
-            yield batch(h[many], c[many], 2, None, None, None)
-            settled = np.repeat(n > 1, n)
-            o, p = o[settled], p[settled]
-            order = np.lexsort((p, o))
-            o, p = o[order], p[order].astype("<u4")
-            edge = np.searchsorted(o, np.arange(len(docs) + 1))
-            some = np.flatnonzero(np.diff(edge))
-            starts = [p[edge[k] : edge[k + 1]].tobytes() for k in some]
-            spread = mix64(did[some].view(np.uint64)).view(np.int64)
-            yield batch(spread, np.full(len(some), -1, np.int64), 0, did[some], th[some], pa.array(starts, pa.binary()))
-
-        def batch(h, c, weight, did, th, starts):
-            n = len(h)
-            void = lambda kind: pa.nulls(n, kind)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(np.full(n, weight, np.int32)), void(pa.int64()) if did is None else pa.array(did), void(pa.int32()) if th is None else pa.array(th), void(pa.binary()) if starts is None else starts], [x.split()[0] for x in schema.split(", ")])
+            # unsettled windows: runs of one document, one gram and consecutive places
+            at = np.flatnonzero(~many)
+            if len(at):
+                cut = (np.diff(o[at]) != 0) | (np.diff(p[at]) != 1) | (k[at][1:] != k[at][:-1])
+                edges = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(at)]])
+                first = at[edges[:-1]]
+                yield batch(k[first], did[o[first]], th[o[first]], p[first].astype(np.int32), blobs(m[at], edges), None)
+            if many.any():
+                said = order[np.flatnonzero(new)[n > 1]]  # one announcement of each window that repeats here
+                said = said[np.argsort(k[said], kind="stable")]
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(k[said].view(np.int64)) != 0) + 1, [len(said)]])
+                yield batch(k[said[edges[:-1]]], None, None, None, blobs(m[said], edges), None)
+                at = np.flatnonzero(many)
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(o[at]) != 0) + 1, [len(at)]])
+                who = o[at[edges[:-1]]]
+                yield batch(mix64(did[who].view(np.uint64)), did[who], th[who], None, None, blobs(p[at].astype("<u4"), edges))
 
         for b in batches:
             for t, did, th in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -164,22 +209,59 @@ def repeated_windows(rows: DataFrame, bitmaps, length: int, gram: int, cells: in
                 p = np.flatnonzero(estimated_repeated(g[picked], maps, cells)[inv])
                 if not len(p):
                     continue
-                hashes.append(gram_hashes(h, length)[p])
-                checks.append((gram_hashes(h, length, CHECK_SEED)[p] >> np.uint64(33)).astype(np.int64))
-                owner.append(np.full(len(p), len(docs)))
-                place.append(p)
+                m = np.empty(len(p), MARK)
+                m["h"], m["c"] = gram_hashes(h, length)[p], gram_hashes(h, length, CHECK_SEED)[p] >> np.uint64(48)
+                k = np.where(estimated_heavy(g[picked], tops, cells)[inv][p], m["h"], g[at[p]])
+                marks.append(m), keys.append(k), owner.append(np.full(len(p), len(docs), np.int32)), place.append(p.astype(np.int32))
                 docs.append((did, th))
                 size += len(p)
                 if size > flush:
                     yield from out()
-                    docs, hashes, checks, owner, place, size = [], [], [], [], [], 0
+                    docs, marks, keys, owner, place, size = [], [], [], [], [], 0
         if docs:
             yield from out()
 
+    def counted(batches):
+        held: list[tuple] = []
+        size = 0
+
+        def out(part):
+            data = [np.frombuffer(r[4], MARK) for r in part]
+            n = np.fromiter(map(len, data), np.int64, len(data))
+            m = np.concatenate(data)
+            said = np.fromiter((r[1] is None for r in part), bool, len(part))
+            order = np.lexsort((m["c"], m["h"]))
+            s = m[order]
+            new = np.concatenate([[True], (s["h"][1:] != s["h"][:-1]) | (s["c"][1:] != s["c"][:-1])])
+            group = np.cumsum(new) - 1
+            weight = np.bincount(group, weights=np.where(np.repeat(said, n)[order], 2, 1))
+            hit = np.empty(len(m), bool)
+            hit[order] = weight[group] > 1
+            edge = np.concatenate([[0], np.cumsum(n)])
+            found = [(r[1], r[2], (np.flatnonzero(hit[edge[k] : edge[k + 1]]) + r[3]).astype("<u4").tobytes()) for k, r in enumerate(part) if not said[k] and hit[edge[k] : edge[k + 1]].any()]
+            if found:
+                yield result(*zip(*found, strict=True))
+
+        def result(did, th, starts):
+            return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int32()), pa.array(starts, pa.binary())], ["did", "th", "starts"])
+
+        for b in batches:
+            rows_ = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            settled = [(r[1], r[2], r[5]) for r in rows_ if r[5] is not None]
+            if settled:
+                yield result(*zip(*settled, strict=True))
+            for r in rows_:
+                if r[4] is not None:
+                    if size > 200_000 and r[0] != held[-1][0]:
+                        yield from out(held)
+                        held, size = [], 0
+                    held.append(r)
+                    size += len(r[4]) // MARK.itemsize
+        if held:
+            yield from out(held)
+
     found = rows.select("text", "did", "th").mapInArrow(flagged, schema)
-    total = F.sum("weight").over(Window.partitionBy("h", "chk"))
-    counted = found.withColumn("total", total).where(F.col("did").isNotNull() & ((F.col("weight") == 0) | (F.col("total") > 1)))
-    return counted.select("did", "th", "starts")
+    return found.repartition("k").sortWithinPartitions("k").mapInArrow(counted, "did long, th int, starts binary")
 
 
 def cut(rows: DataFrame, starts: DataFrame, length: int) -> DataFrame:
@@ -215,13 +297,13 @@ def cut(rows: DataFrame, starts: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 16, cells: int = 27, flush: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 16, cells: int = 27, heavy: int = 2_000, flush: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (UTF-8 bytes of the words left, one space between) of every row."""
     spark = session(docs)
     small_batches(spark)
     rows = keyed(docs, doc_id, text)
-    bitmaps = spark.sparkContext.broadcast(sketch(docs, length, gram, cells, text))
-    return cut(rows, repeated_windows(rows, bitmaps, length, gram, cells, flush), length).withColumnRenamed("id", "doc_id")
+    shared = spark.sparkContext.broadcast(sketch(docs, length, gram, cells, heavy, text))
+    return cut(rows, repeated_windows(rows, shared, length, gram, cells, flush), length).withColumnRenamed("id", "doc_id")
 
 
 def digest(df: DataFrame) -> DataFrame:
