@@ -65,7 +65,7 @@ class ChunkEncoder:
     chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, name: str = MODEL, limit: int = 800_000):
+    def __init__(self, name: str = MODEL, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
