@@ -47,6 +47,7 @@ class Config:
     epochs: int = 2
     batch: int = 512
     rate: float = 0.15
+    keep: float = 0.6
     seed: int = 7
 
 
@@ -122,6 +123,8 @@ def fit(texts: list[str], labels: list[int], c: Config = Config()) -> Model:
         bucket = where[at]
         seg = np.repeat(np.repeat(np.arange(len(batch)), n), grams)
         coef = np.repeat(1 / (grams * np.repeat(n, n)), grams).astype(np.float32)
+        # left-out n-grams teach the others to do without them, as in words never seen
+        coef *= (rng.random(len(coef)) < c.keep) / np.float32(c.keep)
         edges = np.searchsorted(seg, np.arange(len(batch)))
         x = np.add.reduceat(emb[bucket] * coef[:, None], edges, axis=0)
         z = x @ w + b
