@@ -17,13 +17,13 @@ def hits_by(calls: DataFrame, *keys: str | Column) -> DataFrame:
 
 
 def hits_cube(calls: DataFrame) -> DataFrame:
-    """The three call rollups (by server, by bank, by day and server) in one pass, told apart by ``level``."""
-    calls.createOrReplaceTempView("_calls")
-    out = calls.sparkSession.sql("""
-      SELECT CASE grouping_id(server, bank, day) WHEN 3 THEN 'server' WHEN 5 THEN 'bank' ELSE 'day' END AS level, day, server, bank,
-             count(*) AS calls, sum(CAST(hit AS INT)) AS hits, count(*) - sum(CAST(hit AS INT)) AS misses, round(sum(CAST(hit AS INT)) / count(*), 3) AS hit_rate
-      FROM _calls GROUP BY GROUPING SETS ((server), (bank), (day, server)) HAVING NOT (grouping_id(server, bank, day) = 5 AND bank IS NULL)""")
-    return out
+    """The three call rollups (by server, by bank, by day and server) in one pass over the log, told apart by ``level``."""
+    n, hit = F.count("*"), F.sum(F.col("hit").cast("int"))
+    server, bank, day = (F.col(c) for c in ("server", "bank", "day"))
+    sets = calls.groupingSets([[server], [bank], [day, server]], server, bank, day)
+    out = sets.agg(F.grouping_id().alias("_g"), n.alias("calls"), hit.alias("hits"), (n - hit).alias("misses"), N.ratio(hit, n, 3).alias("hit_rate"))
+    level = F.when(F.col("_g") == 3, "server").when(F.col("_g") == 5, "bank").otherwise("day")
+    return out.where((F.col("_g") != 5) | bank.isNotNull()).select(level.alias("level"), "day", "server", "bank", "calls", "hits", "misses", "hit_rate")
 
 
 def mean(c: str, when: Column, digits: int = 2) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from .sized import broadcast_if_small
 
 POOL, RRF_K = 3, 60
 
@@ -66,6 +67,6 @@ def search(chunks: DataFrame, query_vector: DataFrame, query: str, limit: int =
 
 
 def nearest_seed(rows: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
-    """id, best, candidate: similarity to the closest seed. seeds: a bounded set, sent to all tasks."""
-    scored = rows.crossJoin(F.broadcast(seeds)).groupBy("id").agg(F.max(V.cosine(F.col("embedding"), F.col("seed"))).alias("best"))
+    """id, best, candidate: similarity to the closest seed. seeds: few; broadcast if their number allows."""
+    scored = rows.crossJoin(broadcast_if_small(seeds, 10_000)).groupBy("id").agg(F.max(V.cosine(F.col("embedding"), F.col("seed"))).alias("best"))
     return scored.withColumn("candidate", F.col("best") >= threshold)

@@ -1,0 +1,16 @@
+"""Broadcasts whose size is checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SMALL = 100_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``most`` rows or fewer; else as it is, and the join shuffles.
+
+    Counting stops at ``most`` + 1 rows.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

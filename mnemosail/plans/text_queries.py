@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import patterns as P
 from ..functions import text as T
+from ..operators.sized import broadcast_if_small
 from .inputs import CALL, FACT, MSG, SERVER, Inputs
 from .registry import query
 
@@ -235,7 +236,7 @@ def _(i: Inputs):
 def _(i: Inputs):
     b = i.table("benchmark").select("item_id", F.substring("text", 1, 40).alias("needle"))
     d = i.table("documents")
-    return d.join(F.broadcast(b), d.text.contains(b.needle)).select("doc_id", "item_id")
+    return d.join(broadcast_if_small(b), d.text.contains(b.needle)).select("doc_id", "item_id")
 
 
 WS = "regexp_replace({0}, '\\s+', ' ', 'g')"
@@ -245,7 +246,7 @@ WS = "regexp_replace({0}, '\\s+', ' ', 'g')"
 def _(i: Inputs):
     b = i.table("benchmark").select("item_id", T.squeeze(F.substring("text", 1, 60)).alias("needle"))
     d = i.table("documents").select("doc_id", T.squeeze(F.col("text")).alias("hay"))
-    return d.join(F.broadcast(b), F.col("hay").contains(F.col("needle"))).select("doc_id", "item_id")
+    return d.join(broadcast_if_small(b), F.col("hay").contains(F.col("needle"))).select("doc_id", "item_id")
 
 
 @query("fn_extract_json", "SELECT event_id, CASE WHEN event_id%2=0 THEN CAST(json_extract(props,'$.k') AS BIGINT) END AS k FROM events")
