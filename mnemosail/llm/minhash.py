@@ -25,7 +25,8 @@ probability 6e-7.
 
 Empty and null texts have the empty set and link with nothing. Rows with a null
 id belong to their text's group (its id, if any row has one). Rows that repeat
-an id are judged each by its own text. Ties fall to the smaller id.
+an id are judged each by its own text; where that id is the smallest of two groups, these are one
+component. Ties fall to the smaller id.
 """
 
 from __future__ import annotations
@@ -175,7 +176,7 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
     small_batches(session(docs))
     feats = materialize(features(docs, c, doc_id, text), "features")
     # equal sets have equal bands and sketches: any row's stand for all
-    nodes = feats.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), F.first("n").alias("n"))
+    nodes = feats.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), F.first("n").alias("n"), F.min_by("text_hash", "doc_id").alias("text_hash"))
     nodes = materialize(nodes, "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1")
@@ -187,11 +188,11 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
     pairs = pairs.join(as_side(sketches, "x", "node"), "node").join(as_side(sketches, "y", "lead"), "lead").where(may_link(c))
     pairs = pairs.withColumn("bits", xor_bits(F.col("sx"), F.col("sy"), c.bits // 64))
     best = materialize(pairs.groupBy("node").agg(F.min_by("lead", F.struct("bits", "lead")).alias("lead")), "best")
-    involved = buckets.select("node").distinct().join(best, "node", "left")
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text"))
+    involved = buckets.select("node").distinct().join(nodes.select("node", "text_hash"), "node").join(best, "node", "left")
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
     # both sides grow with the corpus: always a shuffle, whatever their size today
-    texts = texts.join(involved.hint("merge"), "node")
-    sets = materialize(full_sets(texts, c).dropDuplicates(["node"]), "sets")
+    texts = texts.join(involved.hint("merge"), ["node", "text_hash"])
+    sets = materialize(full_sets(texts, c).dropDuplicates(["node", "members"]), "sets")
     lead_sets = sets.join(sets.where("lead is not null").select(F.col("lead").alias("node")).distinct(), "node", "left_semi")
     first = sets.where("lead is not null").select(F.col("node").alias("x"), F.col("lead").alias("y"), F.col("members").alias("mx")).join(lead_sets.select(F.col("node").alias("y"), F.col("members").alias("my")), "y")
     tested = materialize(confirm(first, c.percent), "tested")
