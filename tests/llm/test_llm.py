@@ -178,6 +178,13 @@ def test_group_of_near_copies_with_stragglers(spark):
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(i, n, c) for i, (n, c) in brute_components(texts, 4).items()}
 
 
+def test_one_id_with_two_texts(spark):
+    a, b = words(50, 60, 5000), words(51, 60, 5000)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, words(52, 60, 5000))], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df, minhash.Config(words=4)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_one_row_of_each_group_stays(docs):
     kept = minhash.without_near_duplicates(docs, minhash.Config())
     assert set(kept.columns) == set(docs.columns)
