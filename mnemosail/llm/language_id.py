@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, small_batches
-from .linear_bag import LETTER, WORD, Vocabulary, bags, groups
+from .linear_bag import LETTER, WORD, Vocabulary, groups, word_lists
 
 UNKNOWN = "und"
 
@@ -100,12 +100,11 @@ def fit(texts: list[str], languages: list[str], c: Config = Config()) -> Model |
             lang.append(names.index(g))
     if not rows:
         return None
-    who, where = bags(list(index), c.lo, c.hi, c.buckets)
-    n = np.bincount(who, minlength=len(index))
-    order = np.argsort(who, kind="stable")
-    where, first = where[order], np.concatenate([[0], np.cumsum(n)])
+    where, first = word_lists(list(index), c.lo, c.hi, c.buckets)
+    n = np.diff(first)
     # features of a row: mean over words of the word's mean bag, as dense rows of the used buckets
     used, pos = np.unique(where, return_inverse=True)
+    pos = pos.astype(np.int32)
     x = np.zeros((len(rows), len(used)), np.float32)
     for i, r in enumerate(rows):
         u, m = np.unique(r, return_counts=True)

@@ -40,6 +40,16 @@ def bags(words: list[str], lo: int, hi: int, buckets: int) -> tuple[np.ndarray,
     return np.concatenate(who), np.concatenate(where)
 
 
+def word_lists(words: list[str], lo: int, hi: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bags of distinct words as one array, and the offsets of each word's part."""
+    parts, size = [], np.zeros(len(words), np.int64)
+    for k in range(0, len(words), 20_000):
+        who, where = bags(words[k : k + 20_000], lo, hi, buckets)
+        size[k : k + 20_000] = np.bincount(who, minlength=len(words[k : k + 20_000]))
+        parts.append(where[np.argsort(who, kind="stable")].astype(np.int32))
+    return (np.concatenate(parts) if parts else np.empty(0, np.int32)), np.concatenate([[0], np.cumsum(size)])
+
+
 def word_scores(words: list[str], u: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """Mean of ``u`` (buckets x outputs) over each word's bag."""
     who, where = bags(words, lo, hi, len(u))

@@ -102,7 +102,16 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     spark = session(docs)
     small_batches(spark)
     pieces = materialize(piece_counts(docs, text, model), "pieces")
-    top = pieces.orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", "pieces").toArrow()
+    # frequencies fall into some thousand classes; the most frequent ones that make up ``head`` at most are the head
+    level = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r.level, r["count"]) for r in pieces.groupBy(level.alias("level")).count().collect()), reverse=True)
+    least, total = (1 << 30), 0
+    for k, n in sizes:
+        total += n
+        if total > head:
+            break
+        least = k
+    top = pieces.where(level >= least).select("pretoken", "pieces").toArrow()
     table = spark.sparkContext.broadcast(dict(zip(top["pretoken"].to_pylist(), top["pieces"].to_pylist(), strict=True)))
     del top
 

@@ -12,8 +12,8 @@ model and fitting those against passages of clean texts. A final logistic
 curve, fitted on texts left out of training, turns worst-passage logits into
 probabilities.
 
-Only a bounded sample of the labelled rows is fitted (``sample_toxic`` +
-``sample_clean`` texts, chosen by a hash of the id); every text is scored whole.
+Only a bounded sample of the labelled rows is fitted (about ``sample_toxic`` +
+``sample_clean`` texts, and never twice that, chosen by a hash of the id); every text is scored whole.
 
 Null and empty texts score like a text without words (the lowest passage logit
 that the curve was fitted on); rows with a null id are scored too, and their
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, small_batches
-from .linear_bag import WORD, Vocabulary, bags, groups
+from .linear_bag import WORD, Vocabulary, groups, word_lists
 
 
 @dataclass(frozen=True)
@@ -86,10 +86,8 @@ def fit(texts: list[str], labels: list[int], c: Config = Config()) -> Model:
     for t in texts:
         w = WORD.findall((t or "").lower())
         docs.append(np.fromiter((index.setdefault(x, len(index)) for x in w), np.int64, len(w)))
-    who, where = bags(list(index), c.lo, c.hi, c.buckets)
-    order = np.argsort(who, kind="stable")
-    where, count = where[order], np.bincount(who, minlength=len(index))
-    first = np.concatenate([[0], np.cumsum(count)])
+    where, first = word_lists(list(index), c.lo, c.hi, c.buckets)
+    count = np.diff(first)
     # every fifth text only shapes the curve, unless there are too few
     held = np.zeros(len(y), bool)
     for k in (0, 1):
@@ -196,11 +194,15 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, c: Config = Config(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most ``sample_toxic`` and ``sample_clean`` labelled texts, by the order of a hash of their ids."""
+    """About ``sample_toxic`` and ``sample_clean`` labelled texts (all, if there are fewer), by a hash of their ids."""
     y = labels.select(F.col(doc_id), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & usable).distinct()
-    # read per class: TakeOrdered keeps no more than the limit in each task
-    parts = [y.where(F.col("_y") == k).orderBy(F.xxhash64(doc_id), doc_id).limit(n) for k, n in ((1, c.sample_toxic), (0, c.sample_clean))]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # bounded by the two limits
+    have = {r["_y"]: r["count"] for r in y.groupBy("_y").count().collect()}
+    most = {1: c.sample_toxic, 0: c.sample_clean}
+    ticket = F.pmod(F.xxhash64(doc_id, F.lit("toxic")), F.lit(1 << 30)) / float(1 << 30)
+    share = {k: min(1.0, n / max(1, have.get(k, 0))) for k, n in most.items()}
+    # the shares make the sample; the limit bounds what is broadcast even for ids that hash alike
+    chosen = y.where(ticket < F.when(F.col("_y") == 1, share[1]).otherwise(share[0])).limit(2 * sum(most.values()))
+    chosen = F.broadcast(chosen)
     rows = docs.select(doc_id, text).join(chosen, doc_id).toPandas()
     rows = rows[rows[text].notna()].sort_values([doc_id, "_y", text], kind="stable")
     return rows[text].tolist(), rows["_y"].tolist()
