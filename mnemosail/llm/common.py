@@ -27,13 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor. Used where a table
     is read more than once or an iteration would otherwise grow its plan.
+
+    share: tables of narrow rows are written by one task for so many shuffle
+    partitions; many tiny files cost more than they hold.
     """
     spark = session(df)
+    if share > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     path = f"{shared_dir(spark)}/mnemosail/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -19,21 +19,21 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours all leave in that round.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "edges")
+    edges = materialize(edges, "edges", 8)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     roots = nodes.withColumn("root", F.col("node"))
     while not edges.isEmpty():
-        parent = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "parents")
+        parent = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "parents", 8)
         while True:
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
             step = parent.join(above, "up", "left").select("node", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved"))
-            step = materialize(step, "parents")
+            step = materialize(step, "parents", 8)
             parent = step.select("node", "up")
             if step.where("moved").isEmpty():
                 break
         up = parent.select(F.col("node").alias("root"), "up")
-        roots = materialize(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+        roots = materialize(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots", 8)
         pa, pb = (parent.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in "ab")
         ends = edges.join(pa, "a", "left").join(pb, "b", "left").select(F.coalesce("up_a", "a").alias("a"), F.coalesce("up_b", "b").alias("b"))
-        edges = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        edges = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", 8)
     return roots

@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
     pairs = buckets.where("node <> lead").select("node", "lead").distinct()
     pairs = pairs.join(as_side(sketches, "x", "node"), "node").join(as_side(sketches, "y", "lead"), "lead").where(may_link(c))
     pairs = pairs.withColumn("bits", xor_bits(F.col("sx"), F.col("sy"), c.bits // 64))
-    best = materialize(pairs.groupBy("node").agg(F.min_by("lead", F.struct("bits", "lead")).alias("lead")), "best")
+    best = materialize(pairs.groupBy("node").agg(F.min_by("lead", F.struct("bits", "lead")).alias("lead")), "best", 4)
     involved = buckets.select("node").distinct().join(nodes.select("node", "text_hash"), "node").join(best, "node", "left")
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
     # both sides grow with the corpus: always a shuffle, whatever their size today
@@ -195,17 +195,17 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
     sets = materialize(full_sets(texts, c).dropDuplicates(["node", "members"]), "sets")
     lead_sets = sets.join(sets.where("lead is not null").select(F.col("lead").alias("node")).distinct(), "node", "left_semi")
     first = sets.where("lead is not null").select(F.col("node").alias("x"), F.col("lead").alias("y"), F.col("members").alias("mx")).join(lead_sets.select(F.col("node").alias("y"), F.col("members").alias("my")), "y")
-    tested = materialize(confirm(first, c.percent), "tested")
-    labels = materialize(components(tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
+    tested = materialize(confirm(first, c.percent), "tested", 4)
+    labels = materialize(components(tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels", 4)
 
     for leaders, tries in ((c.leaders, c.tries), (None, c.tries), (None, None)):
         pairs = candidates(buckets, labels, sketches, tested, leaders, tries, c)
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs, "pairs", 4)
         if pairs.isEmpty():
             continue
         held = sets.select("node", "members").join(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "node", "left_semi")
         both = pairs.join(held.select(F.col("node").alias("x"), F.col("members").alias("mx")), "x").join(held.select(F.col("node").alias("y"), F.col("members").alias("my")), "y")
-        now = materialize(confirm(both, c.percent), "tested")
+        now = materialize(confirm(both, c.percent), "tested", 4)
         links = now.where("linked").select("x", "y")
         tested = tested.unionByName(now)
         if links.isEmpty():
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
         ends = links.join(lx, "x", "left").join(ly, "y", "left").select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b"))
         merged = components(ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
         alone = merged.select(F.col("root").alias("node")).join(labels, "node", "left_anti").withColumn("root", F.col("node"))
-        labels = materialize(labels.unionByName(alone).join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+        labels = materialize(labels.unionByName(alone).join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels", 4)
 
     group = nodes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
     out = feats.select("doc_id", "text_hash", "n", "s1", "s2").join(group, ["s1", "s2"], "left")

@@ -217,7 +217,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, slack: int = 8,
         if count < 2:
             break
         groups = max(1, -(-count // group_items)) if groups is None else max(1, -(-count // group_items), groups // fan_in)
-        merged = materialize(merge_round(left, groups, capacity, level), "packed")
+        merged = materialize(merge_round(left, groups, capacity, level), "packed", 4)
         rounds.append(merged)
         after = merged.select(F.col("parent").alias("bin"), "fill").distinct()
         left = after.where(F.col("fill") < capacity - slack)

@@ -65,7 +65,7 @@ def walk(edges: DataFrame, seeds: DataFrame, damping: float, steps: int) -> Data
     mass = seeds.select("host", F.col("seed").alias("mass"))
     for _ in range(steps):
         moved = mass.join(edges, mass.host == edges.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
-        kept = materialize(moved.select("host", (F.col("mass") * damping).alias("mass")), "mass")
+        kept = materialize(moved.select("host", (F.col("mass") * damping).alias("mass")), "mass", 4)
         rest = 1.0 - (kept.agg(F.sum("mass")).first()[0] or 0.0)
         mass = kept.unionByName(seeds.select("host", (F.col("seed") * rest).alias("mass"))).groupBy("host").agg(F.sum("mass").alias("mass"))
     return mass
@@ -87,11 +87,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float =
     """page_id, host, path, rule, verdict, trust and distrust of every row of ``pages``; rules: (allow or block, host, path prefix)."""
     base = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("_html"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = match_rules(base, rules)
-    edges = materialize(host_edges(base, "_html"), "edges")
+    edges = materialize(host_edges(base, "_html"), "edges", 4)
     slim = ruled.select("page_id", "host", "path", "rule", "ruled")
     linked = not edges.isEmpty()
     of = {v: F.count(F.when(F.col("ruled") == v, 1)) for v in (ALLOW, BLOCK)}
-    counts = materialize(slim.where(F.col("host") != "").groupBy("host").agg(F.count("*").alias("n"), of[ALLOW].alias(ALLOW), of[BLOCK].alias(BLOCK)), "seeds")
+    counts = materialize(slim.where(F.col("host") != "").groupBy("host").agg(F.count("*").alias("n"), of[ALLOW].alias(ALLOW), of[BLOCK].alias(BLOCK)), "seeds", 4)
     starts = {ALLOW: (F.col(ALLOW) > F.col(BLOCK), "a", "b"), BLOCK: (2 * F.col(BLOCK) > F.col("n"), "b", "a")}
     walks = {}
     for verdict, (is_seed, src, dst) in starts.items():
@@ -99,7 +99,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float =
         total = seeds.agg(F.sum("seed")).first()[0] or 1.0
         seeds = seeds.withColumn("seed", F.col("seed") / total)
         # without links all mass returns to the seeds in each step
-        walks[verdict] = walk(materialize(shares(edges, src, dst), "shares"), seeds, damping, steps) if linked else seeds.withColumnRenamed("seed", "mass")
+        walks[verdict] = walk(materialize(shares(edges, src, dst), "shares", 4), seeds, damping, steps) if linked else seeds.withColumnRenamed("seed", "mass")
     trust = walks[ALLOW].select("host", F.col("mass").alias("trust")).join(walks[BLOCK].select("host", F.col("mass").alias("distrust")), "host", "full")
     out = slim.join(trust, "host", "left").na.fill(0.0, ["trust", "distrust"])
     method = F.when(F.col("distrust") > threshold * F.col("trust"), BLOCK).otherwise(ALLOW)
