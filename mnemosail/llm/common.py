@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Iterable
 from pathlib import Path
@@ -40,10 +42,31 @@ def materialize(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
     if share > 1:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     path = f"{shared_dir(spark)}/mnemosail/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this process has written.
+_WRITTEN: list[str] = []
+
+
+def discard_tables(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote so far. Call it when no result that reads it is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _forget_fallback() -> None:
+    """On one machine the fallback folder is this process's own."""
+    for path in _WRITTEN:
+        if path.startswith(FALLBACK_DIR):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch of long texts can hold in a Python worker, and let workers find this package.
 
