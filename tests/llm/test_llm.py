@@ -75,6 +75,14 @@ def test_merge_spans():
     assert common.merge_spans([(5, 9), (1, 3), (3, 4), (8, 12)]) == [(1, 4), (5, 12)]
 
 
+def test_tables_are_discarded(spark):
+    t = common.materialize(spark.range(5), "probe")
+    assert t.count() == 5
+    common.discard_tables(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|FAILED_READ_FILE|does not exist"):
+        t.count()
+
+
 # 2 token counts
 
 
