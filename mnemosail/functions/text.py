@@ -186,9 +186,10 @@ def reason_category(c: Column) -> Column:
     return F.trim(F.substring_index(F.substring_index(c, ":", 1), "(", 1))
 
 
-def capped_comment(login: Column, body: Column, most: int = 2000, mark: str = "\n... (truncated)") -> Column:
-    b = F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit(mark))).otherwise(body)
-    return F.concat(F.lit("**@"), login, F.lit(":**\n"), b)
+def capped_comment(login: Column, body: Column, most: int = 2000, mark: str = "\n[...truncated]") -> Column:
+    b = strip(F.coalesce(body, F.lit("")))
+    b = F.when(F.length(b) > most, F.concat(F.substring(b, 1, most), F.lit(mark))).otherwise(b)
+    return F.concat(F.lit("**@"), F.coalesce(login, F.lit("?")), F.lit(":**\n"), b)
 
 
 def release_line(branch: Column, folder: Column, known: list[str]) -> Column:

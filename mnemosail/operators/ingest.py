@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .memory import keep_first
 
+# Associations of people whose comments count, and the order of a board's columns.
 TRUSTED = ["OWNER", "MEMBER", "COLLABORATOR", "CONTRIBUTOR"]
+BOARD_ORDER = ["In Progress", "Next", "Review", "Backlog", "Epics", "Done", "(no status)"]
 
 
 def human_comments(comments: Column, most: int = 10, least: int = 20, trusted: list[str] | None = None) -> Column:
@@ -21,11 +23,13 @@ def human_comments(comments: Column, most: int = 10, least: int = 20, trusted: l
     return F.slice(F.filter(comments, good), 1, most)
 
 
-def issue_header(kind: Column, number: Column, repo: Column, title: Column, meta: Column, body: Column) -> Column:
-    """Title line, stable facts and description: nothing that changes with the issue's state."""
+def issue_header(kind: Column, number: Column, repo: Column, title: Column, author: Column, created: Column, body: Column) -> Column:
+    """Title line, stable facts and description: nothing that changes with the issue's state. Ends with an empty line where there is no description."""
     name = F.when(kind == "pr", "PR").otherwise("Issue")
-    head = F.concat(F.lit("# "), name, F.lit(" #"), number.cast("string"), F.lit(" ("), repo, F.lit("): "), title)
-    return T.strip(F.concat_ws("\n", head, meta, F.lit(""), T.strip(F.coalesce(body, F.lit("")))))
+    head = F.concat(F.lit("# "), name, F.lit(" #"), number.cast("string"), F.lit(" ("), F.substring_index(repo, "/", -1), F.lit("): "), title)
+    facts = F.concat(F.lit("Repo: "), repo, F.lit(" | Author: "), F.coalesce(author, F.lit("unknown")), F.lit(" | Created: "), F.substring(F.coalesce(created, F.lit("")), 1, 10))
+    text = T.strip(F.coalesce(body, F.lit("")))
+    return F.concat_ws("\n", head, facts, F.lit(""), F.nullif(text, F.lit("")))
 
 
 def issue_tags(state: Column, kind: Column, repo: Column, labels: Column) -> Column:
@@ -37,7 +41,7 @@ def item_status(fields: Column) -> Column:
     return F.coalesce(F.get(F.filter(fields, lambda f: f["field"] == "Status"), F.lit(0))["name"], F.lit("(no status)"))
 
 
-def board(items: DataFrame, order: list[str]) -> DataFrame:
+def board(items: DataFrame, order: list[str] = BOARD_ORDER) -> DataFrame:
     """Per status: its titles and count; known statuses first, then as first seen. Items without title count in ``total`` only.
 
     items: status, title, place.

@@ -76,15 +76,19 @@ def _(i: Inputs):
     return G.items_of(rows, base).select("doc_id", "document_id", F.col("source").alias("section"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
-@query("process_issue", "SELECT doc_id, '# Issue #'||doc_id||' ('||source||'): '||substr(text,1,20)||chr(10)||'lang: '||lang AS header FROM documents WHERE length('# Issue #'||doc_id||' ('||source||'): '||substr(text,1,20)||chr(10)||'lang: '||lang) >= 50")
+HEAD = "'# Issue #'||doc_id||' ('||lang||'): '||substr(text,1,20)||chr(10)||'Repo: '||source||'/'||lang||' | Author: unknown | Created: 2024-01-02'||chr(10)"
+
+
+@query("process_issue", f"SELECT doc_id, {HEAD} AS header FROM documents WHERE length({HEAD}) >= 80")
 def _(i: Inputs):
-    head = G.issue_header(F.lit("issue"), F.col("doc_id"), F.col("source"), F.substring("text", 1, 20), F.concat(F.lit("lang: "), "lang"), F.lit(None).cast("string"))
-    return i.table("documents").select("doc_id", head.alias("header")).where(F.length("header") >= 50)
+    none = F.lit(None).cast("string")
+    head = G.issue_header(F.lit("issue"), F.col("doc_id"), F.concat("source", F.lit("/"), "lang"), F.substring("text", 1, 20), none, F.lit("2024-01-02T03:04:05Z"), none)
+    return i.table("documents").select("doc_id", head.alias("header")).where(F.length("header") >= 80)
 
 
-@query("format_issue_header", "SELECT doc_id, '# PR #'||doc_id||' ('||lang||'): t'||chr(10)||'by a'||chr(10)||chr(10)||'body' AS header FROM documents")
+@query("format_issue_header", "SELECT doc_id, '# PR #'||doc_id||' ('||lang||'): t'||chr(10)||'Repo: o/'||lang||' | Author: a | Created: '||chr(10)||chr(10)||'body' AS header FROM documents")
 def _(i: Inputs):
-    head = G.issue_header(F.lit("pr"), F.col("doc_id"), F.col("lang"), F.lit("t"), F.lit("by a"), F.lit(" body\n"))
+    head = G.issue_header(F.lit("pr"), F.col("doc_id"), F.concat(F.lit("o/"), "lang"), F.lit("t"), F.lit("a"), F.lit(None).cast("string"), F.lit(" body\n"))
     return i.table("documents").select("doc_id", head.alias("header"))
 
 
@@ -94,7 +98,7 @@ def _(i: Inputs):
     return d.select("doc_id", F.concat_ws("\n", F.concat(F.lit("# Issue #"), F.col("doc_id").cast("string"), F.lit(": "), "lang"), F.lit("State: open"), F.concat(F.lit("Labels: "), F.array_join(F.array(F.lit("a"), F.lit("b")), ", ")), F.lit(""), F.col("source")).alias("content"))
 
 
-@query("format_comment", "SELECT doc_id, '**@'||lang||':**'||chr(10)||CASE WHEN length(text)>2000 THEN substr(text,1,2000)||chr(10)||'... (truncated)' ELSE text END AS comment FROM documents")
+@query("format_comment", "SELECT doc_id, '**@'||lang||':**'||chr(10)||CASE WHEN length(b)>2000 THEN substr(b,1,2000)||chr(10)||'[...truncated]' ELSE b END AS comment FROM (SELECT doc_id, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM documents)")
 def _(i: Inputs):
     return i.table("documents").select("doc_id", T.capped_comment(F.col("lang"), F.col("text")).alias("comment"))
 
