@@ -8,8 +8,9 @@ same places of it, about one in ``(length - gram) / 2`` words.
 1. Suffixes whose first ``gram`` words occur once in the corpus cannot match
    and are dropped; within a task, repeated ones are settled and announced once.
 2. The others get their context (``length - gram`` words to either side, as 32-bit word hashes), are
-   dealt by their first words and sorted; prefixes with more than ``group`` suffixes are
-   salted, and each part also gets the earliest of them.
+   dealt by their first words and sorted. Of prefixes with more than ``group`` suffixes the windows
+   that chose a suffix travel instead, by the 64-bit hash of all their words, so equal ones meet wherever
+   they are; a task settles those that repeat within it, and each of its windows is sent once.
 3. In sorted order each suffix is compared with the nearest suffixes, before
    and after it, that occur earlier in the corpus; the common prefix of two
    entries is the least of those between them. The same is done in the order of
@@ -93,54 +94,93 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, flush: int = 1_000
     return counted.where(F.col("did").isNotNull() & (settled | (F.col("total") > 1))).select("key", "did", "th", "pos")
 
 
-def salted(found: DataFrame, group: int) -> DataFrame:
-    """(key, salt, did, th, pos): groups of about ``group`` suffixes, each with the earliest of its key."""
-    order = F.struct("did", "th", "pos")
-    # written first: a join of two shuffles can be split where a key is frequent, a join with an aggregate cannot
-    stats = materialize(found.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("lead")).where("n > 1"), "prefixes", 4)
-    parts = F.ceil(F.col("n") / group).cast("int")
-    own = F.pmod(F.xxhash64("did", "th", "pos"), F.col("parts")).cast("int")
-    rows = found.join(stats.withColumn("parts", parts), "key").withColumn("first", order == F.col("lead"))
-    salts = F.when(F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-    return rows.select("key", F.explode(salts).alias("salt"), "did", "th", "pos")
-
-
-def with_context(rows: DataFrame, marks: DataFrame, length: int, gram: int) -> DataFrame:
-    """Adds ``right`` and ``left`` (reversed), the contexts as big-endian 32-bit word hashes, to the marks."""
+def with_breadth(found: DataFrame, group: int) -> DataFrame:
+    """(key, did, th, pos, wide): wide suffixes are those of prefixes with more than ``group`` of them."""
+    frequent = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key", F.lit(True).alias("wide")), "prefixes", 4)
+    return found.join(frequent, "key", "left").select("key", "did", "th", "pos", F.coalesce("wide", F.lit(False)).alias("wide"))
+
+
+#: What ``with_context`` hands to ``compare``; a settled span has a ``stop`` and a ``source``, a suffix has contexts.
+SUFFIX, WINDOW, SETTLED = range(3)
+MARKS = "key long, kind int, did long, th int, pos int, stop int, source long, right binary, left binary"
+MARK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+MARK_NAMES = [c.split()[0] for c in MARKS.split(", ")]
+
+
+def settle(key: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
+    """Marks of a task's windows, given in the order of the corpus: the first of each key is a window, later ones are settled spans."""
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    first = np.empty(len(key), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    lead = first == np.arange(len(key))
+    w, k = np.flatnonzero(lead), np.flatnonzero(~lead)
+    source = did[first[k]]
+    cut = np.flatnonzero(np.concatenate([[True], (did[k][1:] != did[k][:-1]) | (th[k][1:] != th[k][:-1]) | (start[k][1:] != start[k][:-1] + 1) | (source[1:] != source[:-1])])) if len(k) else k
+    end = np.append(cut[1:], len(k))[: len(cut)] - 1
+    a = k[cut]
+    many = [np.concatenate([x[w], x[a]]) for x in (key.view(np.int64), did, th, start)]
+    void = np.arange(len(many[0])) < len(w)
+    tail = lambda x: np.concatenate([np.zeros(len(w), x.dtype), x])
+    kind = np.where(void, WINDOW, SETTLED).astype(np.int32)
+    cols = [many[0], kind, many[1], many[2], many[3], pa.array(tail((start[k[end]] + length).astype(np.int32)), mask=void), pa.array(tail(source[cut]), mask=void)]
+    none = pa.nulls(len(void), pa.binary())
+    return pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, MARK_TYPES)), none, none], MARK_NAMES)
+
+
+def with_context(rows: DataFrame, marks: DataFrame, length: int, gram: int, flush: int = 1_000_000) -> DataFrame:
+    """Marks with ``right`` and ``left`` (reversed), the contexts as big-endian 32-bit word hashes; for wide ones, the windows that chose them."""
     side = length - gram
-    schema = "key long, salt int, did long, th int, pos int, right binary, left binary"
-    empty = {"key": "long", "salt": "int", "pos": "int", "text": "string"}
+    empty = {"key": "long", "wide": "boolean", "pos": "int", "text": "string"}
     void = lambda c: F.lit(None).cast(empty[c]).alias(c)
-    docs = rows.select("did", "th", F.lit(1).alias("kind"), void("key"), void("salt"), void("pos"), "text")
-    asks = marks.select("did", "th", F.lit(0).alias("kind"), "key", "salt", "pos", void("text"))
+    docs = rows.select("did", "th", F.lit(1).alias("kind"), void("key"), void("wide"), void("pos"), "text")
+    asks = marks.select("did", "th", F.lit(0).alias("kind"), "key", "wide", "pos", void("text"))
     met = docs.unionByName(asks).repartition("did", "th").sortWithinPartitions("did", "th", "kind")
 
     def run(batches):
-        memo, at, held = word_memo(), None, []
+        memo, at, held, windows, size = word_memo(), None, [], [], 0
+
+        def settled():
+            whole = settle(*map(np.concatenate, zip(*windows, strict=True)), length)
+            for k in range(0, whole.num_rows, 50_000):
+                yield whole.slice(k, 50_000)
+
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in MARK_TYPES]
             texts = b.column(6).cast(pa.binary()).to_pylist()
-            for did, th, kind, key, salt, pos, t in zip(*(b.column(k).to_pylist() for k in range(6)), texts, strict=True):
+            for did, th, kind, key, wide, pos, t in zip(*(b.column(k).to_pylist() for k in range(6)), texts, strict=True):
                 if (did, th) != at:
                     at, held = (did, th), []
                 if kind == 0:
-                    held.append((key, salt, pos))
+                    held.append((key, wide, pos))
                 elif held:
-                    h = (word_hashes((t or b"").split(), memo) >> np.uint64(32)).astype(">u4")
+                    full = word_hashes((t or b"").split(), memo)
+                    h = (full >> np.uint64(32)).astype(">u4")
                     memo.trim()
                     back = h[::-1]
                     n = len(h)
-                    for k, s, p in held:
+                    for k, w, p in held:
+                        if w:
+                            continue
                         a = p + gram
-                        row = (k, s, did, th, p, h[a : a + side].tobytes(), back[n - p : n - p + side].tobytes())
+                        row = (k, SUFFIX, did, th, p, None, None, h[a : a + side].tobytes(), back[n - p : n - p + side].tobytes())
                         for c, v in zip(out, row, strict=True):
                             c.append(v)
+                    chosen = [p for _, w, p in held if w]
+                    if chosen:
+                        start = np.flatnonzero(np.isin(window_argmin(gram_hashes(full, gram), side + 1), chosen))
+                        windows.append((gram_hashes(full, length)[start], np.full(len(start), did), np.full(len(start), th, np.int32), start.astype(np.int32)))
+                        size += len(start)
                     held = []  # a repeated row asks once
+                    if size > flush:
+                        yield from settled()
+                        windows, size = [], 0
             if out[0]:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, MARK_TYPES, strict=True)], MARK_NAMES)
+        if size:
+            yield from settled()
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(run, MARKS)
 
 
 def matrix(rows: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,13 +220,28 @@ def compare(groups: DataFrame, length: int, gram: int, chunk: int = 20_000) -> D
     """(did, th, start, stop, source): spans of texts that an earlier place of the corpus (document ``source``) holds too."""
     side = length - gram
     schema = "did long, th int, start int, stop int, source long"
-    dealt = groups.repartition("key", "salt").sortWithinPartitions("key", "salt", "right", "did", "th", "pos")
+    dealt = groups.repartition("key").sortWithinPartitions("kind", "key", "right", "did", "th", "pos")
+
+    def batch(*columns) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["did", "th", "start", "stop", "source"])
+
+    def windows(rows: list[tuple]) -> pa.RecordBatch | None:
+        out, key, lead = [], None, None
+        for k, kind, did, th, pos, stop, source, _, _ in rows:
+            if kind == SETTLED:
+                out.append((did, th, pos, stop, source))
+            elif k != key:
+                key, lead = k, (did, th, pos)
+            elif (did, th, pos) != lead:
+                out.append((did, th, pos, pos + length, lead[0]))
+        return batch(*zip(*out, strict=True)) if out else None
 
     def spans(rows: list[tuple]) -> pa.RecordBatch | None:
-        key, salt, did, th, pos, right, left = zip(*rows, strict=True)
+        key, _, did, th, pos, _, _, right, left = zip(*rows, strict=True)
         n = len(rows)
-        key, salt, did, th, pos = np.array(key), np.array(salt), np.array(did), np.array(th), np.array(pos)
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+        key, did, th, pos = np.array(key), np.array(did), np.array(th), np.array(pos)
+        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         rank = np.empty(n, np.int64)
         rank[np.lexsort((pos, th, did))] = np.arange(n)
         (R, nr), (L, nl) = matrix(list(right), side), matrix(list(left), side)
@@ -201,7 +256,7 @@ def compare(groups: DataFrame, length: int, gram: int, chunk: int = 20_000) -> D
         i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
         both = np.unique(np.stack([i, j], axis=1), axis=0)
         i, j = both[:, 0], both[:, 1]
-        other = (did[i] != did[j]) | (th[i] != th[j]) | (pos[i] != pos[j])  # the earliest is in its group twice
+        other = (did[i] != did[j]) | (th[i] != th[j]) | (pos[i] != pos[j])  # a repeated row's suffixes are there twice
         i, j = i[other], j[other]
         r, l = common(R[i], nr[i], R[j], nr[j]), common(L[i], nl[i], L[j], nl[j])
         ok = l + gram + r >= length
@@ -209,25 +264,28 @@ def compare(groups: DataFrame, length: int, gram: int, chunk: int = 20_000) -> D
             return None
         i, j, r, l = i[ok], j[ok], r[ok], l[ok]
         start, stop = pos[i] - l, pos[i] + gram + r
-        return pa.RecordBatch.from_arrays([pa.array(did[i], pa.int64()), pa.array(th[i], pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(did[j], pa.int64())], ["did", "th", "start", "stop", "source"])
+        return batch(did[i], th[i], start, stop, did[j])
+
+    def both_kinds(rows: list[tuple]):
+        cut = next((k for k, r in enumerate(rows) if r[1] != SUFFIX), len(rows))
+        for work, part in ((spans, rows[:cut]), (windows, rows[cut:])):
+            out = work(part) if part else None
+            if out is not None:
+                yield out
 
     def run(batches):
         held: list[tuple] = []
         for b in batches:
-            held += zip(*(b.column(k).to_pylist() for k in range(7)), strict=True)
+            held += zip(*(b.column(k).to_pylist() for k in range(len(MARK_NAMES))), strict=True)
             if len(held) >= chunk:
                 cut = len(held)
                 while cut and held[cut - 1][:2] == held[-1][:2]:
                     cut -= 1
                 if cut:
-                    out = spans(held[:cut])
+                    yield from both_kinds(held[:cut])
                     held = held[cut:]
-                    if out is not None:
-                        yield out
         if held:
-            out = spans(held)
-            if out is not None:
-                yield out
+            yield from both_kinds(held)
 
     return dealt.mapInArrow(run, schema)
 
@@ -238,7 +296,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group: int
     small_batches(spark)
     rows = keyed(docs, doc_id, text)
     found = materialize(repeated_anchors(rows, length, gram), "suffixes")
-    matches = compare(with_context(rows, salted(found, group), length, gram), length, gram)
+    matches = compare(with_context(rows, with_breadth(found, group), length, gram), length, gram)
     # equal spans of several partners are one before the shuffle
     once = matches.groupBy("did", "th", "start", "stop").agg(F.min("source").alias("source"))
     return once.groupBy("did", "th").agg(F.collect_list(F.struct("start", "stop", "source")).alias("_spans")).mapInArrow(_merge, "did long, th int, spans array<struct<start:int,stop:int,source:long>>")

@@ -254,6 +254,14 @@ def test_frequent_passage_is_cut_from_all_but_the_first(spark):
         assert {i: t.encode().split() for i, t in got.items()} == brute_later(texts, 50)
 
 
+def test_passages_behind_a_frequent_prefix(spark):
+    header = words(77, 30, 10**6)
+    texts = {i: " ".join([words(2000 + i, 20, 10**6), header, words(3000 + i % 40, 25, 10**6), words(4000 + i, 30, 10**6)]) for i in range(1, 121)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(df, group=8).collect()}
+    assert {i: t.encode().split() for i, t in got.items()} == brute_later(texts, 50)
+
+
 def brute_windows(rows_, length):
     split = [(t or "").encode().split() for _, t in rows_]
     count = collections.Counter(tuple(w[k : k + length]) for w in split for k in range(len(w) - length + 1))
