@@ -1,4 +1,4 @@
-"""Removal of repeated passages with a sparse suffix array.
+"""Removal of repeated passages with sparse suffixes, grouped by their first words.
 
 Suffixes are kept only where a content-selected minimiser starts: in every
 window of ``length`` words the ``gram``-word run with the smallest hash. Equal
@@ -7,15 +7,13 @@ same places of it, about one in ``(length - gram) / 2`` words.
 
 1. Suffixes whose first ``gram`` words occur once in the corpus cannot match
    and are dropped; within a task, repeated ones are settled and announced once.
-2. The others get their context (``length - gram`` words to either side, as 32-bit word hashes), are
-   dealt by their first words and sorted. Of prefixes with more than ``group`` suffixes the windows
+2. The others get their context (``length - gram`` words to either side, as 32-bit word hashes) and are
+   dealt by their first words. Of prefixes with more than ``group`` suffixes the windows
    that chose a suffix travel instead, by the 64-bit hash of all their words, so equal ones meet wherever
    they are; a task settles those that repeat within it, and each of its windows is sent once.
-3. In sorted order each suffix is compared with the nearest suffixes, before
-   and after it, that occur earlier in the corpus; the common prefix of two
-   entries is the least of those between them. The same is done in the order of
-   the left contexts, and with the earliest suffix of the group. Matches are extended left and right,
-   and those of ``length`` words or more mark the later occurrence.
+3. Among the suffixes of one prefix every window of ``length`` words around it is looked up by the hash of
+   its parts to the left and to the right, and marked if an earlier suffix has the same. No window is left out,
+   however many others share parts of it.
 
 Only a later occurrence is ever marked, so the first copy of every passage
 stays. Longer passages are covered piece by piece, since each of their windows has a
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gram_hashes, materialize, merge_spans, session, small_batches, window_argmin, word_hashes, word_memo
+from .common import gram_hashes, materialize, merge_spans, mix64, session, small_batches, window_argmin, word_hashes, word_memo
 from .substring import keyed
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -190,37 +188,39 @@ def matrix(rows: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
     return data, size
 
 
-def common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each pair of rows."""
-    same = (a == b) & (np.arange(a.shape[1])[None] < np.minimum(na, nb)[:, None])
-    return np.where(same.all(axis=1), a.shape[1], (~same).argmax(axis=1))
-
-
-def earlier_neighbours(group: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j): for each entry the nearest ones before and after it, in its group, of smaller rank."""
-    pairs = []
-    for step in (1, -1):
-        stack: list[int] = []
-        mine, theirs = [], []
-        last = None
-        g, r = group.tolist(), rank.tolist()
-        for i in range(len(g)) if step == 1 else range(len(g) - 1, -1, -1):
-            if g[i] != last:
-                stack, last = [], g[i]
-            while stack and r[stack[-1]] >= r[i]:
-                stack.pop()
-            if stack:
-                mine.append(i), theirs.append(stack[-1])
-            stack.append(i)
-        pairs.append((np.array(mine, np.int64), np.array(theirs, np.int64)))
-    return pairs
+def prefix_hashes(rows: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the first 0, 1, ... words of each row, one column each."""
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint64)
+    out[:, 0] = seed
+    with np.errstate(over="ignore"):
+        for k in range(rows.shape[1]):
+            out[:, k + 1] = mix64(out[:, k] * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+    return out
+
+
+def earliest_equal(group: np.ndarray, R: np.ndarray, nr: np.ndarray, L: np.ndarray, nl: np.ndarray) -> np.ndarray:
+    """For each row, given in the order of the corpus, and each l: the first row of its group with the same l words
+    on the left and ``side - l`` on the right; -1 where the text has fewer."""
+    n, side = R.shape
+    right, left = prefix_hashes(R, 1), prefix_hashes(L, 2)
+    out = np.full((n, side + 1), -1, np.int64)
+    for l in range(side + 1):
+        at = np.flatnonzero((nl >= l) & (nr >= side - l))
+        if not len(at):
+            continue
+        with np.errstate(over="ignore"):
+            w = mix64(mix64(left[at, l] + right[at, side - l] * np.uint64(0xD6E8FEB86659FD93)) + group[at].astype(np.uint64))
+        order = np.argsort(w, kind="stable")
+        new = np.concatenate([[True], w[order][1:] != w[order][:-1]])
+        out[at[order], l] = at[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+    return out
 
 
 def compare(groups: DataFrame, length: int, gram: int, chunk: int = 20_000) -> DataFrame:
     """(did, th, start, stop, source): spans of texts that an earlier place of the corpus (document ``source``) holds too."""
     side = length - gram
     schema = "did long, th int, start int, stop int, source long"
-    dealt = groups.repartition("key").sortWithinPartitions("kind", "key", "right", "did", "th", "pos")
+    dealt = groups.repartition("key").sortWithinPartitions("kind", "key", "did", "th", "pos")
 
     def batch(*columns) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
@@ -242,29 +242,22 @@ def compare(groups: DataFrame, length: int, gram: int, chunk: int = 20_000) -> D
         n = len(rows)
         key, did, th, pos = np.array(key), np.array(did), np.array(th), np.array(pos)
         group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        rank = np.empty(n, np.int64)
-        rank[np.lexsort((pos, th, did))] = np.arange(n)
         (R, nr), (L, nl) = matrix(list(right), side), matrix(list(left), side)
-        pairs = earlier_neighbours(group, rank)
-        by_left = np.array(sorted(range(n), key=lambda i: (group[i], left[i], right[i], rank[i])), np.int64)
-        pairs += [(by_left[i], by_left[j]) for i, j in earlier_neighbours(group[by_left], rank[by_left])]
-        least = np.full(group[-1] + 1, n)
-        np.minimum.at(least, group, rank)
-        where = np.argsort(rank)
-        lead = where[least[group]]
-        pairs.append((np.flatnonzero(lead != np.arange(n)), lead[lead != np.arange(n)]))
-        i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-        both = np.unique(np.stack([i, j], axis=1), axis=0)
-        i, j = both[:, 0], both[:, 1]
-        other = (did[i] != did[j]) | (th[i] != th[j]) | (pos[i] != pos[j])  # a repeated row's suffixes are there twice
-        i, j = i[other], j[other]
-        r, l = common(R[i], nr[i], R[j], nr[j]), common(L[i], nl[i], L[j], nl[j])
-        ok = l + gram + r >= length
-        if not ok.any():
+        lead = earliest_equal(group, R, nr, L, nl)
+        # a repeated row's suffixes are there twice
+        same = (did[lead] == did[:, None]) & (th[lead] == th[:, None]) & (pos[lead] == pos[:, None])
+        lead = np.where((lead < 0) | same, -1, lead)
+        # neighbouring windows with one source are one span
+        edge = np.full((n, 1), -1, np.int64)
+        source = np.where(lead < 0, edge, did[lead])
+        marked = lead >= 0
+        joins = marked[:, 1:] & marked[:, :-1] & (source[:, 1:] == source[:, :-1])
+        no = np.zeros((n, 1), bool)
+        i, low = np.nonzero(marked & ~np.hstack([no, joins]))
+        _, high = np.nonzero(marked & ~np.hstack([joins, no]))
+        if not len(i):
             return None
-        i, j, r, l = i[ok], j[ok], r[ok], l[ok]
-        start, stop = pos[i] - l, pos[i] + gram + r
-        return batch(did[i], th[i], start, stop, did[j])
+        return batch(did[i], th[i], pos[i] - high, pos[i] - low + length, source[i, low])
 
     def both_kinds(rows: list[tuple]):
         cut = next((k for k, r in enumerate(rows) if r[1] != SUFFIX), len(rows))

@@ -262,6 +262,20 @@ def test_passages_behind_a_frequent_prefix(spark):
     assert {i: t.encode().split() for i, t in got.items()} == brute_later(texts, 50)
 
 
+def test_copies_among_longer_one_sided_matches(spark):
+    seed = next(k for k in range(100) if 12 <= suffix_dedup.anchors(common.word_hashes(words(k, 50, 10**6).encode().split(), common.word_memo()), 50, 16)[0][0] <= 22)
+    w = words(seed, 50, 10**6).split()
+    a = int(suffix_dedup.anchors(common.word_hashes([x.encode() for x in w], common.word_memo()), 50, 16)[0][0])
+    left, gram, right, before, after = w[:a], w[a : a + 16], w[a + 16 :], words(801, 5, 10**6).split(), words(802, 5, 10**6).split()
+    parts = [gram] * 12 + [w] + [gram + right + after] * 20 + [before + left + gram] * 20 + [before + w + after]
+    texts = {i: " ".join([words(8000 + i, 40, 10**6), *p, words(9000 + i, 40, 10**6)]) for i, p in enumerate(parts, 1)}
+    last = brute_later(texts, 50)[len(parts)]
+    assert len(last) == 90
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(df).collect()}
+    assert {i: t.encode().split() for i, t in got.items()} == brute_later(texts, 50)
+
+
 def brute_windows(rows_, length):
     split = [(t or "").encode().split() for _, t in rows_]
     count = collections.Counter(tuple(w[k : k + length]) for w in split for k in range(len(w) - length + 1))
