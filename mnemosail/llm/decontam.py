@@ -16,8 +16,9 @@ a window form one window with all their words, which needs ``literals`` ordinary
 Null and empty texts (on either side) match nothing. Rows with a null id are
 compared too and reported under null. Repeated rows and items repeat their pairs.
 
-Names are title-case words that do not start a sentence; units are the listed
-words right after a number.
+Names are title-case words; units are the listed words right after a number. A title-case
+word that starts a sentence may be a name or not, so each text has two templates: one where
+such words are literal, and one where they are names unless listed as ordinary. Either may match.
 """
 
 from __future__ import annotations
@@ -36,7 +37,11 @@ from .common import Memo, gram_hashes, session, small_batches
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?]")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees metre metres meter meters kilometre kilometres kilometer kilometers".split())
-WORD, TITLE, NUMBER, UNIT, END = range(5)
+#: Words that start sentences without being names.
+ORDINARY = frozenset(
+    "a about above according after again all also although altogether among an and another any are as assume at because before below besides between both but by calculate can choose compute consider could describe despite determine did do does due during each either eventually every everyone evaluate except explain find finally first for four from furthermore give given had has have he hence her here hers his how however i identify if in including initially instead into is it its last lastly later let list long many may me meanwhile might more moreover most much must my name near neither next no nobody none nor not nothing now of off often on once one only or originally other others otherwise our out over per perhaps please prove same second select several shall she should show similarly since so solve some someone sometimes state still such suppose than that the their them then there therefore these they third this those though through thus to today together tomorrow two under unless until up upon us using was we were what whatever when whenever where whether which while who whom whose why will with within without would write yes yesterday yet you your".split()
+)
+WORD, TITLE, NUMBER, UNIT, END, ORDINARY_TITLE = range(6)
 PLACEHOLDER = {NUMBER: "<number>", TITLE: "<name>", UNIT: "<unit>"}
 
 
@@ -60,26 +65,40 @@ def code(token: str) -> int:
     elif low in UNITS:
         kind = UNIT
     elif len(token) > 1 and token[0].isupper() and token[1:].islower():
-        kind = TITLE
+        kind = ORDINARY_TITLE if low in ORDINARY else TITLE
     else:
         kind = WORD
     return (xxhash.xxh3_64_intdigest(low) & ~7) | kind
 
 
-SLOT_HASH = np.zeros(5, np.uint64)
+SLOT_HASH = np.zeros(6, np.uint64)
 for _k, _s in PLACEHOLDER.items():
     SLOT_HASH[_k] = xxhash.xxh3_64_intdigest(_s)
 
 
-def template(tokens: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hashes, slot kinds with 0 for words, token indices) without sentence ends."""
+@dataclass(frozen=True)
+class Template:
+    hashes: np.ndarray
+    #: kind of each placeholder, 0 for words
+    slot: np.ndarray
+    #: first token of each entry, and the one after its last
+    at: np.ndarray
+    end: np.ndarray
+
+
+def templates(tokens: list[str], memo: Memo) -> tuple[Template, Template]:
+    """Templates without sentence ends: title-case words that start a sentence are literal in the first, names in the second."""
     c = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
     kind = (c & np.uint64(7)).astype(np.int8)
     before = np.concatenate([[END], kind[:-1]]) if len(kind) else kind
-    slot = np.where((kind == NUMBER) | (kind == TITLE) & (before != END) | (kind == UNIT) & (before == NUMBER), kind, 0)
-    h = np.where(slot > 0, SLOT_HASH[slot], c & ~np.uint64(7))
+    title, inner = (kind == TITLE) | (kind == ORDINARY_TITLE), before != END
+    other = np.where((kind == NUMBER) | (kind == UNIT) & (before == NUMBER), kind, 0)
     at = np.flatnonzero(kind != END)
-    return h[at], slot[at], at
+    c, out = c[at] & ~np.uint64(7), []
+    for names in (title & inner, title & inner | (kind == TITLE)):
+        slot = np.where(names, TITLE, other)[at]
+        out.append(Template(np.where(slot > 0, SLOT_HASH[slot], c), slot, at, at + 1))
+    return out[0], out[1]
 
 
 def windows(h: np.ndarray, slot: np.ndarray, c: Config) -> tuple[np.ndarray, np.ndarray]:
@@ -90,26 +109,20 @@ def windows(h: np.ndarray, slot: np.ndarray, c: Config) -> tuple[np.ndarray, np.
     return g[at], at
 
 
-class Benchmark:
-    """One chunk of items: their templates, and a sorted table of their windows."""
+class Table:
+    """One kind of templates of all items: their entries, and a sorted table of their windows."""
 
-    def __init__(self, items: list[tuple[int | None, str]], c: Config):
-        self.c, memo = c, Memo(code)
-        self.ids, self.words, self.slots, self.values = [], [], [], []
+    def __init__(self, items: list[Template], c: Config):
+        self.c, self.items = c, items
         hashes, item, start = [], [], []
         short: dict[int, list] = {}
-        for i, t in items:
-            tokens = TOKEN.findall(t or "")
-            h, slot, at = template(tokens, memo)
-            if not len(h):
-                continue
-            k = len(self.ids)
-            self.ids.append(i), self.words.append(len(h)), self.slots.append(slot), self.values.append([tokens[j].lower() for j in at])
-            if len(h) < c.window:
-                if (slot == 0).sum() >= min(c.literals, len(h)):
-                    short.setdefault(len(h), []).append((int(gram_hashes(h, len(h))[0]), k))
+        for k, t in enumerate(items):
+            n = len(t.hashes)
+            if n < c.window:
+                if (t.slot == 0).sum() >= min(c.literals, n):
+                    short.setdefault(n, []).append((int(gram_hashes(t.hashes, n)[0]), k))
                 continue
-            g, s = windows(h, slot, c)
+            g, s = windows(t.hashes, t.slot, c)
             hashes.append(g), item.append(np.full(len(g), k)), start.append(s)
         none = np.empty(0, np.int64)
         hashes = np.concatenate(hashes) if hashes else none.astype(np.uint64)
@@ -135,35 +148,60 @@ class Benchmark:
                 out += [(items[j], p, 0, n) for j in range(lo[p], hi[p])]
         return out
 
+
+class Benchmark:
+    """One chunk of items, with a table for each kind of template."""
+
+    def __init__(self, items: list[tuple[int | None, str]], c: Config):
+        self.c, memo = c, Memo(code)
+        self.ids, self.tokens, self.places, forms = [], [], [], []
+        for i, t in items:
+            tokens = TOKEN.findall(t or "")
+            both = templates(tokens, memo)
+            if len(both[0].hashes):
+                self.ids.append(i), self.tokens.append([x.lower() for x in tokens]), self.places.append(both[0].at), forms.append(both)
+        self.tables = [Table([f[k] for f in forms], c) for k in (0, 1)]
+
+    def judge(self, item: int, mine: Template, text: Template, tokens: list[str], places: np.ndarray, line: dict[int, int]) -> tuple | None:
+        """(words covered, -first word, share of the item, share of consistent slots) of item entries at their shifts, if they count."""
+        covered = sorted(line)
+        n = int(sum(mine.end[s] - mine.at[s] for s in covered))
+        share = n / len(self.places[item])
+        if share < self.c.coverage and n < self.c.enough:
+            return None
+        there, back, good, total = {}, {}, 0, 0
+        for s in covered:
+            kind, d = int(mine.slot[s]), s + line[s]
+            if kind and text.slot[d]:
+                a, b = self.tokens[item][mine.at[s] : mine.end[s]], [x.lower() for x in tokens[text.at[d] : text.end[d]]]
+                for x, y in zip(a, b, strict=True):
+                    total += 1
+                    fits = there.setdefault((kind, x), y) == y
+                    if kind == TITLE:
+                        fits &= back.setdefault(y, (kind, x)) == (kind, x)
+                    good += fits
+        agree = good / total if total else 1.0
+        if agree < self.c.agreement:
+            return None
+        s = covered[0]
+        first = np.searchsorted(places, text.at[s + line[s]]) - np.searchsorted(self.places[item], mine.at[s])
+        return n, -int(first), share, agree
+
     def matches(self, text: str, memo: Memo) -> list[tuple]:
         """(item id, first word, words covered, share of the item, share of consistent slots) per item, its best alignment."""
         tokens = TOKEN.findall(text)
         if not tokens:
             return []
-        h, slot, at = template(tokens, memo)
+        both = templates(tokens, memo)
         memo.trim()
-        lines: dict[tuple[int, int], set[int]] = {}
-        for item, p, s, n in self.hits(h, slot):
-            lines.setdefault((item, p - s), set()).update(range(s, s + n))
         best: dict[int, tuple] = {}
-        for (item, shift), covered in lines.items():
-            share = len(covered) / self.words[item]
-            if share < self.c.coverage and len(covered) < self.c.enough:
-                continue
-            there, back, good, total = {}, {}, 0, 0
-            for s in sorted(covered):
-                kind = self.slots[item][s]
-                if kind and slot[shift + s]:
-                    mine, theirs = (int(kind), self.values[item][s]), tokens[at[shift + s]].lower()
-                    total += 1
-                    fits = there.setdefault(mine, theirs) == theirs
-                    if kind == TITLE:
-                        fits &= back.setdefault(theirs, mine) == mine
-                    good += fits
-            agree = good / total if total else 1.0
-            if agree >= self.c.agreement:
-                found = (len(covered), -shift, share, agree)
-                if item not in best or found > best[item]:
+        for table, t in zip(self.tables, both, strict=True):
+            lines: dict[tuple[int, int], set[int]] = {}
+            for item, p, s, n in table.hits(t.hashes, t.slot):
+                lines.setdefault((item, p - s), set()).update(range(s, s + n))
+            for (item, shift), covered in lines.items():
+                found = self.judge(item, table.items[item], t, tokens, both[0].at, dict.fromkeys(covered, shift))
+                if found and (item not in best or found > best[item]):
                     best[item] = found
         return [(self.ids[k], -v[1] + 0, v[0], v[2], v[3]) for k, v in sorted(best.items())]
 

@@ -472,6 +472,16 @@ def test_inconsistent_slots_are_no_leak():
     assert bench.matches(twin, memo) and not bench.matches(mess, memo)
 
 
+def test_changed_names_at_the_start_of_sentences():
+    item = "Sam has 3 red pens. Tom has 5 blue pens. Kim gives 4 pens to Sam."
+    twin = "Eve has 6 red pens. Joe has 7 blue pens. Pat gives 8 pens to Eve."
+    mess = "Eve has 6 red pens. Eve has 7 blue pens. Eve gives 8 pens to Joe."
+    bench = decontam.Benchmark([(1, item)], decontam.Config())
+    memo = common.Memo(decontam.code)
+    assert bench.matches(twin, memo) == [(1, 0, 16, 1.0, 1.0)] and bench.matches(item.upper(), memo)
+    assert not bench.matches(mess, memo)
+
+
 def test_leaks_against_plain_search(spark):
     folder = f"{DATA}/sf0.01"
     got = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, folder).collect()}
