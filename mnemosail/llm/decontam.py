@@ -19,11 +19,15 @@ compared too and reported under null. Repeated rows and items repeat their pairs
 Names are title-case words; units are the listed words right after a number. A title-case
 word that starts a sentence may be a name or not, so each text has two templates: one where
 such words are literal, and one where they are names unless listed as ordinary. Either may match.
+In the second, neighbouring names or numbers are one placeholder ("Mary Ann" may stand for "Tom"), and
+diagonals of one item that differ by at most ``drift`` of its length (or a window) are one alignment, as inserted
+words shift what follows. Values of as many words meet word by word, others as a whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +56,7 @@ class Config:
     coverage: float = 0.5
     enough: int = 25
     agreement: float = 0.8
+    drift: float = 0.25
     chunk_windows: int = 1_000_000
 
 
@@ -87,18 +92,25 @@ class Template:
 
 
 def templates(tokens: list[str], memo: Memo) -> tuple[Template, Template]:
-    """Templates without sentence ends: title-case words that start a sentence are literal in the first, names in the second."""
+    """Templates without sentence ends: title-case words that start a sentence are literal in the first; in the second all are names that are not ordinary words, and runs of names or numbers are one entry."""
     c = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
     kind = (c & np.uint64(7)).astype(np.int8)
     before = np.concatenate([[END], kind[:-1]]) if len(kind) else kind
     title, inner = (kind == TITLE) | (kind == ORDINARY_TITLE), before != END
     other = np.where((kind == NUMBER) | (kind == UNIT) & (before == NUMBER), kind, 0)
     at = np.flatnonzero(kind != END)
-    c, out = c[at] & ~np.uint64(7), []
-    for names in (title & inner, title & inner | (kind == TITLE)):
+    c = c[at] & ~np.uint64(7)
+
+    def form(names: np.ndarray) -> Template:
         slot = np.where(names, TITLE, other)[at]
-        out.append(Template(np.where(slot > 0, SLOT_HASH[slot], c), slot, at, at + 1))
-    return out[0], out[1]
+        return Template(np.where(slot > 0, SLOT_HASH[slot], c), slot, at, at + 1)
+
+    plain, t = form(title & inner), form(kind == TITLE)
+    more = (t.slot[1:] == t.slot[:-1]) & ((t.slot[1:] == TITLE) | (t.slot[1:] == NUMBER)) & (at[1:] == at[:-1] + 1)
+    if not more.any():
+        return plain, t
+    first, last = np.flatnonzero(np.concatenate([[True], ~more])), np.flatnonzero(np.concatenate([~more, [True]]))
+    return plain, Template(t.hashes[first], t.slot[first], at[first], t.end[last])
 
 
 def windows(h: np.ndarray, slot: np.ndarray, c: Config) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +186,7 @@ class Benchmark:
             kind, d = int(mine.slot[s]), s + line[s]
             if kind and text.slot[d]:
                 a, b = self.tokens[item][mine.at[s] : mine.end[s]], [x.lower() for x in tokens[text.at[d] : text.end[d]]]
-                for x, y in zip(a, b, strict=True):
+                for x, y in zip(a, b, strict=True) if len(a) == len(b) else [(" ".join(a), " ".join(b))]:
                     total += 1
                     fits = there.setdefault((kind, x), y) == y
                     if kind == TITLE:
@@ -187,6 +199,21 @@ class Benchmark:
         first = np.searchsorted(places, text.at[s + line[s]]) - np.searchsorted(self.places[item], mine.at[s])
         return n, -int(first), share, agree
 
+    def joined(self, lines: dict[tuple[int, int], set[int]]):
+        """(item, shift of each covered entry): for every diagonal, it and those up to ``drift`` further; the longer one takes what two cover."""
+        shifts: dict[int, list[int]] = {}
+        for item, shift in sorted(lines):
+            shifts.setdefault(item, []).append(shift)
+        for item, found in shifts.items():
+            reach = max(self.c.window, int(self.c.drift * len(self.places[item])))
+            for k, low in enumerate(found):
+                near = found[k : bisect_right(found, low + reach)]
+                if len(near) > 1:
+                    line: dict[int, int] = {}
+                    for shift in sorted(near, key=lambda x: len(lines[item, x])):
+                        line.update(dict.fromkeys(lines[item, shift], shift))
+                    yield item, line
+
     def matches(self, text: str, memo: Memo) -> list[tuple]:
         """(item id, first word, words covered, share of the item, share of consistent slots) per item, its best alignment."""
         tokens = TOKEN.findall(text)
@@ -199,8 +226,11 @@ class Benchmark:
             lines: dict[tuple[int, int], set[int]] = {}
             for item, p, s, n in table.hits(t.hashes, t.slot):
                 lines.setdefault((item, p - s), set()).update(range(s, s + n))
-            for (item, shift), covered in lines.items():
-                found = self.judge(item, table.items[item], t, tokens, both[0].at, dict.fromkeys(covered, shift))
+            alignments = [(item, dict.fromkeys(covered, shift)) for (item, shift), covered in lines.items()]
+            if t is both[1]:
+                alignments += self.joined(lines)
+            for item, line in alignments:
+                found = self.judge(item, table.items[item], t, tokens, both[0].at, line)
                 if found and (item not in best or found > best[item]):
                     best[item] = found
         return [(self.ids[k], -v[1] + 0, v[0], v[2], v[3]) for k, v in sorted(best.items())]

@@ -482,6 +482,19 @@ def test_changed_names_at_the_start_of_sentences():
     assert not bench.matches(mess, memo)
 
 
+def test_slot_values_of_other_lengths_and_inserted_words():
+    item = "On a cold morning Tom walked slowly to the market where twelve ripe melons lay in a box and Tom bought some of them before the rain began so that by noon Tom had carried home every melon he could find there"
+    bench = decontam.Benchmark([(1, item)], decontam.Config())
+    memo = common.Memo(decontam.code)
+    twin = item.replace("Tom", "Mary Ann").replace("twelve", "twenty five")
+    assert bench.matches("So " + twin, memo) == [(1, 1, 42, 1.0, 1.0)]
+    more = item.replace("ripe melons", "very ripe melons").replace("before the", "just before the").replace("home every", "back home every")
+    assert [m[0] for m in bench.matches(more, memo)] == [1]
+    mess = item.replace("Tom walked", "Mary Ann walked").replace("Tom bought", "Eve bought").replace("Tom had", "Jo Lee had")
+    assert not bench.matches(mess, memo)
+    assert not bench.matches(words(31, 40) + " " + " ".join(item.split()[:12]) + " " + words(32, 60) + " " + " ".join(item.split()[-10:]), memo)
+
+
 def test_leaks_against_plain_search(spark):
     folder = f"{DATA}/sf0.01"
     got = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, folder).collect()}
