@@ -96,6 +96,29 @@ def duplicate_removals(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return dated.select(F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("id"))
 
 
+def near_duplicate_removals(facts: DataFrame, least: float = 0.85) -> DataFrame:
+    """(id) of every statement, copies included, that some other one of ratio above ``least`` replaces: a newer one, or of the same date a later one.
+
+    Classes of equal statements are compared, not their members. A pair's ratio is taken from the lower id to the
+    higher one and is not symmetric, so classes whose ids overlap are compared both ways. Of what replaces a class
+    only the ids' ends of each date are kept, so neither copies nor pairs of copies are expanded.
+    """
+    facts = facts.where(T.strip(F.coalesce("text", F.lit(""))) != "")
+    rows = facts.select("id", T.normalized_statement(F.col("text")).alias("n"), F.coalesce("date", F.lit("")).alias("date"))
+    dates = rows.groupBy("n", "date").agg(F.max("id").alias("hi"), F.min("id").alias("lo"))
+    pairs, last = block_pairs(facts), rows.groupBy(F.col("n").alias("na")).agg(F.max("id").alias("last"))
+    back = pairs.join(last, "na").where("last > b").select(F.col("nb").alias("x"), F.col("na").alias("y"))
+    ways = pairs.select(F.col("na").alias("x"), F.col("nb").alias("y")).unionByName(back)
+    links = ways.where(sequence_ratio(F.col("x"), F.col("y")) > least)
+    none = F.lit(None).cast(rows.schema["id"].dataType)
+    higher = links.join(dates, links.y == dates.n).select(F.col("x").alias("n"), "date", "hi", none.alias("lo"))
+    lower = links.join(dates, links.x == dates.n).select(F.col("y").alias("n"), "date", none.alias("hi"), "lo")
+    ends = dates.unionByName(higher).unionByName(lower).groupBy("n", "date").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    rivals = ends.groupBy("n").agg(F.collect_list(F.struct("date", "hi", "lo")).alias("rivals"))
+    replaced = F.exists("rivals", lambda r: F.coalesce((r.hi > F.col("id")) & (r.date >= F.col("date")), F.lit(False)) | F.coalesce((r.lo < F.col("id")) & (r.date > F.col("date")), F.lit(False)))
+    return rows.join(rivals, "n").where(replaced).select("id")
+
+
 def restated(facts: DataFrame, claims: list[tuple[str, Column]], least: int = 3) -> DataFrame:
     """(claim, id): all but the newest statement of claims made ``least`` times or more."""
     labels = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in claims]))

@@ -182,6 +182,26 @@ def test_duplicate_tie_removes_the_first(spark):
     assert sorted(r.id for r in M.duplicate_removals(pairs, facts).collect()) == [1, 3]
 
 
+def test_removals_cover_copies(spark):
+    import random
+
+    r, facts = random.Random(12), []
+    bases = [f"{k} " + "the quick brown fox jumps over the lazy dog today " * 3 for k in "abc"]
+    forms = [b + "".join(r.choice("xyz ") for _ in range(r.randrange(30, 60))) for b in bases for _ in range(4)]
+    forms += [bases[0] + "q" * 40 + t for t in (" one", " two")] + ["short", "| when: now", "  ", None]
+    for i in range(1, 121):
+        text = r.choice(forms)
+        facts.append((i, text and r.choice([text, text.upper(), text + " | when: later"]), r.choice([None, "2026-01-01", "2026-01-02", "2026-01-03"])))
+    df = spark.createDataFrame(facts, "id long, text string, date string").repartition(3)
+    norm = {x.id: x.n for x in df.select("id", T.normalized_statement(F.col("text")).alias("n")).collect()}
+    rows = [(i, norm[i], d or "") for i, t, d in facts if (t or "").strip()]
+    want = {i if d <= e else j for k, (i, n, d) in enumerate(rows) for j, m, e in rows[k + 1 :] if n[:50] == m[:50] and SequenceMatcher(None, n, m).ratio() > 0.85}
+    got = [x.id for x in M.near_duplicate_removals(df).collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(rows)
+    kept = spark.createDataFrame([(1, "same words", "2026-01-01"), (2, "same words", "2026-01-02"), (3, "same words", "2026-01-02")], "id long, text string, date string")
+    assert sorted(x.id for x in M.near_duplicate_removals(kept).collect()) == [1, 2]
+
+
 def test_resolution(spark):
     rows = [(True, False, ["m"], None, True, 0, 0.95), (True, False, ["m"], None, True, 0, 0.5), (True, False, ["m"], None, True, 3, 0.95), (False, False, ["m"], None, True, 0, 0.95), (True, False, [], None, None, None, None)]
     df = spark.createDataFrame(rows, "enabled boolean, recall_failed boolean, memories array<string>, error string, contradicts boolean, idx int, confidence double")
