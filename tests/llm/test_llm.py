@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,20 +107,44 @@ def test_pretokens_sum_like_the_library():
 # 5 packing
 
 
-def test_chunk_ids_are_the_tokenizers():
-    enc = packing.ChunkEncoder()
-    tricky = ["", None, "İstanbul Straße'S don't ... naïve, ﬁ x́y <|endoftext|>! ΣΑΣ ab\x1cc a\x85b a\xa0b　c ª1º2 ?!a., é. É,, 3.14", "A" * 5000, "\n \t\r"]
+def word_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(packing.MODEL))
+
+
+def word_ids(t, tokenizer=None):
+    return (tokenizer or word_tokenizer()).encode(t or "", add_special_tokens=False).ids
+
+
+def test_ids_are_the_tokenizers():
+    enc, tokenizer = packing.Encoder(), word_tokenizer()
+    tricky = ["", None, "İstanbul Straße'S don't ... naïve, ﬁ x́y <|endoftext|>! ΣΑΣ ab\x1cc a\x85b a\xa0b　c ª1º2 ?!a., é. É,, 3.14", "A" * 5000, "\n \t\r", "<|endoftext|>", "''s'sun we'LL\x0bx"]
+    tricky += [f"a{chr(c)}b {chr(c)}'{chr(c).upper()}" for c in range(0x250)]
     r = random.Random(7)
     tricky += ["".join(r.choice(" aB'sé.,!7ñß\n中") for _ in range(60)) for _ in range(200)]
-    for t, got in zip(tricky, enc.encode(tricky), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == enc.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+    ids, size = enc.encode(pa.array(tricky))
+    at = np.concatenate([[0], np.cumsum(size)])
+    for k, t in enumerate(tricky):
+        assert ids[at[k] : at[k + 1]].tolist() == word_ids(t, tokenizer), repr(t)
+    some = [t for t in tricky if t and t.isascii()]
+    assert enc.encode(pa.array(some))[0].tolist() == [i for t in some for i in word_ids(t, tokenizer)]
+
+
+def test_bulks_are_bounded_and_whole():
+    texts = ["x" * n for n in (10, 0, 900, 5, 300, 300, 300, 4000, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])] * 2
+    got = list(packing.bulks(batches, 1000))
+    assert [t for _, part in got for t in part.to_pylist()] == texts * 2
+    assert all(sum(map(len, part.to_pylist())) <= 1000 or len(part) == 1 for _, part in got)
 
 
 def test_packing_round_trip(docs, none):
-    got = packing.pack(docs, capacity=256, slack=4, group_items=4).toPandas()
-    enc, want = packing.ChunkEncoder(), collections.Counter()
+    got = packing.pack(docs, capacity=256, slack=4, group_items=4, fan_in=2).toPandas()
+    tokenizer, want = word_tokenizer(), collections.Counter()
     for i, t in [*TEXTS.items(), (5, TEXTS[5]), (None, BASE), (None, None)]:
-        ids = enc.encode([t])[0] + b"\0\0\0\0"
+        ids = np.array([*word_ids(t, tokenizer), 0], "<u4").tobytes()
         for p, at in enumerate(range(0, len(ids), 1024)):
             want[(i, p, at // 4, len(ids[at : at + 1024]) // 4, zlib.crc32(ids[at : at + 1024]))] += 1
     have = collections.Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples())
@@ -134,6 +159,15 @@ def test_packing_round_trip(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_tree_reaches_one_root(spark):
+    text = F.repeat(F.lit("the "), (F.col("id") * 37 % 90 + 5).cast("int"))
+    df = spark.range(600).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(20)
+    used, least = packing.fill_rate(packing.pack(df, capacity=256, fan_in=2), 256)
+    assert least <= used <= 1.05 * least
+    split, _ = packing.fill_rate(packing.pack(df, capacity=256, fan_in=2, group_items=3), 256)
+    assert split <= 1.1 * least
+
+
 def test_best_fit_is_close_to_the_bound():
     sizes = np.random.default_rng(3).integers(1, 1500, 5000)
     bins, offsets, fill = packing.best_fit(sizes, 2048)
@@ -533,6 +567,6 @@ def test_pipeline_equals_brute_force(spark):
     want = {i for i, t in cut.items() if not any(b in flat(t) for b in bench)}
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert set(got.doc_id) == want
-    enc = packing.ChunkEncoder()
-    assert got.groupby("doc_id").length.sum().to_dict() == {i: len(enc.encode([cut[i]])[0]) // 4 + 1 for i in want}
+    tokenizer = word_tokenizer()
+    assert got.groupby("doc_id").length.sum().to_dict() == {i: len(word_ids(cut[i], tokenizer)) + 1 for i in want}
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
