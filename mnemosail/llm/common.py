@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import uuid
 from collections.abc import Iterable
 from pathlib import Path
@@ -13,10 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, one machine).
-FALLBACK_DIR = "file:///tmp/checkpoints"
-#: Rows per Arrow batch handed to Python; texts can be long, so batches stay small.
-BATCH_ROWS = 1000
+#: Shared folder of a session that names none and whose executors are threads of this process.
+LOCAL_DIR = "file:///tmp/checkpoints"
+#: Bytes per Arrow batch handed to Python; texts can be long, so batches stay small.
+BATCH_BYTES = 4 << 20
 MASK64 = (1 << 64) - 1
 
 
@@ -25,15 +23,19 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor. Used where a table
-    is read more than once or an iteration would otherwise grow its plan.
+    is read more than once or an iteration would otherwise grow its plan. The
+    table is deleted when the application ends, or before by ``discard``.
 
     share: tables of narrow rows are written by one task for so many shuffle
     partitions; many tiny files cost more than they hold.
@@ -42,38 +44,48 @@ def materialize(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
     if share > 1:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     path = f"{shared_dir(spark)}/mnemosail/{tag}-{uuid.uuid4().hex}"
+    place, fs = _filesystem(spark, path)
+    fs.deleteOnExit(place)
     _WRITTEN.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
 
 
-#: Tables that this process has written.
+#: Tables that this process has written and not deleted.
 _WRITTEN: list[str] = []
 
 
-def discard_tables(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote so far. Call it when no result that reads it is needed any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+def _filesystem(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-@atexit.register
-def _forget_fallback() -> None:
-    """On one machine the fallback folder is this process's own."""
-    for path in _WRITTEN:
-        if path.startswith(FALLBACK_DIR):
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+def written() -> int:
+    """A mark for ``discard``."""
+    return len(_WRITTEN)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def discard(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables that ``materialize`` wrote after a mark, but for those in ``keep``."""
+    kept = {k.table_path for k in keep}
+    gone = [p for p in _WRITTEN[since:] if p not in kept]
+    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p in kept]
+    for path in gone:
+        place, fs = _filesystem(spark, path)
+        fs.delete(place, True)
+
+
+def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of long texts can hold in a Python worker, and let workers find this package.
 
-    The path serves workers that see the driver's files; clusters that ship
-    the package with the job do not need it.
+    A lower bound that the session has already stays. The path serves workers
+    that see the driver's files; clusters that ship the package with the job do not need it.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     env.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     # workers outlive their tasks: what a task frees goes back to the system, not to a pool

@@ -14,8 +14,8 @@ from .common import crc_mod, read_table
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per later copy of a passage of 50 words or more: its document, place, and the document that holds it earlier."""
     docs = read_table(spark, sf_dir, "documents")
-    spans = suffix_dedup.repeated_spans(docs, length=50).select("did", F.explode("spans").alias("s"))
-    return spans.select(F.col("did").alias("doc_id"), F.col("s.start").alias("start_word"), (F.col("s.stop") - F.col("s.start")).alias("n_words"), F.col("s.source").alias("earlier_doc_id"))
+    spans = suffix_dedup.repeated_spans(docs, length=50).select(suffix_dedup.id_of("did", "th").alias("doc_id"), F.explode("spans").alias("s"))
+    return spans.select("doc_id", F.col("s.start").alias("start_word"), (F.col("s.stop") - F.col("s.start")).alias("n_words"), F.col("s.source").alias("earlier_doc_id"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix64, session, small_batches, window_argmin, word_hashes, word_memo
@@ -52,10 +52,16 @@ def grams_of(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     return g, window_argmin(g, length - gram + 1)
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """(did, th): an id (of the text, if null) and a hash of the text, odd where the id is null."""
+    i = doc_id.cast("long")
+    return F.coalesce(i, F.xxhash64(text, F.lit("id"))), F.hash(text).bitwiseAND(-2).bitwiseOR(i.isNull().cast("int"))
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_id, text, and a key of the row: an id (of the text if null) and a hash of the text."""
-    t = F.col(text)
-    return docs.select(F.col(doc_id).cast("long").alias("id"), t.alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(t, F.lit("id"))).alias("did"), F.hash(t).alias("th"))
+    """id, text and the row's key (did, th)."""
+    did, th = row_key(F.col(doc_id), F.col(text))
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), did.alias("did"), th.alias("th"))
 
 
 def sketch(docs: DataFrame, length: int, gram: int, cells: int, heavy: int, text: str = "text", most: int = 2048) -> tuple[list[np.ndarray], list[np.ndarray]]:

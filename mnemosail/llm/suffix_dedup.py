@@ -1,4 +1,4 @@
-"""Removal of repeated passages with sparse suffixes, grouped by their first words.
+"""Removal of repeated passages by sparse suffix arrays.
 
 Suffixes are kept only where a content-selected minimiser starts: in every
 window of ``length`` words the ``gram``-word run with the smallest hash. Equal
@@ -8,18 +8,20 @@ same places of it, about one in ``(length - gram) / 2`` words.
 1. Suffixes whose first ``gram`` words occur once in the corpus cannot match
    and are dropped; within a task, repeated ones are settled and announced once.
 2. The others get their context (``length - gram`` words to either side, as 32-bit word hashes) and are
-   dealt by their first words. Of prefixes with more than ``group`` suffixes the windows
-   that chose a suffix travel instead, by the 64-bit hash of all their words, so equal ones meet wherever
-   they are; a task settles those that repeat within it, and each of its windows is sent once.
-3. Among the suffixes of one prefix every window of ``length`` words around it is looked up by the hash of
-   its parts to the left and to the right, and marked if an earlier suffix has the same. No window is left out,
-   however many others share parts of it.
+   dealt by their first words, which makes each task a part of the suffix array. Of prefixes with more
+   than ``group`` suffixes the windows that chose a suffix travel instead, by the 64-bit hash of all their
+   words, so equal ones meet wherever they are; a task settles those that repeat within it, and each of its
+   windows is sent once.
+3. Suffixes are sorted by what follows their prefix, and again by what precedes it, and compared with their
+   neighbours in either order. Matches extend to the right as far as neighbours share words, and to the
+   left likewise: a window of ``length`` words is the same in two suffixes where both extensions reach its ends. No window
+   is left out, however many others share parts of it.
 
 Only a later occurrence is ever marked, so the first copy of every passage
 stays. Longer passages are covered piece by piece, since each of their windows has a
 suffix. Order in the corpus is by id, then place. Words are ``bytes.split`` words.
 
-Null and empty texts and texts shorter than ``length`` words have no suffixes. Null ids are
+Null and empty texts and texts shorter than ``length`` words have no suffixes. Null ids stay null, and are
 ordered by a hash of their text; repeated rows of one id and text are one document and keep
 the same words. Ties of everything are equal and lose nothing.
 """
@@ -31,12 +33,12 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import gram_hashes, materialize, merge_spans, mix64, session, small_batches, window_argmin, word_hashes, word_memo
-from .substring import keyed
+from .substring import keyed, row_key
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -102,9 +104,16 @@ def with_breadth(found: DataFrame, group: int) -> DataFrame:
 SUFFIX, WINDOW, SETTLED = range(3)
 MARKS = "key long, kind int, did long, th int, pos int, stop int, source long, right binary, left binary"
 MARK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+#: Source without an id; the id of this value, if there is one, reads as null too.
+NO_ID = (1 << 63) - 1
 MARK_NAMES = [c.split()[0] for c in MARKS.split(", ")]
 
 
+def named(did: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """Ids as sources; rows without one (``row_key`` marks them) count as the largest, so that a least source has an id if any has."""
+    return np.where(th & 1 == 1, NO_ID, did)
+
+
 def settle(key: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
     """Marks of a task's windows, given in the order of the corpus: the first of each key is a window, later ones are settled spans."""
     order = np.argsort(key, kind="stable")
@@ -113,7 +122,7 @@ def settle(key: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray,
     first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     lead = first == np.arange(len(key))
     w, k = np.flatnonzero(lead), np.flatnonzero(~lead)
-    source = did[first[k]]
+    source = named(did, th)[first[k]]
     cut = np.flatnonzero(np.concatenate([[True], (did[k][1:] != did[k][:-1]) | (th[k][1:] != th[k][:-1]) | (start[k][1:] != start[k][:-1] + 1) | (source[1:] != source[:-1])])) if len(k) else k
     end = np.append(cut[1:], len(k))[: len(cut)] - 1
     a = k[cut]
@@ -188,28 +197,35 @@ def matrix(rows: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
     return data, size
 
 
-def prefix_hashes(rows: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit hashes of the first 0, 1, ... words of each row, one column each."""
-    out = np.empty((len(rows), rows.shape[1] + 1), np.uint64)
-    out[:, 0] = seed
-    with np.errstate(over="ignore"):
-        for k in range(rows.shape[1]):
-            out[:, k + 1] = mix64(out[:, k] * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
-    return out
+def sorted_runs(group: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a suffix array over the contexts of each group, and the words that each entry shares with the one before it (-1 at a group's first)."""
+    text = np.concatenate([group.astype(">u4")[:, None], rows], axis=1)
+    order = np.argsort(np.ascontiguousarray(text).view(f"S{4 * text.shape[1]}")[:, 0], kind="stable")
+    g, w, n = group[order], rows[order], size[order]
+    differ = np.concatenate([w[1:] != w[:-1], np.ones((max(0, len(w) - 1), 1), bool)], axis=1)
+    shared = np.minimum(differ.argmax(axis=1), np.minimum(n[1:], n[:-1]))
+    return order, np.concatenate([[-1], np.where(g[1:] == g[:-1], shared, -1)])
 
 
 def earliest_equal(group: np.ndarray, R: np.ndarray, nr: np.ndarray, L: np.ndarray, nl: np.ndarray) -> np.ndarray:
     """For each row, given in the order of the corpus, and each l: the first row of its group with the same l words
-    on the left and ``side - l`` on the right; -1 where the text has fewer."""
+    on the left and ``side - l`` on the right; -1 where the text has fewer.
+
+    Neighbours in the sorted order that share k words are one run of the length-k contexts; rows of one
+    run to the right and one run to the left have the same window.
+    """
     n, side = R.shape
-    right, left = prefix_hashes(R, 1), prefix_hashes(L, 2)
+    by_right, share_right = sorted_runs(group, R, nr)
+    by_left, share_left = sorted_runs(group, L, nl)
+    run_right, run_left = np.empty(n, np.int64), np.empty(n, np.int64)
     out = np.full((n, side + 1), -1, np.int64)
     for l in range(side + 1):
         at = np.flatnonzero((nl >= l) & (nr >= side - l))
         if not len(at):
             continue
-        with np.errstate(over="ignore"):
-            w = mix64(mix64(left[at, l] + right[at, side - l] * np.uint64(0xD6E8FEB86659FD93)) + group[at].astype(np.uint64))
+        run_right[by_right] = np.cumsum(share_right < side - l)
+        run_left[by_left] = np.cumsum(share_left < l)
+        w = run_right[at] * (n + 1) + run_left[at]
         order = np.argsort(w, kind="stable")
         new = np.concatenate([[True], w[order][1:] != w[order][:-1]])
         out[at[order], l] = at[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
@@ -234,7 +250,7 @@ def compare(groups: DataFrame, length: int, gram: int, chunk: int = 20_000) -> D
             elif k != key:
                 key, lead = k, (did, th, pos)
             elif (did, th, pos) != lead:
-                out.append((did, th, pos, pos + length, lead[0]))
+                out.append((did, th, pos, pos + length, NO_ID if lead[1] & 1 else lead[0]))
         return batch(*zip(*out, strict=True)) if out else None
 
     def spans(rows: list[tuple]) -> pa.RecordBatch | None:
@@ -249,7 +265,7 @@ def compare(groups: DataFrame, length: int, gram: int, chunk: int = 20_000) -> D
         lead = np.where((lead < 0) | same, -1, lead)
         # neighbouring windows with one source are one span
         edge = np.full((n, 1), -1, np.int64)
-        source = np.where(lead < 0, edge, did[lead])
+        source = np.where(lead < 0, edge, named(did, th)[lead])
         marked = lead >= 0
         joins = marked[:, 1:] & marked[:, :-1] & (source[:, 1:] == source[:, :-1])
         no = np.zeros((n, 1), bool)
@@ -284,7 +300,7 @@ def compare(groups: DataFrame, length: int, gram: int, chunk: int = 20_000) -> D
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group: int = 1000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(did, th, spans): per document with later copies of passages, its disjoint spans (start, stop, source), in words."""
+    """(did, th, spans): per document (``row_key``) with later copies of passages, its disjoint spans (start, stop, source), in words; source: an earlier holder's id."""
     spark = session(docs)
     small_batches(spark)
     rows = keyed(docs, doc_id, text)
@@ -295,6 +311,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, group: int
     return once.groupBy("did", "th").agg(F.collect_list(F.struct("start", "stop", "source")).alias("_spans")).mapInArrow(_merge, "did long, th int, spans array<struct<start:int,stop:int,source:long>>")
 
 
+def id_of(did: str, th: str) -> Column:
+    """The id of a row key, null if the row has none."""
+    return F.when(F.col(th).bitwiseAND(1) == 0, F.col(did))
+
+
 def _merge(batches):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("source", pa.int64())]))
     for b in batches:
@@ -306,7 +327,9 @@ def _merge(batches):
                 while s["start"] >= merged[k]["stop"]:
                     k += 1
                 m = merged[k]
-                m["source"] = s["source"] if m["source"] is None else min(m["source"], s["source"])
+                m["source"] = min(s["source"], NO_ID if m["source"] is None else m["source"])
+            for m in merged:
+                m["source"] = None if m["source"] == NO_ID else m["source"]
             out.append(merged)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["did", "th", "spans"])
 
@@ -324,8 +347,8 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def without_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """``docs`` with later copies of passages cut from the texts, in all their columns; other texts stay as they are."""
     spans = repeated_spans(docs, length, doc_id=doc_id, text=text, **more).withColumnsRenamed({"did": "_did", "th": "_th", "spans": "_spans"})
-    t, i = F.col(text), F.col(doc_id).cast("long")
-    keys = docs.withColumns({"_did": F.coalesce(i, F.xxhash64(t, F.lit("id"))), "_th": F.hash(t)})
+    t = F.col(text)
+    keys = docs.withColumns(dict(zip(("_did", "_th"), row_key(F.col(doc_id), t), strict=True)))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -77,11 +77,35 @@ def test_merge_spans():
 
 
 def test_tables_are_discarded(spark):
-    t = common.materialize(spark.range(5), "probe")
+    mark = common.written()
+    t, kept = common.materialize(spark.range(5), "probe"), common.materialize(spark.range(3), "probe")
     assert t.count() == 5
-    common.discard_tables(spark)
+    common.discard(spark, mark, kept)
     with pytest.raises(Exception, match="FILE_NOT_EXIST|FAILED_READ_FILE|does not exist"):
         t.count()
+    assert kept.count() == 3 and common.written() == mark + 1
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    common.small_batches(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    long = spark.range(12).repartition(1).select(F.repeat(F.lit("x"), 3_000_000).alias("t"))
+    assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) <= 2
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
 
 
 # 2 token counts
@@ -310,6 +334,52 @@ def test_copies_among_longer_one_sided_matches(spark):
     assert {i: t.encode().split() for i, t in got.items()} == brute_later(texts, 50)
 
 
+def test_rows_of_later_copies(spark, tmp_path):
+    shared = [words(600 + k, 60 + k, 10**6) for k in range(4)]
+    r = random.Random(3)
+    texts = {}
+    for i in range(40):
+        parts = [words(700 + i, 30, 10**6), *r.sample(shared, r.randrange(0, 3)), words(900 + i, 10 + i, 10**6)]
+        texts[i] = " ".join(parts)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_suffix_dedup(spark, str(tmp_path)).collect()
+    seen, want = {}, set()
+    for i in sorted(texts):
+        w = texts[i].split()
+        spans = []
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), i) != i:
+                spans.append((k, k + 50, seen[tuple(w[k : k + 50])]))
+        for a, z in common.merge_spans((a, z) for a, z, _ in spans):
+            want.add((i, a, z - a, min(x for b, _, x in spans if a <= b < z)))
+    assert len(want) > 20
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_copies_without_ids(spark, tmp_path):
+    rows_ = [(1, "a b " + PASSAGE), (None, PASSAGE + " c"), (None, None), (2, None)]
+    spark.createDataFrame(rows_, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = queries.op1_suffix_dedup(spark, str(tmp_path)).collect()
+    assert (row.doc_id, row.start_word, row.n_words, row.earlier_doc_id) in {(1, 2, 70, None), (None, 0, 70, 1)}
+
+
+def test_neighbours_of_sorted_contexts():
+    r = np.random.default_rng(5)
+    n, side = 400, 6
+    group = np.sort(r.integers(0, 5, n))
+    R, L = r.integers(0, 2, (n, side)).astype(">u4"), r.integers(0, 2, (n, side)).astype(">u4")
+    nr, nl = r.integers(0, side + 1, n), r.integers(0, side + 1, n)
+    for x, m in ((R, nr), (L, nl)):
+        x[np.arange(side)[None] >= m[:, None]] = 0
+    got = suffix_dedup.earliest_equal(group, R, nr, L, nl)
+    for l in range(side + 1):
+        seen = {}
+        for i in range(n):
+            ok = nl[i] >= l and nr[i] >= side - l
+            key = (group[i], tuple(L[i, :l]), tuple(R[i, : side - l]))
+            assert got[i, l] == (seen.setdefault(key, i) if ok else -1)
+
+
 def brute_windows(rows_, length):
     split = [(t or "").encode().split() for _, t in rows_]
     count = collections.Counter(tuple(w[k : k + length]) for w in split for k in range(len(w) - length + 1))
