@@ -3,15 +3,17 @@
 Numbers, names and units become typed placeholders, so a question whose
 values were changed keeps its template. Windows of ``window`` template words are
 joined by hash between benchmark and documents; windows with fewer than
-``literals`` ordinary words are too general and are left out. Matching windows of one
+``literals`` ordinary words are too general and are left out. Items of which such windows cover too little (a
+row of numbers, a short question) are looked up whole and word for word instead, whatever their length. Matching windows of one
 item that lie on one diagonal of a document are one alignment. An alignment
 counts if it covers ``coverage`` of the item's words (or ``enough`` words), and if its
 slots are consistent: one value of the item always meets one value of the
 document, and different names meet different names, for ``agreement`` of its slots.
 
-The benchmark is broadcast in chunks of at most ``chunk_windows`` windows, one
+The benchmark is broadcast in chunks of about ``chunk_windows`` windows, one
 pass over the documents each, so its size never meets a limit. Items shorter than
 a window form one window with all their words, which needs ``literals`` ordinary words or only ordinary ones.
+With more than one chunk each chunk's result is written before the next chunk is built, so the driver holds one at a time.
 
 Null and empty texts (on either side) match nothing. Rows with a null id are
 compared too and reported under null. Repeated rows and items repeat their pairs.
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, gram_hashes, session, small_batches
+from .common import Memo, discard, gram_hashes, materialize, session, small_batches, written
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?]")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
@@ -113,6 +115,16 @@ def templates(tokens: list[str], memo: Memo) -> tuple[Template, Template]:
     return plain, Template(t.hashes[first], t.slot[first], at[first], t.end[last])
 
 
+def verbatim(tokens: list[str], memo: Memo) -> Template:
+    """The template in which every word stands for itself."""
+    c = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
+    at = np.flatnonzero((c & np.uint64(7)) != END)
+    return Template(c[at] & ~np.uint64(7), np.zeros(len(at), np.int64), at, at + 1)
+
+
+NOTHING = verbatim([], Memo(int))
+
+
 def windows(h: np.ndarray, slot: np.ndarray, c: Config) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts) of the windows that are specific enough."""
     g = gram_hashes(h, c.window)
@@ -131,7 +143,7 @@ class Table:
         for k, t in enumerate(items):
             n = len(t.hashes)
             if n < c.window:
-                if (t.slot == 0).sum() >= min(c.literals, n):
+                if n and (t.slot == 0).sum() >= min(c.literals, n):
                     short.setdefault(n, []).append((int(gram_hashes(t.hashes, n)[0]), k))
                 continue
             g, s = windows(t.hashes, t.slot, c)
@@ -144,6 +156,22 @@ class Table:
         self.bits[self.hashes & np.uint64((1 << 22) - 1)] = True
         self.short = {n: (np.array(sorted(x[0] for x in v), np.uint64), [x[1] for x in sorted(v)]) for n, v in short.items()}
 
+    def __len__(self) -> int:
+        return len(self.hashes) + len(self.short)
+
+    def share(self) -> np.ndarray:
+        """Share of each item's words that its windows cover."""
+        out = np.zeros(len(self.items))
+        for k in np.unique(self.item):
+            t, edge = self.items[k], np.zeros(len(self.items[k].hashes) + 1, np.int64)
+            s = self.start[self.item == k]
+            np.add.at(edge, s, 1)
+            np.add.at(edge, s + self.c.window, -1)
+            out[k] = (t.end - t.at)[np.cumsum(edge[:-1]) > 0].sum() / (t.end - t.at).sum()
+        for _, items in self.short.values():
+            out[items] = 1.0
+        return out
+
     def hits(self, h: np.ndarray, slot: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, document start, item start, words) of every matching window."""
         out = []
@@ -162,7 +190,7 @@ class Table:
 
 
 class Benchmark:
-    """One chunk of items, with a table for each kind of template."""
+    """One chunk of items, with a table for each kind of template, and one for items that only match word for word."""
 
     def __init__(self, items: list[tuple[int | None, str]], c: Config):
         self.c, memo = c, Memo(code)
@@ -171,15 +199,19 @@ class Benchmark:
             tokens = TOKEN.findall(t or "")
             both = templates(tokens, memo)
             if len(both[0].hashes):
-                self.ids.append(i), self.tokens.append([x.lower() for x in tokens]), self.places.append(both[0].at), forms.append(both)
+                self.ids.append(i), self.tokens.append(tokens), self.places.append(both[0].at), forms.append(both)
         self.tables = [Table([f[k] for f in forms], c) for k in (0, 1)]
+        found = np.maximum(*(t.share() for t in self.tables)) if forms else []
+        lost = [x < c.coverage for x in found]
+        self.tables.append(Table([verbatim(t, memo) if k else NOTHING for t, k in zip(self.tokens, lost, strict=True)], c))
+        self.tokens = [[x.lower() for x in t] for t in self.tokens]
 
-    def judge(self, item: int, mine: Template, text: Template, tokens: list[str], places: np.ndarray, line: dict[int, int]) -> tuple | None:
-        """(words covered, -first word, share of the item, share of consistent slots) of item entries at their shifts, if they count."""
+    def judge(self, item: int, mine: Template, text: Template, tokens: list[str], places: np.ndarray, line: dict[int, int], whole: bool = False) -> tuple | None:
+        """(words covered, -first word, share of the item, share of consistent slots) of item entries at their shifts, if they count; ``whole``: if they are all of the item."""
         covered = sorted(line)
         n = int(sum(mine.end[s] - mine.at[s] for s in covered))
         share = n / len(self.places[item])
-        if share < self.c.coverage and n < self.c.enough:
+        if share < (1 if whole else self.c.coverage) and (whole or n < self.c.enough):
             return None
         there, back, good, total = {}, {}, 0, 0
         for s in covered:
@@ -222,7 +254,9 @@ class Benchmark:
         both = templates(tokens, memo)
         memo.trim()
         best: dict[int, tuple] = {}
-        for table, t in zip(self.tables, both, strict=True):
+        for table, t in zip(self.tables, (*both, verbatim(tokens, memo) if len(self.tables[2]) else NOTHING), strict=True):
+            if not len(t.hashes):
+                continue
             lines: dict[tuple[int, int], set[int]] = {}
             for item, p, s, n in table.hits(t.hashes, t.slot):
                 lines.setdefault((item, p - s), set()).update(range(s, s + n))
@@ -230,14 +264,17 @@ class Benchmark:
             if t is both[1]:
                 alignments += self.joined(lines)
             for item, line in alignments:
-                found = self.judge(item, table.items[item], t, tokens, both[0].at, line)
+                found = self.judge(item, table.items[item], t, tokens, both[0].at, line, table is self.tables[2])
                 if found and (item not in best or found > best[item]):
                     best[item] = found
         return [(self.ids[k], -v[1] + 0, v[0], v[2], v[3]) for k, v in sorted(best.items())]
 
 
 def benchmark_chunks(benchmark: DataFrame, c: Config, item_id: str, item_text: str):
-    """Broadcast parts of the benchmark, each of about ``chunk_windows`` windows at most."""
+    """Broadcast parts of the benchmark, each of about ``chunk_windows`` windows, and whether it is the only one.
+
+    A part is released when the next is asked for.
+    """
     spark = session(benchmark)
     items = benchmark.select(F.col(item_id).cast("long").alias("_item"), F.col(item_text).alias("_text")).where(F.col("_text").isNotNull())
     # a word takes two characters at least, so this bounds the windows from above
@@ -246,7 +283,10 @@ def benchmark_chunks(benchmark: DataFrame, c: Config, item_id: str, item_text: s
     for k in range(chunks):
         part = items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(chunks)) == k).toArrow()
         rows = sorted(zip(part["_item"].to_pylist(), part["_text"].to_pylist(), strict=True), key=str)
-        yield spark.sparkContext.broadcast(Benchmark(rows, c))
+        shared = spark.sparkContext.broadcast(Benchmark(rows, c))
+        yield shared, chunks == 1
+        if chunks > 1:
+            shared.destroy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -255,7 +295,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(), do
     schema = "doc_id long, item_id long, start long, n_words long, coverage double, consistency double"
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     out = None
-    for shared in benchmark_chunks(benchmark, c, item_id, item_text):
+    for shared, only in benchmark_chunks(benchmark, c, item_id, item_text):
 
         def run(batches, shared=shared):
             bench, memo = shared.value, Memo(code)
@@ -268,6 +308,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(), do
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names)
 
         found = rows.mapInArrow(run, schema)
+        if only:
+            return found
+        found = materialize(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -275,7 +318,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(), do
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows of ``docs``, in all their columns, that match no benchmark item."""
     small_batches(session(docs))
-    for shared in benchmark_chunks(benchmark, c, item_id, item_text):
+    mark = written()
+    for shared, only in benchmark_chunks(benchmark, c, item_id, item_text):
 
         def run(batches, shared=shared):
             bench, memo = shared.value, Memo(code)
@@ -283,4 +327,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(
                 yield b.filter(pa.array([not (t and bench.matches(t, memo)) for t in b.column(text).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not only:
+            docs = materialize(docs, "clean")
+            discard(session(docs), mark, docs)
     return docs

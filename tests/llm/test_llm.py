@@ -555,14 +555,17 @@ def test_templates(spark, none):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     same = "Intro text. Then Bob Jones buys 30 apples and gives 9 apples to Mary Fox before walking 8 miles home to his old house."
     odd = "So Tom Smith buys 12 apples and gives 5 apples to Tom Smith before walking 12 km home to his old house."
-    rows_ = [(1, same), (2, words(1, 500) + " " + ITEMS[1][1].upper() + " " + words(2, 500)), (3, words(3, 300)), (4, None), (5, ""), (6, "a short item here now"), (None, ITEMS[1][1]), (7, odd), (8, ITEMS[0][1] + " " + ITEMS[0][1])]
+    mixed = "So Bob Bob buys 30 apples and gives 9 apples to Bob Bob before walking 8 miles home to his old house."
+    rows_ = [(1, same), (2, words(1, 500) + " " + ITEMS[1][1].upper() + " " + words(2, 500)), (3, words(3, 300)), (4, None), (5, ""), (6, "a short item here now"), (None, ITEMS[1][1]), (7, odd), (8, ITEMS[0][1] + " " + ITEMS[0][1]), (9, mixed)]
     df = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("item_id", F.lit("x"))
     for c in (decontam.Config(), decontam.Config(chunk_windows=40)):
         got = decontam.contaminated(df, bench, c)
-        assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2), (6, 3), (None, 2), (8, 1)} | ({(7, 1)} & {(r.doc_id, r.item_id) for r in got.collect()})
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2), (6, 3), (None, 2), (7, 1), (8, 1)}
         assert got.where("doc_id = 1").first().consistency == 1.0
+        # one slot of seven disagrees in 7, which the bound allows; 9 gives one name to three people
+        assert 0.8 <= got.where("doc_id = 7").first().consistency < 1
         kept = decontam.drop_contaminated(df, bench, c)
-        assert {3, 4, 5} <= {r.doc_id for r in kept.collect()} and not {1, 2, 6, 8} & {r.doc_id for r in kept.collect()}
+        assert {r.doc_id for r in kept.collect()} == {3, 4, 5, 9}
     assert decontam.contaminated(none, bench).count() == 0
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
 
@@ -599,6 +602,25 @@ def test_slot_values_of_other_lengths_and_inserted_words():
     assert not bench.matches(words(31, 40) + " " + " ".join(item.split()[:12]) + " " + words(32, 60) + " " + " ".join(item.split()[-10:]), memo)
 
 
+def test_items_without_ordinary_words_match_word_for_word(spark):
+    items = ["What is 12 + 5?", "1 2 3 4 5 6 7 8 9 10", "Tom has 3", "Tom 3 Ann 4 Ben 5 Kim 6 Eve 7 Joe 8", "7"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"before. {t} after" for t in items] + ["What is 13 + 5?", "1 2 3 4 5 6 7 8 9 11", "Tom has 4", "no items"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (1, 4), (3, 4), (6, 4)}
+
+
+def test_long_and_repeated_texts(spark):
+    item = words(321, 40, 9000)
+    bench = spark.createDataFrame([(1, item), (1, item), (2, words(322, 3000, 9000))], "item_id long, text string")
+    long = words(11, 60_000) + " " + item + " " + words(12, 60_000)
+    df = spark.createDataFrame([(1, long), (1, long), (2, words(13, 120_000)), (3, words(14, 50) + " " + words(322, 3000, 9000))], "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.start, r.n_words) for r in decontam.contaminated(df, bench).collect()]
+    assert sorted(got) == [(1, 1, 60_000, 40)] * 4 + [(3, 2, 50, 3000)]
+    assert [r.doc_id for r in decontam.drop_contaminated(df, bench).collect()] == [2]
+
+
 def test_leaks_against_plain_search(spark):
     folder = f"{DATA}/sf0.01"
     got = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, folder).collect()}
