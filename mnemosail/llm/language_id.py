@@ -9,8 +9,10 @@ winner in exp(-loss); ``ambiguous`` marks texts whose runner-up is close.
 Up to 6 languages get the exhaustive code (every split of the languages but
 complements); more get seeded random columns, redrawn for distance.
 
-Only a bounded sample is fitted (about ``sample`` texts in all, shared equally, by a hash of the
-id); every text is read whole. Null texts and texts without a letter are
+Only a bounded sample is fitted: about ``sample`` texts in all, shared equally by the languages, but up to ``least`` of
+each language, however many there are, chosen by a hash of the id; and of each language ``sample_bytes`` of text
+over the number of languages at most (the first texts by that hash that fit). Every language that has such a text can be predicted. Every
+text is read whole. Null texts and texts without a letter are
 ``und`` with score 0 and not ambiguous. A null id is kept; repeated rows repeat.
 Without training rows everything with letters is ``und`` with score 0.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, small_batches
-from .linear_bag import LETTER, WORD, Vocabulary, groups, word_lists
+from .linear_bag import WORD, Vocabulary, bounded_sample, groups, has_letter, word_lists
 
 UNKNOWN = "und"
 
@@ -36,9 +38,10 @@ class Config:
     hi: int = 4
     buckets: int = 1 << 13
     sample: int = 2800
-    max_languages: int = 400
+    least: int = 8
+    sample_bytes: int = 1 << 26
     epochs: int = 30
-    words: int = 300
+    patience: int = 3
     rate: float = 0.5
     margin: float = 0.2
     seed: int = 11
@@ -91,7 +94,7 @@ def fit(texts: list[str], languages: list[str], c: Config = Config()) -> Model |
     rows, lang = [], []
     for t, g in zip(texts, languages, strict=True):
         w = WORD.findall((t or "").lower())
-        if not w or not LETTER.search(t):
+        if not w or not has_letter(t):
             continue
         # a fit on the whole text and on a piece of it, so short texts are known too
         cut = int(rng.integers(0, len(w)))
@@ -102,35 +105,56 @@ def fit(texts: list[str], languages: list[str], c: Config = Config()) -> Model |
         return None
     where, first = word_lists(list(index), c.lo, c.hi, c.buckets)
     n = np.diff(first)
-    # features of a row: mean over words of the word's mean bag, as dense rows of the used buckets
+    # features of a row: mean over words of the word's mean bag, as (bucket, value) pairs over the used buckets
     used, pos = np.unique(where, return_inverse=True)
     pos = pos.astype(np.int32)
-    x = np.zeros((len(rows), len(used)), np.float32)
-    for i, r in enumerate(rows):
+    col, val = [], []
+    for r in rows:
         u, m = np.unique(r, return_counts=True)
         at = np.concatenate([pos[first[k] : first[k + 1]] for k in u])
-        x[i] = np.bincount(at, weights=np.repeat(m / n[u] / len(r), n[u]), minlength=len(used))
-    scale = 1 / (x.std(axis=0) + 1e-3)
-    y = code[np.array(lang)]
+        x = np.bincount(at, weights=np.repeat(m / n[u] / len(r), n[u]), minlength=len(used))
+        col.append(np.flatnonzero(x).astype(np.int32)), val.append(x[col[-1]].astype(np.float32))
+    total, square = np.zeros(len(used)), np.zeros(len(used))
+    for k, v in zip(col, val, strict=True):
+        total[k] += v
+        square[k] += v**2
+    scale = (1 / (np.sqrt(np.maximum(square / len(rows) - (total / len(rows)) ** 2, 0)) + 1e-3)).astype(np.float32)
+    val = [v * scale[k] for k, v in zip(col, val, strict=True)]
+    y = code[np.array(lang)].astype(np.float32)
     held = np.arange(len(rows)) // 2 % 8 == 7 if len(rows) >= 160 else np.zeros(len(rows), bool)
     train = np.flatnonzero(~held)
     share = np.bincount(np.array(lang)[train], minlength=len(names))
-    wt = (len(train) / (len(names) * np.maximum(share, 1)))[np.array(lang)]
+    wt = (len(train) / (len(names) * np.maximum(share, 1)))[np.array(lang)].astype(np.float32)
     w, b = np.zeros((len(used), code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     gw, gb = np.full(w.shape, 1e-4, np.float32), np.full(b.shape, 1e-4, np.float32)
+    block = np.zeros((256, len(used)), np.float32)
+
+    def dense(at: np.ndarray) -> np.ndarray:
+        """Rows of one batch, in a buffer that is used again."""
+        out = block[: len(at)]
+        out[:] = 0
+        for i, k in enumerate(at.tolist()):
+            out[i, col[k]] = val[k]
+        return out
+
+    test, best, waited = np.flatnonzero(held) if held.any() else train, np.inf, 0
     for _ in range(c.epochs):
         rng.shuffle(train)
         for k in range(0, len(train), 256):
             at = train[k : k + 256]
-            xb = x[at] * scale
+            xb = dense(at)
             g = -y[at] / (1 + np.exp(np.clip(y[at] * (xb @ w + b), -30, 30))) * wt[at, None] / len(at)
-            dw, db = (xb.T @ g).astype(np.float32) + 1e-4 * w, g.sum(axis=0).astype(np.float32)
+            dw, db = xb.T @ g + 1e-4 * w, g.sum(axis=0)
             gw += dw**2
             gb += db**2
             w -= c.rate * 0.1 * dw / np.sqrt(gw)
             b -= c.rate * 0.1 * db / np.sqrt(gb)
-    test = np.flatnonzero(held) if held.any() else train
-    right = ((y[test] * (x[test] * scale @ w + b)) > 0).mean(axis=0)
+        margin = np.concatenate([y[test[k : k + 256]] * (dense(test[k : k + 256]) @ w + b) for k in range(0, len(test), 256)])
+        loss = float(np.logaddexp(0, -margin).mean())
+        best, waited = (loss, 0) if loss < 0.99 * best else (best, waited + 1)
+        if held.any() and waited >= c.patience:
+            break
+    right = (margin > 0).mean(axis=0)
     right = np.clip(right, 0.51, 0.999)
     weight = np.log(right / (1 - right))
     u = np.zeros((c.buckets, code.shape[1]))
@@ -141,15 +165,14 @@ def fit(texts: list[str], languages: list[str], c: Config = Config()) -> Model |
 def language_sample(docs: DataFrame, usable: Column, c: Config = Config(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
     """About ``sample`` texts, as many of each language where there are enough, with a non-null label, by a hash of the id."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & usable)
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(c.max_languages).collect()
+    counts = rows.groupBy(lang).count().collect()  # one row per language
     if not counts:
         return [], []
-    each = max(8, c.sample // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1.0, each / r["count"]))])
+    each = max(c.least, c.sample // len(counts))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1.0, 1.5 * each / r["count"]))])
     ticket = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("lang")), F.lit(1 << 20)) / float(1 << 20)
-    # the shares bound what comes back; the limit holds even for ids that hash alike
-    part = rows.where(ticket < F.try_element_at(share, F.col(lang))).select(doc_id, lang, text).limit(2 * each * len(counts)).toPandas()
-    part = part.sort_values([doc_id, lang, text], kind="stable")
+    # the shares keep the ranking small
+    part = bounded_sample(rows.where(ticket < F.try_element_at(share, F.col(lang))), lang, text, doc_id, ticket, each, c.sample_bytes // len(counts))
     return part[text].tolist(), part[lang].tolist()
 
 
@@ -165,7 +188,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
         for b in batches:
             names, scores, close = [], [], []
             for part in groups(b.column(1).to_pylist(), lambda t: len(t or ""), 2_000_000):
-                ok = [bool(m and t and LETTER.search(t)) for t in part]
+                ok = [bool(m and has_letter(t)) for t in part]
                 words = [WORD.findall(t.lower()) for t, k in zip(part, ok, strict=True) if k]
                 found = iter(())
                 if words:

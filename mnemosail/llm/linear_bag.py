@@ -6,10 +6,22 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Letters, digits and underscores of any script.
 WORD = re.compile(r"\w+")
+#: Letters, and some other signs that ``str.isalpha`` tells apart.
 LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """True if a character is a letter; superscripts, fractions and letter-like numbers are none."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text or ""))
+
+
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -93,3 +105,12 @@ def groups(items: list, size, most: int):
         total += n
     if run:
         yield run
+
+
+def bounded_sample(rows: DataFrame, label: str, text: str, doc_id: str, ticket: Column, each: int, most_bytes: int) -> pd.DataFrame:
+    """doc_id, label and text of each label's first rows by ticket: ``each`` rows and ``most_bytes`` bytes of text of a label at most."""
+    first = Window.partitionBy(label).orderBy("_ticket", doc_id, F.xxhash64(text))
+    kept = rows.withColumn("_ticket", ticket).select(doc_id, label, text, "_ticket")
+    kept = kept.withColumns({"_rank": F.row_number().over(first), "_bytes": F.sum(F.octet_length(text)).over(first.rowsBetween(Window.unboundedPreceding, 0))})
+    part = kept.where((F.col("_rank") <= each) & (F.col("_bytes") <= most_bytes)).select(doc_id, label, text).toPandas()
+    return part.sort_values([doc_id, label, text], kind="stable")

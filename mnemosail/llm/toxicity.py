@@ -13,7 +13,8 @@ curve, fitted on texts left out of training, turns worst-passage logits into
 probabilities.
 
 Only a bounded sample of the labelled rows is fitted (about ``sample_toxic`` +
-``sample_clean`` texts, and never twice that, chosen by a hash of the id); every text is scored whole.
+``sample_clean`` texts, chosen by a hash of the id, never twice that, and ``sample_bytes`` of
+text of either label at most); every text is scored whole.
 
 Null and empty texts score like a text without words (the lowest passage logit
 that the curve was fitted on); rows with a null id are scored too, and their
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, small_batches
-from .linear_bag import WORD, Vocabulary, groups, word_lists
+from .linear_bag import WORD, Vocabulary, bounded_sample, groups, word_lists
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,7 @@ class Config:
     span: int = 2
     sample_toxic: int = 1500
     sample_clean: int = 2500
+    sample_bytes: int = 1 << 25
     rounds: int = 4
     epochs: int = 2
     batch: int = 512
@@ -203,8 +205,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, c: Confi
     # the shares make the sample; the limit bounds what is broadcast even for ids that hash alike
     chosen = y.where(ticket < F.when(F.col("_y") == 1, share[1]).otherwise(share[0])).limit(2 * sum(most.values()))
     chosen = F.broadcast(chosen)
-    rows = docs.select(doc_id, text).join(chosen, doc_id).toPandas()
-    rows = rows[rows[text].notna()].sort_values([doc_id, "_y", text], kind="stable")
+    rows = docs.where(F.col(text).isNotNull()).select(doc_id, text).join(chosen, doc_id)
+    rows = bounded_sample(rows, "_y", text, doc_id, ticket, 2 * max(most.values()), c.sample_bytes)
     return rows[text].tolist(), rows["_y"].tolist()
 
 
