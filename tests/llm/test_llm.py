@@ -548,13 +548,14 @@ def test_propagation_equals_power_iteration(spark):
 # 8 nearest neighbours
 
 
-def test_nearest_equals_brute_force(spark):
+@pytest.mark.parametrize("setup", [{"shard_rows": 30, "min_cells": 5, "block": 3}, {"most_cells": 1, "shard_rows": 90, "block": 8}, {}])
+def test_nearest_equals_brute_force(spark, setup):
     r = np.random.default_rng(4)
     x = np.concatenate([r.normal(size=(300, 8)), np.tile(r.normal(size=(1, 8)), (40, 1)), 5 * r.normal(size=(60, 8))])
     odd = [(900, None), (920, [0.0] * 8), (940, [float("nan")] * 8), (960, [1.0] * 3), (None, [1.0] * 8), (980, [None] + [1.0] * 7)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<double>")
     got = collections.defaultdict(list)
-    for row in ann.nearest(df, F.col("vec_id") % 20 == 0, 7, shard_rows=90, min_shards=3, block=8).orderBy("query_id", "rank").collect():
+    for row in ann.nearest(df, F.col("vec_id") % 20 == 0, 7, **setup).orderBy("query_id", "rank").collect():
         got[row.query_id].append((row.vec_id, row.score))
     assert set(got) == {i for i in range(400) if i % 20 == 0}
     for q, found in got.items():
@@ -566,6 +567,33 @@ def test_nearest_equals_brute_force(spark):
     assert ann.nearest(df.where("vec_id > 899"), F.lit(True)).count() == 0
 
 
+def test_repeated_ids_and_rows(spark):
+    r = np.random.default_rng(8)
+    rows_ = [(i, r.normal(size=6).tolist()) for i in range(1, 60)]
+    rows_ += [(20, r.normal(size=6).tolist()), rows_[39], rows_[4], rows_[4]]  # another vector of 20; 40 and 5 again
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(4)
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, 5, min_cells=4).collect()
+    lists = collections.Counter()
+    for q, v in {(q, tuple(v)) for q, v in rows_ if q % 20 == 0}:
+        order = sorted({(-float(np.dot(v, w)), i) for i, w in rows_ if i != q})[:5]
+        lists[(q, *(i for _, i in order))] += 1
+    have = collections.defaultdict(list)
+    for x in sorted(got, key=lambda x: x["rank"]):
+        have[x.query_id, x["rank"]].append(x.vec_id)
+    assert {q: sorted(v) for q, v in have.items()} == {(q, k + 1): sorted(t[k + 1] for t in lists if t[0] == q) for q in (20, 40) for k in range(5)}
+
+
+def test_far_cells_are_not_searched(spark):
+    r = np.random.default_rng(9)
+    c = 40 * np.eye(6)
+    x = np.concatenate([c[k] + 0.1 * r.normal(size=(200, 6)) for k in range(6)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    mark = common.written()
+    assert ann.nearest(df, F.col("vec_id") % 20 == 0, 5, min_cells=24).count() == 300
+    (asks,) = [p for p in common._WRITTEN[mark:] if "/asks-" in p]
+    assert spark.read.parquet(asks).count() < 60 * 12
+
+
 def test_pruning_below_one_keeps_recall(spark):
     r = np.random.default_rng(6)
     c = r.normal(size=(20, 16))
