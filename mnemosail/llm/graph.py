@@ -25,8 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         parent = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "parents", 8)
         while True:
+            # two jumps in one step: a parent's parent, and that one's
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-            step = parent.join(above, "up", "left").select("node", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved"))
+            top = parent.select(F.col("node").alias("upper"), F.col("up").alias("top"))
+            step = parent.join(above, "up", "left").join(top, "upper", "left")
+            step = step.select("node", F.coalesce("top", "upper", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
             step = materialize(step, "parents", 8)
             parent = step.select("node", "up")
             if step.where("moved").isEmpty():

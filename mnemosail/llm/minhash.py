@@ -10,7 +10,7 @@
    the bound leaves more than five standard deviations below the threshold.
    The XOR of the sets' own odd sketches never has more bits than the sets
    differ in, which bounds their similarity from above without any chance.
-3. Confirmation. Links are confirmed on the full sets.
+3. Confirmation. Links are confirmed on the full sets (64-bit hashes of all shingles).
 
 A bucket is never expanded into all pairs. First every node is confirmed
 against the best leader of its buckets; then, in rounds, the nodes of a bucket
@@ -21,7 +21,9 @@ Components shrink the work between rounds; the last round leaves no candidate
 pair of different components untested, so components are those of all links.
 
 With 20 bands of 3, a pair at similarity 0.8 misses every band with
-probability 6e-7.
+probability 6e-7, and one with more shared shingles more rarely; nothing catches such a pair.
+The last round compares the nodes of a bucket that have no link yet with all others of it by their sketches, which is
+quadratic in families of texts just below the threshold; what the sketches stop never becomes a row.
 
 Empty and null texts have the empty set and link with nothing. Rows with a null
 id belong to their text's group (its id, if any row has one). Rows that repeat
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gram_hashes, materialize, mix64, session, small_batches, word_hashes, word_memo
+from .common import discard, gram_hashes, materialize, mix64, session, small_batches, word_hashes, word_memo, written
 from .graph import components
 
 
@@ -119,23 +121,17 @@ def features(docs: DataFrame, c: Config, doc_id: str, text: str) -> DataFrame:
 
 
 def full_sets(texts: DataFrame, c: Config) -> DataFrame:
-    """(node, lead, n, members): sets as sorted 40-bit hashes, packed; from (node, lead, _text)."""
+    """(node, lead, members): sets as sorted 64-bit hashes; from (node, lead, _text)."""
 
     def run(batches):
         memo = word_memo()
         for b in batches:
-            sets = [np.unique(shingle_set(t, c.words, memo) >> np.uint64(24)) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            packed = [(s >> np.uint64(8)).astype("<u4").tobytes() + (s & np.uint64(255)).astype("u1").tobytes() for s in sets]
+            packed = [shingle_set(t, c.words, memo).astype("<u8").tobytes() for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["node", "lead", "members"])
 
     return texts.select("node", "lead", "_text").mapInArrow(run, "node long, lead long, members binary")
 
 
-def unpack(b: bytes) -> np.ndarray:
-    n = len(b) // 5
-    return (np.frombuffer(b, "<u4", n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(b, "u1", n, 4 * n).astype(np.uint64)
-
-
 def confirm(pairs: DataFrame, percent: int) -> DataFrame:
     """(x, y, linked) of rows (x, y, mx, my) with both packed sets."""
 
@@ -143,7 +139,7 @@ def confirm(pairs: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             ok = []
             for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, t = unpack(p), unpack(q)
+                s, t = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["x", "y", "linked"])
@@ -173,13 +169,17 @@ def as_side_columns(side: str, name: str | None = None) -> list[Column]:
 
 def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, text_hash, kept of every row of ``docs``."""
-    small_batches(session(docs))
+    spark = session(docs)
+    small_batches(spark)
+    mark = written()
     feats = materialize(features(docs, c, doc_id, text), "features")
     # equal sets have equal bands and sketches: any row's stand for all
     nodes = feats.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), F.first("n").alias("n"), F.min_by("text_hash", "doc_id").alias("text_hash"))
     nodes = materialize(nodes, "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1")
+    # written before it is joined: a join with an aggregate over the same key could not split a large bucket
+    shared = materialize(shared, "shared", 4)
     buckets = materialize(rows.join(shared, "key"), "buckets")
     sketches = nodes.select("node", "n", "sketch", "own")
 
@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
     # both sides grow with the corpus: always a shuffle, whatever their size today
     texts = texts.join(involved.hint("merge"), ["node", "text_hash"])
     sets = materialize(full_sets(texts, c).dropDuplicates(["node", "members"]), "sets")
-    lead_sets = sets.join(sets.where("lead is not null").select(F.col("lead").alias("node")).distinct(), "node", "left_semi")
+    leads = sets.where("lead is not null").select(F.col("lead").alias("node")).distinct()
+    lead_sets = materialize(sets.join(leads, "node", "left_semi"), "leads")
     first = sets.where("lead is not null").select(F.col("node").alias("x"), F.col("lead").alias("y"), F.col("members").alias("mx")).join(lead_sets.select(F.col("node").alias("y"), F.col("members").alias("my")), "y")
     tested = materialize(confirm(first, c.percent), "tested", 4)
     labels = materialize(components(tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels", 4)
@@ -216,6 +217,7 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
         alone = merged.select(F.col("root").alias("node")).join(labels, "node", "left_anti").withColumn("root", F.col("node"))
         labels = materialize(labels.unionByName(alone).join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels", 4)
 
+    discard(spark, mark, feats, nodes, labels)
     group = nodes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
     out = feats.select("doc_id", "text_hash", "n", "s1", "s2").join(group, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -239,7 +241,7 @@ def candidates(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, teste
     rows = buckets.select("key", "node", "m").join(labels, "node", "left").select("key", "node", "m", F.coalesce("root", "node").alias("c"))
     parts = rows.groupBy("key", "c").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(F.max_by("c", F.col("size")).alias("big"), F.count("*").alias("parts")).where("parts > 1").select("key", "big")
-    rows = rows.join(mixed, "key").join(sketches, "node")
+    rows = rows.join(materialize(mixed, "mixed", 4), "key").join(sketches, "node")
     y = rows if leaders is None else rows.where(F.pmod(F.xxhash64("node", "key"), F.col("m")) < leaders)
     x = rows.where("c <> big").select("key", F.col("c").alias("cx"), *as_side_columns("x"))
     y = y.select("key", F.col("c").alias("cy"), *as_side_columns("y"))

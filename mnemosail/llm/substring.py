@@ -10,7 +10,8 @@ are removed. Counting all windows exactly would shuffle every one of them.
    counts its grams in a count-min sketch of two rows; sketches are merged by
    addition, block by block, and what is sent out of a cell is one bit: counted
    twice or more. A few cells of each block, the largest of those over ``heavy``, are listed
-   as heavy. The sketch has ``2 ** cells`` cells a row whatever the input, and so has its broadcast.
+   as heavy. The sketch has ``2 ** cells`` cells a row: some 16 for each gram that the bytes of text let expect, up to
+   ``most_cells``, which bounds its broadcast (64 MB for 28).
 2. Exact count. A second pass groups only windows whose gram both rows
    estimate as repeated. The estimate never falls short, so no repeated window
    is lost. Neighbouring windows travel together, dealt by their gram; those of heavy grams
@@ -18,8 +19,10 @@ are removed. Counting all windows exactly would shuffle every one of them.
    announced, so a window reaches its group once per task at most, however frequent it is.
 3. Removal. Repeated starts meet their document, its words are marked and cut.
 
-If an input has many more grams than cells, estimates saturate: the result
-stays exact and the second pass groups more windows. ``cells`` is the knob.
+If an input has many more grams than cells (from some 30 GB on), estimates saturate: the result
+stays exact and the second pass groups more windows, in the end all of them, at ten bytes each. A sketch that
+is not broadcast would not save that: to ask its blocks, the gram places (0.4 bytes per byte of text) and then the
+texts once more would have to be shuffled.
 
 Windows are compared by 80 bits of two independent hashes. Null texts have no words. Rows are
 matched to their starts by id and text hash, so null ids and repeated rows
@@ -303,11 +306,18 @@ def cut(rows: DataFrame, starts: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 16, cells: int = 27, heavy: int = 2_000, flush: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cells_for(docs: DataFrame, text: str, most: int, least: int = 16) -> int:
+    """log2 of the cells of a sketch row: about 16 a gram, as one gram stands for some 60 bytes of text."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return int(np.clip(np.ceil(np.log2(max(1, size / 60 * 16))), least, most))
+
+
+def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 16, cells: int | None = None, most_cells: int = 28, heavy: int = 2_000, flush: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (UTF-8 bytes of the words left, one space between) of every row."""
     spark = session(docs)
     small_batches(spark)
     rows = keyed(docs, doc_id, text)
+    cells = cells or cells_for(docs, text, most_cells)
     shared = spark.sparkContext.broadcast(sketch(docs, length, gram, cells, heavy, text))
     return cut(rows, repeated_windows(rows, shared, length, gram, cells, flush), length).withColumnRenamed("id", "doc_id")
 

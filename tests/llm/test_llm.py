@@ -394,7 +394,7 @@ def brute_windows(rows_, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("setup", [{}, {"cells": 8, "heavy": 2}, {"flush": 50}, {"cells": 21, "heavy": 0}])
+@pytest.mark.parametrize("setup", [{"cells": None}, {}, {"cells": 8, "heavy": 2}, {"flush": 50}, {"cells": 21, "heavy": 0}])
 def test_windows_removed(docs, setup):
     got = substring.digest(substring.remove_repeats(docs, **({"cells": 22} | setup))).collect()
     rows_ = [*TEXTS.items(), (5, TEXTS[5]), (None, BASE), (None, None)]
