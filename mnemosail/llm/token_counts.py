@@ -9,10 +9,13 @@ non-blank. ``check_model`` proves this for the model in use.
 
 1. Each partition counts its distinct pre-tokens; the counts are summed over the
    corpus and every distinct pre-token is encoded once (``piece_counts``).
-2. The ``head`` most frequent ones (a fixed number, so the broadcast is bounded)
+2. The most frequent ones (``head`` of them, and ``head_bytes`` bytes, at most, so the broadcast is bounded)
    are looked up while documents are read; the rest of each document's frequency
    table is joined to the piece counts by a shuffle.
 
+Pre-tokens of more than ``longest`` characters (text without blanks) are encoded where they stand: they hardly
+repeat, and as keys would take whole texts through the shuffles.
+
 Nulls count as empty text; empty text has 0 tokens; a null id stays null; each
 input row gives one output row, also for repeated rows.
 """
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, session, small_batches
+from .common import materialize, session, small_batches, stable
 
 META = "▁"
 SEGMENT = re.compile(r" ( *[^ ]+| *\Z)")
@@ -66,11 +69,19 @@ def pretokens(text: str) -> list[str]:
     return SEGMENT.findall(" " + text) if "" in parts else parts
 
 
-def piece_counts(docs: DataFrame, text: str = "text", model: str = MODEL, flush: int = 400_000) -> DataFrame:
-    """(pretoken, n, pieces): each distinct pre-token, its frequency and its pieces."""
+def short(parts: list[str], longest: int) -> list[str]:
+    return parts if len(max(parts, key=len, default="")) <= longest else [w for w in parts if len(w) <= longest]
+
+
+def piece_counts(docs: DataFrame, text: str = "text", model: str = MODEL, flush: int = 400_000, flush_chars: int = 1 << 26, longest: int = 512) -> DataFrame:
+    """(pretoken, n, pieces): each distinct pre-token of ``longest`` characters or fewer, its frequency and its pieces.
+
+    A task hands on what it holds when it has read ``flush_chars`` characters or has ``flush`` pre-tokens.
+    """
 
     def distinct(batches):
         seen: Counter = Counter()
+        read = 0
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "n"])
@@ -78,10 +89,12 @@ def piece_counts(docs: DataFrame, text: str = "text", model: str = MODEL, flush:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    seen.update(pretokens(t))
-                    if len(seen) > flush:
+                    seen.update(short(pretokens(t), longest))
+                    read += len(t)
+                    if len(seen) > flush or read > flush_chars:
                         yield out()
                         seen.clear()
+                        read = 0
         if seen:
             yield out()
 
@@ -96,19 +109,21 @@ def piece_counts(docs: DataFrame, text: str = "text", model: str = MODEL, flush:
     return counted.mapInArrow(encode, "pretoken string, n long, pieces long")
 
 
-def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, head: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, head: int = 300_000, head_bytes: int = 1 << 24, longest: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each row of ``docs``."""
     check_model(model)
     spark = session(docs)
     small_batches(spark)
-    pieces = materialize(piece_counts(docs, text, model), "pieces")
+    # rows are numbered as they are read
+    docs = stable(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), "texts")
+    pieces = materialize(piece_counts(docs, "_text", model, longest=longest), "pieces")
     # frequencies fall into some thousand classes; the most frequent ones that make up ``head`` at most are the head
     level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(((r.level, r["count"]) for r in pieces.groupBy(level.alias("level")).count().collect()), reverse=True)
-    least, total = (1 << 30), 0
-    for k, n in sizes:
-        total += n
-        if total > head:
+    sizes = pieces.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.octet_length("pretoken") + 40).alias("bytes")).collect()
+    least, total, weight = (1 << 30), 0, 0
+    for k, n, size in sorted(sizes, reverse=True):
+        total, weight = total + n, weight + size
+        if total > head or weight > head_bytes + 40 * head:
             break
         least = k
     top = pieces.where(level >= least).select("pretoken", "pieces").toArrow()
@@ -117,13 +132,16 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
 
     def frequencies(batches):
         known, row = table.value, TaskContext.get().partitionId() << 40
-        get = known.get
+        get, sp = known.get, None
         for b in batches:
             rid, ids, size, word, count = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 total = 0
                 for w, n in Counter(pretokens(t or "")).items():
                     p = get(w)
+                    if p is None and len(w) > longest:
+                        sp = sp or load_model(model)
+                        p = len(sp.encode(w, num_threads=1))
                     if p is None:
                         rid.append(row), ids.append(None), size.append(None), word.append(w), count.append(n)
                     else:
@@ -132,7 +150,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(word, pa.string()), pa.array(count, pa.int64())], ["rid", "id", "n_bytes", "pretoken", "n"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(frequencies, "rid long, id long, n_bytes long, pretoken string, n long")
+    rows = docs.mapInArrow(frequencies, "rid long, id long, n_bytes long, pretoken string, n long")
     # rows without a pre-token carry the looked-up sum; left joins keep them, and nulls never meet in one task
     rare = pieces.select(F.col("pretoken").alias("p"), "pieces")
     joined = rows.withColumn("p", F.coalesce("pretoken", F.concat(F.lit(" \x00"), F.col("rid").cast("string")))).join(rare, "p", "left")
