@@ -12,8 +12,12 @@ proportion to the pages that made them seeds. A host is blocked when its
 distrust exceeds ``threshold`` times its trust.
 Hosts that neither walk reaches are allowed.
 
-Host tables are joined by shuffles, each walk step is one join and one sum, and
-the mass that leaves hosts without links returns to the seeds, as one scalar.
+Both walks run together, as series: the mass that left the seeds k links ago is the k-th term, each step is one join
+and one sum, and the series ends when a term holds less than ``tolerance`` of the seeds' mass, which bounds what is still
+to come by ``tolerance / (1 - damping)``. Sums are scaled to 1, which is the PageRank in which mass of hosts without links returns to the seeds.
+
+Host tables are written before they are joined, so that joins are plain ones of two shuffled tables, whose frequent hosts adaptive execution may
+split.
 
 Null urls, and urls without ``://``, have empty host and path and the method's
 verdict for an unknown host (allow). Null html has no links. Repeated rows repeat.
@@ -26,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, session, written
 
 ALLOW, BLOCK = "allow", "block"
 #: Upper-case and lower-case letters that host names fold.
@@ -60,20 +64,24 @@ def match_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     return pages.withColumn("rule", pick(lambda r: r[1] + r[2])).withColumn("ruled", pick(lambda r: r[0]))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, damping: float, steps: int) -> DataFrame:
-    """(host, mass): personalised PageRank over (src, dst, share) from (host, seed)."""
-    mass = seeds.select("host", F.col("seed").alias("mass"))
-    for _ in range(steps):
-        moved = mass.join(edges, mass.host == edges.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
-        kept = materialize(moved.select("host", (F.col("mass") * damping).alias("mass")), "mass", 4)
-        rest = 1.0 - (kept.agg(F.sum("mass")).first()[0] or 0.0)
-        mass = kept.unionByName(seeds.select("host", (F.col("seed") * rest).alias("mass"))).groupBy("host").agg(F.sum("mass").alias("mass"))
-    return mass
+def walk(links: DataFrame, seeds: DataFrame, damping: float, tolerance: float, most_steps: int = 1000) -> DataFrame:
+    """(kind, host, mass): personalised PageRank of each kind over links (kind, src, dst, share) from seeds (kind, host, seed)."""
+    term = materialize(seeds.select("kind", "host", F.col("seed").alias("mass")), "mass", 4)
+    terms = term
+    for _ in range(most_steps):
+        moved = term.join(links, (term.kind == links.kind) & (term.host == links.src)).groupBy(links.kind, F.col("dst").alias("host"))
+        term = materialize(moved.agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("mass")), "mass", 4)
+        terms = terms.unionByName(term)
+        if max((r.m for r in term.groupBy("kind").agg(F.sum("mass").alias("m")).collect()), default=0.0) < tolerance:
+            break
+    total = terms.groupBy("kind").agg(F.sum("mass").alias("total"))  # two rows at most
+    mass = terms.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+    return mass.join(F.broadcast(total), "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass"))
 
 
-def shares(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    total = edges.groupBy(src).agg(F.sum("n").alias("total")).withColumnRenamed(src, "_src")
-    return edges.join(total, edges[src] == total["_src"]).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("total")).alias("share"))
+def shares(edges: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
+    total = materialize(edges.groupBy(F.col(src).alias("_src")).agg(F.sum("n").alias("total")), "totals", 4)
+    return edges.join(total, F.col(src) == F.col("_src")).select(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("total")).alias("share"))
 
 
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -83,8 +91,9 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return ends.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, steps: int = 10, threshold: float = 1.0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, tolerance: float = 1e-4, threshold: float = 1.0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row of ``pages``; rules: (allow or block, host, path prefix)."""
+    spark, mark = session(pages), written()
     base = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("_html"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = match_rules(base, rules)
     edges = materialize(host_edges(base, "_html"), "edges", 4)
@@ -92,15 +101,19 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float =
     linked = not edges.isEmpty()
     of = {v: F.count(F.when(F.col("ruled") == v, 1)) for v in (ALLOW, BLOCK)}
     counts = materialize(slim.where(F.col("host") != "").groupBy("host").agg(F.count("*").alias("n"), of[ALLOW].alias(ALLOW), of[BLOCK].alias(BLOCK)), "seeds", 4)
-    starts = {ALLOW: (F.col(ALLOW) > F.col(BLOCK), "a", "b"), BLOCK: (2 * F.col(BLOCK) > F.col("n"), "b", "a")}
-    walks = {}
-    for verdict, (is_seed, src, dst) in starts.items():
-        seeds = counts.where(is_seed).select("host", F.col(verdict).cast("double").alias("seed"))
-        total = seeds.agg(F.sum("seed")).first()[0] or 1.0
-        seeds = seeds.withColumn("seed", F.col("seed") / total)
-        # without links all mass returns to the seeds in each step
-        walks[verdict] = walk(materialize(shares(edges, src, dst), "shares", 4), seeds, damping, steps) if linked else seeds.withColumnRenamed("seed", "mass")
-    trust = walks[ALLOW].select("host", F.col("mass").alias("trust")).join(walks[BLOCK].select("host", F.col("mass").alias("distrust")), "host", "full")
-    out = slim.join(trust, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    kinds = {ALLOW: (F.col(ALLOW) > F.col(BLOCK), "a", "b"), BLOCK: (2 * F.col(BLOCK) > F.col("n"), "b", "a")}
+    seeds = [counts.where(is_seed).select(F.lit(kind).alias("kind"), "host", F.col(kind).cast("double").alias("seed")) for kind, (is_seed, _, _) in kinds.items()]
+    seeds = seeds[0].unionByName(seeds[1])
+    totals = {r.kind: r.total for r in seeds.groupBy("kind").agg(F.sum("seed").alias("total")).collect()}  # two rows at most
+    share = F.coalesce(*[F.when(F.col("kind") == k, F.col("seed") / v) for k, v in totals.items()], F.lit(0.0))
+    mass = seeds.select("kind", "host", share.alias("mass"))
+    if linked:
+        both = [shares(edges, src, dst, kind) for kind, (_, src, dst) in kinds.items()]
+        links = materialize(both[0].unionByName(both[1]), "shares", 4)
+        mass = walk(links, mass.withColumnRenamed("mass", "seed"), damping, tolerance)
+    of = {kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)) for kind in kinds}
+    judged = materialize(mass.groupBy("host").agg(of[ALLOW].alias("trust"), of[BLOCK].alias("distrust")), "hosts", 4)
+    discard(spark, mark, judged)
+    out = slim.join(judged, "host", "left").na.fill(0.0, ["trust", "distrust"])
     method = F.when(F.col("distrust") > threshold * F.col("trust"), BLOCK).otherwise(ALLOW)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")

@@ -543,7 +543,7 @@ def test_rules(spark):
 def test_propagation_equals_power_iteration(spark):
     a = lambda *hosts: " ".join(f'<a href="http://{h}/x">l</a>' for h in hosts)
     pages = [(1, "http://good.net/de/1", a("n1.io", "n2.io")), (2, "http://n1.io/", a("n2.io")), (3, "http://bad.com/en/1", a("n2.io")), (4, "http://shady.io/", a("bad.com", "bad.com")), (5, "http://n2.io/", None), (6, "http://far.io/", a("shady.io"))]
-    got = {r.host: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES, steps=6).collect()}
+    got = {r.host: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES, tolerance=1e-9).collect()}
     hosts = sorted({"good.net", "n1.io", "n2.io", "bad.com", "shady.io", "far.io"})
     w = np.zeros((6, 6))
     for s, t, n in [("good.net", "n1.io", 1), ("good.net", "n2.io", 1), ("n1.io", "n2.io", 1), ("bad.com", "n2.io", 1), ("shady.io", "bad.com", 2), ("far.io", "shady.io", 1)]:
@@ -553,7 +553,7 @@ def test_propagation_equals_power_iteration(spark):
         p = w / np.maximum(w.sum(axis=1, keepdims=True), 1)
         s = np.array([h == seed for h in hosts], float)
         m = s
-        for _ in range(6):
+        for _ in range(200):
             m = 0.85 * m @ p
             m = m + (1 - m.sum()) * s
         return m
@@ -564,6 +564,15 @@ def test_propagation_equals_power_iteration(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 
 
+def test_distrust_reaches_far_and_rows_repeat(spark):
+    a = lambda h: f'<a href="http://{h}/x">l</a>'
+    chain = [(k, f"http://h{k}.io/", a(f"h{k + 1}.io") + " " + "word " * (100_000 if k == 3 else 1)) for k in range(15)]
+    rows_ = [*chain, (15, "http://h15.io/", a("bad.com")), (16, "http://bad.com/en/1", None), (16, "http://bad.com/en/1", None), (17, "http://good.net/de/1", None), (3, chain[3][1], chain[3][2])]
+    got = url_filter.judge(spark.createDataFrame(rows_, "page_id long, url string, html string"), RULES).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows_)
+    assert {r.page_id: r.verdict for r in got} == {k: "allow" if k == 17 else "block" for k in range(18)}
+
+
 # 8 nearest neighbours
 
 
