@@ -748,3 +748,19 @@ def test_pipeline_equals_brute_force(spark):
     tokenizer = word_tokenizer()
     assert got.groupby("doc_id").length.sum().to_dict() == {i: len(word_ids(cut[i], tokenizer)) + 1 for i in want}
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_pipeline_of_nulls_ties_and_empties(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(k, 1, int(k % 2)) for k in range(1, 5)] + [(None, None, None), (6, 1, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (None, ""), (2, words(6, 3000)[:200])], "item_id long, text string")
+    for part, d in (("full", docs), ("empty", docs.limit(0))):
+        d.write.parquet(f"{tmp_path}/{part}/documents.parquet")
+        labels.where("true" if part == "full" else "false").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+        bench.where("true" if part == "full" else "false").write.parquet(f"{tmp_path}/{part}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    ids = [r.doc_id for r in got]
+    assert ids.count(7) == ids.count(8) == ids.count(11) == 1 and ids.count(None) == 1  # the empty text without an id; the copy of 1 without one gave way
+    assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(5) == 1
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
