@@ -5,6 +5,12 @@ dropped, one document of each near-duplicate group stays, later copies of
 passages of 50 words are cut from the texts, documents that hold benchmark
 items are dropped, and the rest is packed. A text that lost all its words stays as an
 empty document, so that no stage removes what it does not judge.
+
+Null and empty texts are kept: they are not toxic, are near copies of nothing, hold no passage and no benchmark item,
+and are packed as their end id alone. Rows without an id are judged by their text like others; as copies they give way to
+rows with one, and they are packed under null. Rows that repeat an id and a text are one row after the near-duplicate
+stage; of texts that tie as copies the one with the smallest id stays. Null labels teach nothing, null benchmark items match nothing. Empty tables
+give empty results. Further columns travel along unchanged up to the packing.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemosail.llm import decontam, minhash, packing, suffix_dedup, toxicity
-from mnemosail.llm.common import crc_mod, materialize, read_table
+from mnemosail.llm.common import crc_mod, discard, materialize, read_table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the ``documents`` of ``sf_dir``."""
     docs = read_table(spark, sf_dir, "documents")
+    mark = written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(spark, mark, docs)  # what the stages before left is not read again
     return STAGES[-1][1](spark, docs, sf_dir)
