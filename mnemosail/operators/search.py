@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from .sized import broadcast_if_small
 
 POOL, RRF_K = 3, 60
 
@@ -37,11 +36,10 @@ def dense_leg(chunks: DataFrame, query: DataFrame, limit: int) -> DataFrame:
 
 
 def lexical_leg(chunks: DataFrame, query: str, limit: int) -> DataFrame:
-    """Rows in which every query word is a prefix of a word; score 0.1 per match of the first word's prefix."""
-    words = V.words(F.concat_ws(" ", "search_text", "filepath"))
-    hits = chunks.withColumn("_w", words).where(V.matches_all(F.col("_w"), query))
-    token = (query.lower().split() or [""])[0]
-    return ranked(hits.select("id", "filepath", (V.prefix_frequency(F.col("_w"), token) * 0.1).alias("score")), "score", limit)
+    """Rows in which every query word is a prefix of a word, by ``vectors.rank``. Texts are searched as they are; only matching ones are split."""
+    low = F.lower(F.concat_ws(" ", "search_text", "filepath"))
+    hits = chunks.where(V.matches_all(low, query))
+    return ranked(hits.select("id", "filepath", V.rank(low, query).alias("score")), "score", limit)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, limit: int) -> DataFrame:
@@ -66,7 +64,20 @@ def search(chunks: DataFrame, query_vector: DataFrame, query: str, limit: int =
     return fuse(dense_leg(scoped, query_vector, POOL * limit), lexical_leg(scoped, query, POOL * limit), limit)
 
 
-def nearest_seed(rows: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
-    """id, best, candidate: similarity to the closest seed. seeds: few; broadcast if their number allows."""
-    scored = rows.crossJoin(broadcast_if_small(seeds, 10_000)).groupBy("id").agg(F.max(V.cosine(F.col("embedding"), F.col("seed"))).alias("best"))
-    return scored.withColumn("candidate", F.col("best") >= threshold)
+def nearest_seed(rows: DataFrame, seeds: DataFrame, threshold: float, block: int = 10_000) -> DataFrame:
+    """id, best, candidate: similarity to the closest seed.
+
+    Seeds travel as one array of ``block`` vectors at most, so rows are neither multiplied nor shuffled; of more seeds each
+    block is one pass over the rows.
+    """
+    parts = max(1, -(-seeds.count() // block))
+    part = F.pmod(F.xxhash64("seed"), F.lit(parts))
+    best = None
+    for k in range(parts):
+        own = seeds.where(part == k).agg(F.collect_list("seed").alias("_seeds"))  # one row
+        near = F.array_max(F.transform("_seeds", lambda s: V.cosine(F.col("embedding"), s)))
+        rows_of = rows.crossJoin(F.broadcast(own)).select("id", near.alias("best"))
+        best = rows_of if best is None else best.unionByName(rows_of)
+    if parts > 1:
+        best = best.groupBy("id").agg(F.max("best").alias("best"))
+    return best.withColumn("candidate", F.col("best") >= threshold)

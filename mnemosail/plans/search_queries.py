@@ -97,12 +97,27 @@ def _(i: Inputs):
 
 @query("fn_tsquery_prefix_and", f"WITH {CHUNK} SELECT id, len(list_filter({WORDS}, lambda w: starts_with(w, 'th')))>0 AND len(list_filter({WORDS}, lambda w: starts_with(w, 'an')))>0 AS matches FROM chunk")
 def _(i: Inputs):
-    return i.chunks().select("id", V.matches_all(V.words(F.concat_ws(" ", "search_text", "filepath")), "TH  an").alias("matches"))
+    return i.chunks().select("id", V.matches_all(F.lower(F.concat_ws(" ", "search_text", "filepath")), "TH  an").alias("matches"))
 
 
-@query("fn_ts_rank_cd", f"WITH {CHUNK} SELECT id, round(0.1::DOUBLE*len(list_filter({WORDS}, lambda w: starts_with(w, 'er'))),4) AS score FROM chunk")
+#: Cover density of the words that start with ``th`` and with ``an``: a run for each match whose earliest last partner moved on.
+COVER = f"""w AS (SELECT id, filepath, {WORDS} AS ws FROM chunk WHERE {{where}}),
+e AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+m AS (SELECT id, pos, starts_with(word, 'th') AS a, starts_with(word, 'an') AS b FROM e WHERE starts_with(word, 'th') OR starts_with(word, 'an')),
+s AS (SELECT *, row_number() OVER x AS k, max(CASE WHEN a THEN pos END) OVER x AS pa, max(CASE WHEN b THEN pos END) OVER x AS pb FROM m WINDOW x AS (PARTITION BY id ORDER BY pos)),
+c AS (SELECT *, CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN least(pa, pb) END AS low FROM s),
+d AS (SELECT *, max(low) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM c),
+cover AS (SELECT d.id AS id, sum(0.1::DOUBLE/(1+(d.pos-d.low)-(d.k-f.k))) AS score FROM d JOIN c f ON f.id=d.id AND f.pos=d.low WHERE d.low IS NOT NULL AND (past IS NULL OR d.low>past) GROUP BY 1)"""
+
+
+@query("fn_ts_rank_cd", f"WITH {CHUNK}, {COVER.format(where='true')} SELECT w.id AS id, round(coalesce(score, 0), 4) AS score FROM w LEFT JOIN cover ON cover.id=w.id")
+def _(i: Inputs):
+    return i.chunks().select("id", F.round(V.rank(F.lower(F.concat_ws(" ", "search_text", "filepath")), "th an"), 4).alias("score"))
+
+
+@query("search_lexical_words", f"WITH {CHUNK}, {COVER.format(where=MAIN)}, r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(score, 9) AS score FROM cover)) SELECT r.id AS id, filepath, round(score, 4) AS score, rank FROM r JOIN w ON w.id=r.id WHERE rank <= 10")
 def _(i: Inputs):
-    return i.chunks().select("id", F.round(V.prefix_frequency(V.words(F.concat_ws(" ", "search_text", "filepath")), "er") * 0.1, 4).alias("score"))
+    return S.search(i.chunks(), vector(i), "th an", 10, "lexical")
 
 
 @query("scan_pg_vector_table", "SELECT vec_id, label, len(embedding) AS dim FROM embeddings")
