@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import ingest as G
+from ..sources import files
+from ..sources import readers as IO
 from .inputs import Inputs
 from .registry import query
 
@@ -79,11 +81,24 @@ def _(i: Inputs):
 HEAD = "'# Issue #'||doc_id||' ('||lang||'): '||substr(text,1,20)||chr(10)||'Repo: '||source||'/'||lang||' | Author: unknown | Created: 2024-01-02'||chr(10)"
 
 
-@query("process_issue", f"SELECT doc_id, {HEAD} AS header FROM documents WHERE length({HEAD}) >= 80")
+TALK = "t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn%4<>3 AND length(text)>20 AND turn%5<>4), talk AS (SELECT conv_id AS doc_id, 'comment'||(k-1) AS key, '**@ann:**'||chr(10)||CASE WHEN length(b)>2000 THEN substr(b,1,2000)||chr(10)||'[...truncated]' ELSE b END AS body FROM (SELECT conv_id, k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM t WHERE k<=10))"
+
+
+@query("process_issue", f"""WITH RECURSIVE head AS (SELECT doc_id, source, {HEAD}||chr(10)||regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents), {TALK},
+src AS (SELECT doc_id||'|' AS doc_id, body FROM head WHERE length(body) >= 50 UNION ALL SELECT t.doc_id||'|'||key, t.body FROM talk t JOIN head h ON h.doc_id=t.doc_id WHERE length(h.body) >= 50), {spans('body', 1200, 300, 'src')},
+x AS (SELECT CAST(string_split(doc_id,'|')[1] AS BIGINT) AS id, string_split(doc_id,'|')[2] AS k, idx, chunk FROM win)
+SELECT id AS doc_id, CASE WHEN idx=0 THEN k WHEN k='' THEN 'part'||idx ELSE k||'-part'||idx END AS key, 'issue-'||id||CASE WHEN idx=0 AND k='' THEN '' ELSE '-'||CASE WHEN idx=0 THEN k WHEN k='' THEN 'part'||idx ELSE k||'-part'||idx END END AS document_id, md5(chunk) AS digest FROM x""")
 def _(i: Inputs):
-    none = F.lit(None).cast("string")
-    head = G.issue_header(F.lit("issue"), F.col("doc_id"), F.concat("source", F.lit("/"), "lang"), F.substring("text", 1, 20), none, F.lit("2024-01-02T03:04:05Z"), none)
-    return i.table("documents").select("doc_id", head.alias("header")).where(F.length("header") >= 80)
+    none, d = F.lit(None).cast("string"), i.table("documents")
+    head = G.issue_header(F.lit("issue"), F.col("doc_id"), F.concat("source", F.lit("/"), "lang"), F.substring("text", 1, 20), none, F.lit("2024-01-02T03:04:05Z"), F.col("text"))
+    login = F.when(F.col("turn") % 4 == 3, "ci[bot]").otherwise("ann")
+    assoc = F.when(F.col("turn") % 5 == 4, "NONE").otherwise("MEMBER")
+    said = i.table("conversations").select(F.col("conv_id").alias("doc_id"), F.struct("turn", login.alias("login"), assoc.alias("association"), F.col("text").alias("body")).alias("c"))
+    talk = said.groupBy("doc_id").agg(G.human_comments(F.array_sort(F.collect_list("c")), trusted=G.TRUSTED).alias("k"))
+    rows = d.select("doc_id", head.alias("header")).where(F.length("header") >= 50).join(talk, "doc_id", "left")
+    rows = rows.select("doc_id", "header", F.transform("k", lambda x: T.capped_comment(x["login"], x["body"])).alias("comments"))
+    chunks = C.issue_sections(rows, "header", "comments")
+    return G.items_of(chunks, F.concat(F.lit("issue-"), F.col("doc_id").cast("string"))).select("doc_id", "key", "document_id", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 @query("format_issue_header", "SELECT doc_id, '# PR #'||doc_id||' ('||lang||'): t'||chr(10)||'Repo: o/'||lang||' | Author: a | Created: '||chr(10)||chr(10)||'body' AS header FROM documents")
@@ -160,12 +175,13 @@ def _(i: Inputs):
     return i.table("benchmark").select("item_id", C.rich_text(para).alias("plain"))
 
 
-@query("scan_pdf_pages", "SELECT conv_id, string_agg('--- Page '||(turn+1)||' ---'||chr(10)||text, chr(10)||chr(10) ORDER BY turn) AS body FROM conversations WHERE turn%3<>1 GROUP BY 1")
+@query("scan_pdf_pages", "WITH p AS (SELECT conv_id%16 AS doc, CASE WHEN turn%3=1 THEN '  ' ELSE replace(text, chr(10), ' ') END AS t, row_number() OVER (PARTITION BY conv_id%16 ORDER BY conv_id, turn) AS k FROM conversations) SELECT doc, string_agg('--- Page '||k||' ---'||chr(10)||t, chr(10)||chr(10) ORDER BY k) AS body FROM p WHERE trim(t)<>'' GROUP BY 1")
 def _(i: Inputs):
-    page = F.when(F.col("turn") % 3 == 1, "  ").otherwise(F.col("text"))
-    pages = i.table("conversations").select("conv_id", "turn", page.alias("text")).where(T.strip(F.col("text")) != "")
-    block = F.concat(F.lit("--- Page "), (F.col("turn") + 1).cast("string"), F.lit(" ---\n"), "text")
-    return pages.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda p: p["b"]), "\n\n").alias("body"))
+    page = F.when(F.col("turn") % 3 == 1, "  ").otherwise(F.replace("text", F.lit("\n"), F.lit(" ")))
+    pages, at = i.table("conversations").select((F.col("conv_id") % 16).alias("doc"), "conv_id", "turn", page.alias("value")), files.scratch(i.spark, "pages")
+    # stand-in documents: plain texts whose pages end in form feeds
+    pages.repartition("doc").sortWithinPartitions("doc", "conv_id", "turn").select("doc", "value").write.mode("append").partitionBy("doc").option("lineSep", "\f").text(at)
+    return IO.paged_text(i.spark, at, IO.form_feed_pages, "part-*").select(F.regexp_extract("path", "doc=([0-9]+)", 1).cast("long").alias("doc"), "body")
 
 
 @query("pattern_search", "SELECT doc_id, regexp_extract(text, ' ([a-z]+tion) ', 1) AS hit FROM documents WHERE regexp_matches(text, ' ([a-z]+tion) ') ORDER BY source, doc_id LIMIT 20")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import memory as M
+from ..sources import files
+from ..sources import readers as IO
 from .inputs import CALL, FACT, Inputs
 from .registry import query
 from .text_queries import TRIAGE
@@ -40,7 +42,10 @@ def _(i: Inputs):
 
 @query("sink_append_jsonl", "SELECT doc_id, '{\"doc_id\":'||doc_id||',\"source\":\"'||source||'\"}' AS line FROM documents")
 def _(i: Inputs):
-    return i.table("documents").select("doc_id", F.to_json(F.struct("doc_id", "source")).alias("line"))
+    d, at = i.table("documents").select("doc_id", "source"), files.scratch(i.spark, "audit")
+    IO.append_json(d.where("doc_id % 2 = 0"), at)
+    IO.append_json(d.where("doc_id % 2 = 1"), at)
+    return i.spark.read.text(at).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.col("value").alias("line"))
 
 
 @query("agg_triage_summary", f"WITH {TRIAGE} SELECT r AS category, count(*) AS n FROM (SELECT unnest(reasons) AS r FROM tri) GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import rollups as R
+from ..sources import files
 from ..sources import readers as IO
 from .inputs import AS_OF, CALL, SERVER, Inputs
 from .registry import query
@@ -105,11 +106,19 @@ def _(i: Inputs):
     return daily(i).withColumn("prev", prev).select("day", "project", "avg_tokens", "prev", F.when(F.col("prev").isNotNull(), N.trend_arrow(F.col("avg_tokens"), F.col("prev"))).alias("arrow"))
 
 
-@query("sink_markdown_dashboard", f"WITH {DAILY}, r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY day DESC) AS k FROM daily) SELECT a.project, a.day AS latest, b.day AS previous, a.avg_tokens AS tokens, b.avg_tokens AS prev_tokens FROM r a LEFT JOIN r b ON b.project=a.project AND b.k=2 WHERE a.k=1")
+LAST_TWO = "r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY day DESC) AS k FROM daily), two AS (SELECT a.project AS project, a.day AS day, b.day AS past, a.avg_tokens AS tokens, b.avg_tokens AS old FROM r a LEFT JOIN r b ON b.project=a.project AND b.k=2 WHERE a.k=1)"
+
+
+@query("sink_markdown_dashboard", f"WITH {DAILY}, {LAST_TWO} SELECT '# Dashboard' AS line UNION ALL SELECT '| project | latest | previous | tokens | trend |' UNION ALL SELECT '|-|-|-|-|-|' UNION ALL SELECT '| '||project||' | '||day||' | '||coalesce(CAST(past AS VARCHAR), 'none')||' | '||printf('%.2f', tokens)||' | '||CASE WHEN old IS NULL OR abs(tokens-old)<0.01 THEN '=' WHEN tokens>old THEN '↑' ELSE '↓' END||' |' FROM two")
 def _(i: Inputs):
     two = daily(i).withColumn("k", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("day")))).where("k <= 2")
     first = lambda k, c: F.first(F.when(F.col("k") == k, F.col(c)), ignorenulls=True)
-    return two.groupBy("project").agg(first(1, "day").alias("latest"), first(2, "day").alias("previous"), first(1, "avg_tokens").alias("tokens"), first(2, "avg_tokens").alias("prev_tokens"))
+    rows = two.groupBy("project").agg(first(1, "day").alias("day"), first(2, "day").alias("past"), first(1, "avg_tokens").alias("tokens"), first(2, "avg_tokens").alias("old"))
+    rows = rows.withColumn("trend", F.when(F.col("old").isNull(), "=").otherwise(N.trend_arrow(F.col("tokens"), F.col("old")))).orderBy("project").collect()  # a row per project
+    at = f"{files.scratch(i.spark, 'query')}/dashboard.md"
+    table = [f"| {r.project} | {r.day} | {r.past or 'none'} | {r.tokens:.2f} | {r.trend} |" for r in rows]
+    files.write_lines(i.spark, at, ["# Dashboard", "| project | latest | previous | tokens | trend |", "|-|-|-|-|-|", *table])
+    return i.spark.read.text(at).withColumnRenamed("value", "line")
 
 
 @query("rep_adoption_verdict", f"WITH {DAILY} SELECT day, project, CASE WHEN p<50 THEN 'warning' WHEN p>=80 THEN 'healthy' END AS verdict FROM (SELECT day, project, with_recall*100.0/sessions AS p FROM daily)")
@@ -184,10 +193,15 @@ def pending(i: Inputs):
     return lines.groupBy(F.coalesce("row.project", F.lit("unresolved")).alias("project")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project")
 
 
-@query("sink_pending_doc", "SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_id%2=0) AS shadow, count(*) FILTER (event_id%2=1) AS live FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1")
+@query("sink_pending_doc", f"WITH p AS (SELECT coalesce(CASE WHEN event_id%3=0 THEN NULL ELSE 'p'||(event_id%2) END,'unresolved') AS project FROM events WHERE event_id%7>1) SELECT '- '||project||': '||count(*) AS line FROM p GROUP BY project UNION ALL SELECT '## Last 7 days' UNION ALL SELECT CAST(ts AS DATE)||': '||count(*) FILTER (event_id%2=0)||' shadow, '||count(*) FILTER (event_id%2=1)||' live' FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY CAST(ts AS DATE)")
 def _(i: Inputs):
     e = i.table("events").where(F.col("ts") >= F.to_timestamp(F.lit("2024-01-24 00:00:00")))
-    return e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.when(F.col("event_id") % 2 == 0, 1)).alias("shadow"), F.count(F.when(F.col("event_id") % 2 == 1, 1)).alias("live")).orderBy(F.desc("day"))
+    days = e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.when(F.col("event_id") % 2 == 0, 1)).alias("shadow"), F.count(F.when(F.col("event_id") % 2 == 1, 1)).alias("live")).orderBy(F.desc("day"))
+    # a row per project and per day
+    lines = [f"- {r.project}: {r.n}" for r in pending(i).collect()] + ["## Last 7 days"] + [f"{r.day}: {r.shadow} shadow, {r.live} live" for r in days.collect()]
+    at = f"{files.scratch(i.spark, 'query')}/pending.md"
+    files.write_lines(i.spark, at, lines)
+    return i.spark.read.text(at).withColumnRenamed("value", "line")
 
 
 @query("scan_jsonl_last_n_days", "SELECT event_id FROM events WHERE event_id%11=0 OR ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")
@@ -202,36 +216,61 @@ def _(i: Inputs):
     return i.table("events").where(IO.since(iso, 7, F.to_timestamp(F.lit(AS_OF)))).select("event_id")
 
 
-@query("scan_daily_logs", f"WITH {DAILY} SELECT day, project, sessions FROM daily WHERE day > DATE '2024-01-23' AND project='p0'")
+def report_files(i: Inputs) -> str:
+    """A folder of daily reports as JSON files, one a project and day, and one a day under the day's name; some broken, some without date."""
+    root = files.scratch(i.spark, "reports")
+    rows = daily(i).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "project", "sessions").collect()  # a row per project and day
+    for r in rows:
+        files.write_text(i.spark, f"{root}/{r.day}-{r.project}.json", f'{{"date": "{r.day}",\n "project": "{r.project}", "sessions": {r.sessions}}}')
+        date = f'"date": "{r.day}", ' if int(r.day[-2:]) % 2 else ""
+        files.write_text(i.spark, f"{root}/{r.day}.json", f'{{{date}"project": "all"}}')
+    files.write_text(i.spark, f"{root}/2023-12-31.json", '{"date": broken')
+    files.write_text(i.spark, f"{root}/notes.json", '{"date": "no report"}')
+    return root
+
+
+@query("scan_daily_logs", f"WITH {DAILY} SELECT day, project, sessions FROM daily WHERE day > DATE '2024-01-23' AND day <= DATE '2024-01-30' AND project='p0'")
 def _(i: Inputs):
-    return daily(i).where((F.col("day") > F.to_date(F.lit("2024-01-23"))) & (F.col("project") == "p0")).select("day", "project", "sessions")
+    return IO.daily_logs(i.spark, report_files(i), "date date, project string, sessions long", 7, "2024-01-30", "-p0").withColumnRenamed("date", "day")
 
 
 @query("scan_all_daily_reports", "SELECT DISTINCT strftime(ts,'%Y-%m-%d') AS date FROM events")
 def _(i: Inputs):
-    name = F.concat(F.lit("/r/"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".json"))
-    given = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd"))
-    return i.table("events").select(F.coalesce(given, F.regexp_extract(name, r"([^/]+)\.json$", 1)).alias("date")).distinct()
+    return IO.daily_reports(i.spark, report_files(i), "date string, project string").select("date").orderBy("date")
 
 
-@query("scan_log_last_match", "SELECT event_type, max(ts) AS last_ts FROM events WHERE event_type IN ('view','error') GROUP BY 1")
+@query("scan_log_last_match", "SELECT event_type AS category, date_trunc('milliseconds', max(ts)) AS last FROM events WHERE event_type IN ('view','error') GROUP BY 1")
 def _(i: Inputs):
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSSSSS"), F.lit(" INFO did "), F.col("event_type"))
-    lines = i.table("events").select(line.alias("line"), "event_id")
-    kind = F.when(F.col("line").contains("did view"), "view").when(F.col("line").contains("did error"), "error")
-    at = F.to_timestamp(F.replace(F.substring("line", 1, 26), F.lit(","), F.lit(".")))
-    return lines.select(kind.alias("event_type"), at.cast("timestamp_ntz").alias("ts"), "event_id").where("event_type is not null").groupBy("event_type").agg(F.max_by("ts", "event_id").alias("last_ts"))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" INFO did "), F.col("event_type"))
+    at = files.scratch(i.spark, "log")
+    i.table("events").select(line).write.mode("append").text(at)
+    found = IO.log_last_match(i.spark, at, {"view": "did view", "error": "did error"})
+    return found.withColumn("last", F.col("last").cast("timestamp_ntz"))
+
+
+def aged_files(i: Inputs) -> str:
+    """A folder of transcripts ``f<age>-<k>.jsonl``, changed so many hours before AS_OF."""
+    root, now = files.scratch(i.spark, "aged"), i.spark.sql(f"SELECT unix_millis(TIMESTAMP '{AS_OF}')").first()[0]
+    for r in i.table("pages").select((F.col("page_id") % 50).alias("age"), (F.col("page_id") % 3).alias("k")).distinct().collect():  # 150 at most
+        folder = "Users-a-x" if r.k == 0 else "other"
+        files.write_text(i.spark, f"{root}/{folder}/f{r.age}-{r.k}.jsonl", "{}\n", now - r.age * 3_600_000)
+    return root
 
 
-@query("scan_recent_files", "SELECT DISTINCT page_id, page_id%50 AS age FROM pages WHERE page_id%50 <= 24 AND page_id%3=0")
+def file_name(c: str = "path"):
+    return F.regexp_extract(c, r"([^/]+)\.jsonl$", 1).alias("name")
+
+
+@query("scan_recent_files", "SELECT DISTINCT 'f'||(page_id%50)||'-0' AS name, page_id%50 AS age FROM pages WHERE page_id%50 <= 24 AND page_id%3=0")
 def _(i: Inputs):
-    f = i.table("pages").select("page_id", (F.col("page_id") % 50).alias("age"), F.when(F.col("page_id") % 3 == 0, "Users-a-x").otherwise("other").alias("folder"))
-    return f.where((F.col("age") <= 24) & F.col("folder").startswith("Users-a")).orderBy("age", "page_id").select("page_id", "age")
+    now = F.to_timestamp(F.lit(AS_OF))
+    rows = IO.recent_files(i.spark, aged_files(i), "*.jsonl", now - F.expr("INTERVAL 24 HOURS"), ["Users-a"])
+    return rows.select(file_name(), ((F.unix_millis(now) - F.unix_millis("modified")) / 3_600_000).cast("long").alias("age"))
 
 
-@query("scan_all_files_max_age", "SELECT page_id FROM pages WHERE page_id%50 <= 30")
+@query("scan_all_files_max_age", "SELECT DISTINCT 'f'||(page_id%50)||'-'||(page_id%3) AS name FROM pages WHERE page_id%50 <= 30")
 def _(i: Inputs):
-    return i.table("pages").where(F.col("page_id") % 50 <= 30).select("page_id")
+    return IO.recent_files(i.spark, aged_files(i), "*.jsonl", F.to_timestamp(F.lit(AS_OF)) - F.expr("INTERVAL 30 HOURS")).select(file_name())
 
 
 PATH = "CASE doc_id%6 WHEN 0 THEN 'a/main.go' WHEN 1 THEN 'vendor/x/b.go' WHEN 2 THEN 'pkg/c_test.go' WHEN 3 THEN 'web/d.ts' WHEN 4 THEN 'deep/er/e.tsx' ELSE 'README.md' END"
@@ -249,11 +288,6 @@ def _(i: Inputs):
     return p.where(IO.included(F.col("path"), ["**/*.go"])).union(p.where(IO.included(F.col("path"), ["web/**"]))).distinct()
 
 
-@query("scan_token_paginated", "SELECT event_id FROM events WHERE event_type='click' ORDER BY ts DESC, event_id LIMIT 50")
-def _(i: Inputs):
-    return i.table("events").where("event_type = 'click'").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id")
-
-
 @query("scan_issue_cli", "SELECT 'issue' AS kind, event_id FROM events WHERE event_type='error' UNION ALL SELECT 'pr', event_id FROM events WHERE event_type='signup'")
 def _(i: Inputs):
     e = i.table("events")
@@ -270,8 +304,10 @@ def _(i: Inputs):
 
 @query("sink_csv", f"WITH {CALL}, {SERVER} SELECT day AS date, server, count(*) AS calls, NULL AS hits, NULL AS misses, NULL AS hit_rate FROM srv GROUP BY 1,2")
 def _(i: Inputs):
-    none = F.lit(None).cast("string")
-    return served(i).groupBy(F.col("day").alias("date"), "server").agg(F.count("*").alias("calls")).orderBy("date", "server").select("date", "server", "calls", none.alias("hits"), none.alias("misses"), none.alias("hit_rate"))
+    none, at = F.lit(None).cast("string"), files.scratch(i.spark, "csv")
+    rows = served(i).groupBy(F.col("day").alias("date"), "server").agg(F.count("*").alias("calls")).select("date", "server", "calls", none.alias("hits"), none.alias("misses"), none.alias("hit_rate"))
+    IO.write_csv(rows, at, "date", "server")
+    return i.spark.read.option("header", True).schema("date date, server string, calls long, hits string, misses string, hit_rate string").csv(at)
 
 
 @query("sort_csv", f"WITH {CALL} SELECT day, raw_server, count(*) AS calls FROM call GROUP BY 1,2")
@@ -281,7 +317,11 @@ def _(i: Inputs):
 
 @query("sink_snapshot_json", f"WITH {DAILY} SELECT project, '{{\"project\":\"'||project||'\",\"sessions\":'||CAST(sum(sessions) AS BIGINT)||'}}' AS snapshot FROM daily GROUP BY 1")
 def _(i: Inputs):
-    return daily(i).groupBy("project").agg(F.sum("sessions").alias("sessions")).select("project", F.to_json(F.struct("project", "sessions")).alias("snapshot"))
+    rows = daily(i).groupBy("project").agg(F.sum("sessions").alias("sessions")).select("project", F.to_json(F.struct("project", "sessions")).alias("snapshot"))
+    root = files.scratch(i.spark, "snapshot")
+    for r in rows.collect():  # a row per project
+        files.write_text(i.spark, f"{root}/{r.project}.json", r.snapshot)
+    return i.spark.read.text(root).select(F.get_json_object("value", "$.project").alias("project"), F.col("value").alias("snapshot"))
 
 
 @query("stream_backfill_range", f"WITH {DAILY} SELECT day, project, CASE WHEN day BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' THEN sessions*2 ELSE sessions END AS sessions FROM daily")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify as K
 from ..operators import memory as M
+from ..sources import files
 from ..sources import readers as IO
 from .inputs import CHUNK, Inputs
 from .registry import query
@@ -16,20 +15,35 @@ from .stream_queries import scratch
 
 
 def page(number: int) -> list[tuple]:
-    """A stand-in service: 100 items a page, the last page short."""
-    return [(number, number * 100 + k) for k in range(100 if number < 9 else 37)]
+    """A stand-in service: 937 items, 100 a page."""
+    return [(number, k) for k in range(number * 100, min(937, number * 100 + 100))]
+
+
+def cursor_page(cursor: str | None) -> tuple[list[tuple], str | None]:
+    """A stand-in service that names the next page: 1437 items, newest first, 100 a page."""
+    at = int(cursor or 0)
+    return [(1436 - k,) for k in range(at, min(1437, at + 100))], str(at + 100) if at + 100 < 1437 else None
+
+
+def read_service(i: Inputs, kind, schema: str, fetch, **options):
+    name = f"mnemosail_{fetch.__name__}"
+    i.spark.dataSource.register(kind(name, schema, fetch))
+    return i.spark.read.format(name).options(**options).load()
 
 
 @query("scan_paginated", "SELECT x//100 AS page, x AS item FROM (SELECT unnest(range(0, 937)) AS x)")
 def _(i: Inputs):
-    i.spark.dataSource.register(IO.paged_source("mnemosail_pages", "page long, item long", page))
-    return i.spark.read.format("mnemosail_pages").option("pages", "10").load()
+    return read_service(i, IO.paged_source, "page long, item long", page, pageSize=100)
+
+
+@query("scan_token_paginated", "SELECT CAST(x AS BIGINT) AS item FROM (SELECT unnest(range(1187, 1437)) AS x)")
+def _(i: Inputs):
+    return read_service(i, IO.cursor_source, "item long", cursor_page, limit=250)
 
 
-@query("scan_graphql_cursor", "SELECT CAST(x AS BIGINT) AS item FROM (SELECT unnest(range(0, 500)) AS x)")
+@query("scan_graphql_cursor", "SELECT CAST(x AS BIGINT) AS item FROM (SELECT unnest(range(437, 1437)) AS x)")
 def _(i: Inputs):
-    i.spark.dataSource.register(IO.paged_source("mnemosail_cursor", "page long, item long", page))
-    return i.spark.read.format("mnemosail_cursor").option("pages", "5").load().select("item")
+    return read_service(i, IO.cursor_source, "item long", cursor_page, maxPages=10)
 
 
 @query("sink_declare_row", "WITH c AS (SELECT doc_id FROM documents WHERE doc_id%2=0), d AS (SELECT doc_id, lang AS x FROM documents WHERE doc_id%3<>0) SELECT doc_id, x FROM d")
@@ -43,15 +57,18 @@ def _(i: Inputs):
 
 @query("sink_atomic_replace", "SELECT doc_id, lang FROM documents WHERE doc_id%2=0")
 def _(i: Inputs):
-    at, d = f"{scratch(i)}/{uuid.uuid4().hex}", i.table("documents").select("doc_id", "lang")
-    d.write.mode("overwrite").parquet(at)
-    d.where("doc_id % 2 = 0").write.mode("overwrite").parquet(at)
-    return i.spark.read.parquet(at)
+    at, d = scratch(i), i.table("documents").select("doc_id", "lang")
+    files.replace_table(d, at)
+    files.replace_table(files.current_table(i.spark, at).where("doc_id % 2 = 0"), at)  # from the version that it replaces
+    return files.current_table(i.spark, at)
 
 
 @query("sink_text_report", "SELECT event_type||': '||count(*)||' calls' AS line FROM events GROUP BY event_type")
 def _(i: Inputs):
-    return i.table("events").groupBy("event_type").count().select(F.concat("event_type", F.lit(": "), F.col("count").cast("string"), F.lit(" calls")).alias("line"))
+    counts = i.table("events").groupBy("event_type").count().orderBy(F.desc("count"), "event_type").collect()  # a row per type
+    at = f"{scratch(i)}/report.txt"
+    files.write_lines(i.spark, at, [f"{r.event_type}: {r['count']} calls" for r in counts])
+    return i.spark.read.text(at).withColumnRenamed("value", "line")
 
 
 @query("fn_format_results", f"WITH {CHUNK} SELECT id, filepath||chr(10)||substr(search_text,1,500)||CASE WHEN length(search_text)>500 THEN '...' ELSE '' END AS shown FROM chunk")

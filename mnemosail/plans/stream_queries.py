@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..streaming.progress import run_available, stream_new_messages
 from .inputs import Inputs
 from .registry import query
@@ -14,8 +13,7 @@ from .registry import query
 
 def scratch(i: Inputs) -> str:
     """A new folder in what driver and executors share."""
-    root = i.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/mnemosail/stream-{uuid.uuid4().hex}"
+    return files.scratch(i.spark, "query")
 
 
 def source(i: Inputs, table: str) -> DataFrame:

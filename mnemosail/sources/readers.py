@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -79,30 +81,115 @@ def included(path: Column, include: list[str], exclude: list[str] = ()) -> Colum
     return inside
 
 
-class Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+def daily_logs(spark: SparkSession, root: str, schema: StructType | str, days: int, today: str, suffix: str = "") -> DataFrame:
+    """The files ``<date><suffix>.json`` of the last days up to ``today``, one JSON object each; days without a file and broken files are skipped."""
+    last = dt.date.fromisoformat(today)
+    names = ",".join(f"{last - dt.timedelta(days=k)}{suffix}" for k in range(days))
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "{" + names + "}.json").json(root)
+
+
+def log_last_match(spark: SparkSession, path: str, marks: dict[str, str]) -> DataFrame:
+    """(category, last): the time of the last line that holds each category's text; lines start with ``yyyy-MM-dd HH:mm:ss,SSS``."""
+    line = F.col("value")
+    kind = F.coalesce(*[F.when(line.contains(v), F.lit(k)) for k, v in marks.items()])
+    at = F.try_to_timestamp(F.replace(F.substring(line, 1, 23), F.lit(","), F.lit(".")), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
+    found = spark.read.text(path).select(kind.alias("category"), at.alias("at")).where("category is not null and at is not null")
+    return found.groupBy("category").agg(F.max("at").alias("last"))
+
+
+def paged_text(spark: SparkSession, root: str, pages: Callable[[bytes], list[str]], pattern: str = "*") -> DataFrame:
+    """(path, body) of binary documents: pages that are not blank, under headings with their original numbers.
+
+    ``pages``: bytes of a file to the texts of its pages, as a PDF library gives them; a file that it cannot read has no row.
+    """
+
+    def run(batches):
+        for b in batches:
+            kept = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    found = pages(data)
+                except Exception:  # noqa: BLE001 a broken document is skipped, whatever its library raises
+                    continue
+                kept.append((path, "\n\n".join(f"--- Page {k} ---\n{t}" for k, t in enumerate(found, 1) if t.strip())))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*kept, strict=True)], ["path", "body"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return files.select("path", "content").mapInArrow(run, "path string, body string")
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """Texts of a PDF's pages; needs the optional package ``pypdf``."""
+    import io
+
+    from pypdf import PdfReader
+
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
+
+
+def form_feed_pages(data: bytes) -> list[str]:
+    """Texts of the pages of a plain text."""
+    return data.decode("utf-8", "replace").removesuffix("\f").split("\f")
+
+
+def jdbc_vectors(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, parts: int = 64, **options) -> DataFrame:
+    """Rows of a vector table of a database, read in ``parts`` ranges of a numeric key; needs its JDBC driver."""
+    return spark.read.jdbc(url, table, column=key, lowerBound=lower, upperBound=upper, numPartitions=parts, properties={k: str(v) for k, v in options.items()})
+
+
+class Stripe(InputPartition):
+    def __init__(self, first: int, step: int):
+        self.first, self.step = first, step
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.fetch: Callable[[int], list[tuple]] = options["fetch"]
-        self.pages = int(options["pages"])
+    """Reads pages until one is short. Stripe k of n reads pages k, k + n, ...; each ends at its first short page, so none needs the number of pages."""
 
-    def partitions(self) -> list[Page]:
-        return [Page(k) for k in range(self.pages)]
+    def __init__(self, fetch: Callable[[int], list[tuple]], options: dict):
+        self.fetch, self.size, self.stripes = fetch, int(options.get("pageSize", "100")), int(options.get("stripes", "4"))
 
-    def read(self, page: Page) -> Iterator[tuple]:
-        yield from self.fetch(page.number)
+    def partitions(self) -> list[Stripe]:
+        return [Stripe(k, self.stripes) for k in range(self.stripes)]
 
+    def read(self, part: Stripe) -> Iterator[tuple]:
+        number = part.first
+        while True:
+            rows = self.fetch(number)
+            yield from rows
+            if len(rows) < self.size:
+                return
+            number += part.step
 
-def paged_source(name: str, schema: str, fetch: Callable[[int], list[tuple]]) -> type[DataSource]:
-    """A data source with one partition a page; pages that are empty give no rows.
 
-    Register it with ``spark.dataSource.register`` and load it with option ``pages``.
+class CursorReader(DataSourceReader):
+    """Follows cursors: each page names the next. One partition, as no page is known before the one ahead of it.
+
+    Ends at the last page, after ``maxPages`` pages, or after ``limit`` rows.
     """
 
-    class Paged(DataSource):
+    def __init__(self, fetch: Callable[[str | None], tuple[list[tuple], str | None]], options: dict):
+        self.fetch, self.pages, self.limit = fetch, int(options.get("maxPages", "0")), int(options.get("limit", "0"))
+
+    def partitions(self) -> list[InputPartition]:
+        return [Stripe(0, 1)]
+
+    def read(self, part: Stripe) -> Iterator[tuple]:
+        cursor, pages, sent = None, 0, 0
+        while True:
+            rows, cursor = self.fetch(cursor)
+            if self.limit:
+                rows = rows[: self.limit - sent]
+            yield from rows
+            pages, sent = pages + 1, sent + len(rows)
+            if cursor is None or pages == self.pages or self.limit and sent >= self.limit:
+                return
+
+
+def service(name: str, schema: str, fetch: Callable, reader: type[DataSourceReader]) -> type[DataSource]:
+    """A data source over a service; register it with ``spark.dataSource.register``."""
+
+    class Service(DataSource):
         @classmethod
         def name(cls) -> str:
             return name
@@ -111,9 +198,19 @@ def paged_source(name: str, schema: str, fetch: Callable[[int], list[tuple]]) ->
             return schema
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return PagedReader(schema, {"fetch": fetch, "pages": self.options.get("pages", "1")})
+            return reader(fetch, self.options)
+
+    return Service
+
+
+def paged_source(name: str, schema: str, fetch: Callable[[int], list[tuple]]) -> type[DataSource]:
+    """``fetch``: page number, from 0, to rows. Options ``pageSize`` (rows of a full page) and ``stripes`` (parallel readers)."""
+    return service(name, schema, fetch, PagedReader)
+
 
-    return Paged
+def cursor_source(name: str, schema: str, fetch: Callable[[str | None], tuple[list[tuple], str | None]]) -> type[DataSource]:
+    """``fetch``: cursor, null at first, to rows and the next cursor, null at the end. Options ``maxPages`` and ``limit``."""
+    return service(name, schema, fetch, CursorReader)
 
 
 def append_json(df: DataFrame, path: str) -> None:
