@@ -229,33 +229,3 @@ def _(i: Inputs):
 def _(i: Inputs):
     other = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return i.table("documents").select("doc_id", (T.strip(F.col("text")) == T.strip(other)).alias("in_sync"))
-
-
-@query("stream_message_watermark", "SELECT conv_id AS t, count(*) AS message_count FROM conversations GROUP BY 1")
-def _(i: Inputs):
-    from ..streaming.progress import next_marks
-
-    c = i.table("conversations").select(F.col("conv_id").alias("t"), F.col("turn").alias("raw_idx"))
-    marks = c.select("t").distinct().where("t % 2 = 0").select("t", F.lit(1).cast("long").alias("message_count"))
-    return next_marks(c, marks)
-
-
-@query("stream_size_gate", "SELECT conv_id AS t FROM (SELECT conv_id, sum(length(text)) AS size FROM conversations GROUP BY 1) WHERE size > (conv_id%5)*300")
-def _(i: Inputs):
-    s = i.table("conversations").groupBy(F.col("conv_id").alias("t")).agg(F.sum(F.length("text")).alias("size"))
-    return s.where(F.col("size") > (F.col("t") % 5) * 300).select("t")
-
-
-@query("stream_state_ttl", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")
-def _(i: Inputs):
-    from ..streaming.progress import expire
-
-    return expire(i.table("events"), "ts", F.to_timestamp(F.lit("2024-01-31 00:00:00"))).select("event_id")
-
-
-@query("stream_retry_buffer", "SELECT event_id, event_id%5<>0 AS delivered FROM events WHERE event_type='click'")
-def _(i: Inputs):
-    from ..streaming.progress import retried
-
-    done, rest = retried(i.table("events").where("event_type = 'click'"), F.col("event_id") % 5 != 0)
-    return done.select("event_id", F.lit(True).alias("delivered")).unionByName(rest.select("event_id", F.lit(False).alias("delivered")))

@@ -322,12 +322,3 @@ def _(i: Inputs):
     for r in rows.collect():  # a row per project
         files.write_text(i.spark, f"{root}/{r.project}.json", r.snapshot)
     return i.spark.read.text(root).select(F.get_json_object("value", "$.project").alias("project"), F.col("value").alias("snapshot"))
-
-
-@query("stream_backfill_range", f"WITH {DAILY} SELECT day, project, CASE WHEN day BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' THEN sessions*2 ELSE sessions END AS sessions FROM daily")
-def _(i: Inputs):
-    from ..operators.memory import upsert
-
-    old = daily(i).select("day", "project", "sessions").withColumn("version", F.lit(1)).withColumn("key", F.concat_ws("/", "day", "project"))
-    new = old.where(F.col("day").between(F.to_date(F.lit("2024-01-10")), F.to_date(F.lit("2024-01-12")))).withColumns({"sessions": F.col("sessions") * 2, "version": F.lit(2)})
-    return upsert(old, new, "key", "version").select("day", "project", "sessions")

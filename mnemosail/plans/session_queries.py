@@ -10,6 +10,7 @@ from ..operators import rollups as R
 from ..operators import sessions as S
 from .inputs import BANKS, CODE_BANK, MSG, Inputs
 from .registry import query
+from .stream_queries import deliveries
 from .text_queries import CORR, INST
 
 PARSED = f"""{MSG}, p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY raw_idx)-1 AS i, role='user' AND coalesce({CORR},false) AS fix, role='user' AND coalesce({INST},false) AS rule,
@@ -229,9 +230,8 @@ def _(i: Inputs):
     return debounced(hits, 5, 4 * 3600)
 
 
-@query("stream_dedup_content", f"WITH {WIN} SELECT sha256(win) AS hash, count(*) AS copies FROM w GROUP BY 1")
+@query("stream_dedup_content", f"WITH {WIN} SELECT DISTINCT sha256(win) AS hash FROM w")
 def _(i: Inputs):
-    w = S.learning_windows(i.messages())
-    return w.groupBy(F.sha2(F.col("window").cast("binary"), 256).alias("hash")).agg(F.count("*").alias("copies"))
-
-
+    w = S.learning_windows(i.messages()).select("t", F.sha2(F.col("window").cast("binary"), 256).alias("hash"))
+    # every window comes twice, as files that change are delivered whole
+    return deliveries(i, w.where("t % 3 <> 0"), w, stream=lambda s: s.select("hash").dropDuplicates(["hash"]))

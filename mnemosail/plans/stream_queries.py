@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.memory import upsert
 from ..sources import files
-from ..streaming.progress import run_available, stream_new_messages
+from ..sources import readers as IO
+from ..streaming.progress import expire, retried, run_available, size_gate, stream_debounced, stream_new_messages
 from .inputs import Inputs
 from .registry import query
+from .rollup_queries import DAILY, daily
 
 
 def scratch(i: Inputs) -> str:
@@ -43,34 +46,124 @@ def _(i: Inputs):
     return collected(i, source(i, "events").select("event_type")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_state(i: Inputs, run):
+    """What ``run`` returns, under the state store that stateful processors need; the session's own comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = i.spark.conf.get(key, None)
+    i.spark.conf.set(key, ROCKS)
+    try:
+        return run()
+    finally:
+        i.spark.conf.set(key, before) if before else i.spark.conf.unset(key)
+
+
+def deliveries(i: Inputs, *parts: DataFrame, transform=lambda b: b, stream=lambda s: s) -> DataFrame:
+    """What a stream of files delivers, run to its end after each part has come in, under one checkpoint."""
+    at = scratch(i)
+
+    def sink(batch: DataFrame, n: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+
+    for part in parts:
+        part.write.mode("append").parquet(f"{at}/in")
+        run_available(stream(i.spark.readStream.schema(part.schema).parquet(f"{at}/in")), sink, f"{at}/progress")
+    return i.spark.read.parquet(f"{at}/out").drop("batch")
+
+
+def messages(i: Inputs) -> DataFrame:
+    return i.table("conversations").select(F.col("conv_id").alias("t"), F.col("turn").alias("raw_idx"))
+
+
 @query("stream_new_messages", "SELECT conv_id AS t, turn AS raw_idx FROM conversations")
 def _(i: Inputs):
-    i.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = source(i, "conversations").select(F.col("conv_id").alias("t"), F.col("turn").alias("raw_idx"))
-    return collected(i, stream_new_messages(rows))
+    return with_state(i, lambda: collected(i, stream_new_messages(source(i, "conversations").select(F.col("conv_id").alias("t"), F.col("turn").alias("raw_idx")))))
+
+
+@query("stream_message_watermark", "SELECT conv_id AS t, count(*) AS message_count FROM conversations GROUP BY 1")
+def _(i: Inputs):
+    # the second delivery holds whole transcripts again; the state lets only new messages through
+    new = with_state(i, lambda: deliveries(i, messages(i).where("raw_idx < 2"), messages(i), stream=stream_new_messages))
+    return new.groupBy("t").agg(F.count("*").alias("message_count"))
+
+
+@query("stream_size_gate", "SELECT conv_id AS t FROM (SELECT conv_id, sum(length(text)) AS size FROM conversations GROUP BY 1) WHERE size > (conv_id%5)*300")
+def _(i: Inputs):
+    recorded = i.table("conversations").select(F.col("conv_id").alias("t"), (F.col("conv_id") % 5 * 300).alias("recorded")).distinct()
+    at = scratch(i)
+    files.replace_table(recorded, at)
+
+    def gate(batch: DataFrame) -> DataFrame:
+        return size_gate(batch.groupBy("t").agg(F.sum("size").alias("size")), files.current_table(i.spark, at))
+
+    said = i.table("conversations").select(F.col("conv_id").alias("t"), F.length("text").alias("size"))
+    return deliveries(i, said, transform=gate).select("t")
+
+
+@query("stream_state_ttl", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")
+def _(i: Inputs):
+    now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    return collected(i, source(i, "events").select("event_id", "ts"), lambda b: expire(b, "ts", now)).select("event_id")
 
 
 @query("stream_poll_issues", "SELECT source, count(*) AS n FROM (SELECT DISTINCT doc_id, source FROM documents) GROUP BY 1")
 def _(i: Inputs):
-    from ..operators.memory import upsert
+    target, d = scratch(i), i.table("documents").select("doc_id", "source")
+    files.replace_table(d.where("false").withColumn("version", F.lit(0)), target)
+
+    def merge(batch: DataFrame) -> DataFrame:
+        files.replace_table(upsert(files.current_table(i.spark, target), batch, "doc_id", "version"), target)
+        return batch
 
-    d = i.table("documents").select("doc_id", "source").withColumn("version", F.lit(1))
-    again = d.withColumn("version", F.lit(2))  # a poll fetches everything again; ids make it idempotent
-    return upsert(d, again, "doc_id", "version").groupBy("source").agg(F.count("*").alias("n"))
+    # every poll fetches everything again; ids make it idempotent
+    deliveries(i, d.withColumn("version", F.lit(1)), d.withColumn("version", F.lit(2)), transform=merge)
+    return files.current_table(i.spark, target).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("stream_hourly_vs_nightly", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 24 HOUR AND ts < TIMESTAMP '2024-01-30 22:00:00'")
 def _(i: Inputs):
     end = F.to_timestamp(F.lit("2024-01-30 22:00:00"))
-    e = i.table("events")
-    hourly = e.where((F.col("ts") >= end - F.expr("INTERVAL 2 HOURS")) & (F.col("ts") < end)).select("event_id")
-    nightly = e.where((F.col("ts") >= end - F.expr("INTERVAL 24 HOURS")) & (F.col("ts") < end)).select("event_id")
+
+    def lookback(hours: int):
+        return lambda b: b.where((F.col("ts") >= end - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") < end))
+
+    events = source(i, "events").select("event_id", "ts")
+    hourly, nightly = (collected(i, events, lookback(h)).select("event_id") for h in (2, 24))
     return hourly.unionByName(nightly.join(hourly, "event_id", "left_anti"))
 
 
-@query("stream_debounce")
+@query("stream_retry_buffer", "SELECT event_id, event_id%25<>0 AS delivered FROM events WHERE event_type='click'")
 def _(i: Inputs):
-    from ..streaming.progress import debounced
+    backlog = scratch(i)
 
+    def deliver(ok):
+        def run(batch: DataFrame) -> DataFrame:
+            done, rest = retried(batch, ok)
+            files.replace_table(rest, backlog)  # what failed, and nothing else, is replayed
+            return done
+
+        return run
+
+    clicks = i.table("events").where("event_type = 'click'").select("event_id")
+    first = deliveries(i, clicks, transform=deliver(F.col("event_id") % 5 != 0))
+    again = deliveries(i, files.current_table(i.spark, backlog), transform=deliver(F.col("event_id") % 25 != 0))
+    done = first.unionByName(again).withColumn("delivered", F.lit(True))
+    return done.unionByName(files.current_table(i.spark, backlog).withColumn("delivered", F.lit(False)))
+
+
+@query("stream_backfill_range", f"WITH {DAILY} SELECT day, project, CASE WHEN day BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' THEN sessions*2 ELSE sessions END AS sessions FROM daily")
+def _(i: Inputs):
+    at, rows = scratch(i), daily(i).select("day", "project", "sessions")
+    IO.replace_partitions(rows, at, "day")
+    again = rows.where(F.col("day").between(F.to_date(F.lit("2024-01-10")), F.to_date(F.lit("2024-01-12")))).withColumn("sessions", F.col("sessions") * 2)
+    IO.replace_partitions(again, at, "day")  # the days of the range, and no others
+    return i.spark.read.schema(rows.schema).parquet(at).select("day", "project", "sessions")
+
+
+@query("stream_debounce")
+def _(i: Inputs):
     hits = i.table("events").select(F.col("user_id").alias("bank"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.lit(1).alias("n"))
-    return debounced(hits)
+    half = F.unix_seconds(F.to_timestamp(F.lit("2024-01-15 00:00:00")))
+    return with_state(i, lambda: deliveries(i, hits.where(F.col("at") < half), hits.where(F.col("at") >= half), stream=stream_debounced))

@@ -75,6 +75,41 @@ class MessageProgress(StatefulProcessor):
         pass
 
 
+class Debounce(StatefulProcessor):
+    """Running total per bank that fires at a threshold, not before ``gap`` seconds after the last time; hits come in order of time, batch by batch."""
+
+    def __init__(self, threshold: int, gap: int):
+        self.threshold, self.gap = threshold, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("counter", "total long, fired long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # a chunk of rows at a time; the state, not a frame, holds the bank's history
+        hits: dict[int, int] = {}
+        for pdf in rows:
+            for at, n in zip(pdf["at"].tolist(), pdf["n"].tolist(), strict=True):
+                hits[at] = hits.get(at, 0) + n
+        total, fired = self.state.get() if self.state.exists() else (0, None)
+        times = sorted(hits)
+        steps, total, fired = count_steps(times, [hits[t] for t in times], total, fired, self.threshold, self.gap)
+        self.state.update((total, fired))
+        yield pd.DataFrame([(key[0], *x) for x in steps], columns=["bank", "at", "total", "fires"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_debounced(hits: DataFrame, threshold: int = 5, gap: int = 4 * 3600) -> DataFrame:
+    """bank, at, total, fires of a stream of hits (bank, at in seconds, n). Needs the RocksDB state store."""
+    return hits.groupBy("bank").transformWithStateInPandas(statefulProcessor=Debounce(threshold, gap), outputStructType="bank long, at long, total long, fires boolean", outputMode="append", timeMode="none")
+
+
+def size_gate(batch: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(t, size) of the batch's transcripts that are larger than recorded (t, recorded); others have nothing new."""
+    return batch.join(recorded, "t", "left").where(F.col("size") > F.coalesce("recorded", F.lit(0))).select("t", "size")
+
+
 def stream_new_messages(stream: DataFrame) -> DataFrame:
     """A stream of (t, raw_idx, ...) in which each delivery holds whole transcripts, to the messages not seen yet.
 
