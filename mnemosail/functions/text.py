@@ -121,14 +121,31 @@ def hit_of(result_json: Column) -> Column:
     return F.coalesce((F.get_json_object(inner, "$.content[0].type") == "text") & (F.coalesce(F.get_json_object(inner, "$.isError"), F.lit("false")) != "true"), F.lit(False))
 
 
+def has_ink(c: Column) -> Column:
+    """True if something is not white space."""
+    return c.rlike(r"(?U)\S")
+
+
+def valuable(c: Column) -> Column:
+    return finds(c, P.VALUABLE)
+
+
+def triage_base(c: Column) -> Column:
+    """Reasons that the text itself gives."""
+    kind = F.when(finds(c, P.EPHEMERAL + P.EPHEMERAL_REQUEST), "ephemeral").when(finds(c, P.SNAPSHOT), "snapshot")
+    return F.array_compact(F.array(kind, F.when(F.length(c) < 80, "short")))
+
+
+def with_stale(base: Column, date: Column, cutoff: Column) -> Column:
+    """Reasons, and ``stale`` where there are any and the date is before the cutoff."""
+    old = F.try_to_date(F.substring(date, 1, 10), "yyyy-MM-dd") < cutoff
+    return F.when(F.coalesce(old, F.lit(False)) & (F.size(base) > 0), F.concat(base, F.array(F.lit("stale")))).otherwise(base)
+
+
 def triage_reasons(c: Column, date: Column, cutoff: Column) -> Column:
-    """Why a stored statement may go: an array, empty if it stays."""
-    text = F.coalesce(c, F.lit(""))
-    ephemeral = finds(text, P.EPHEMERAL + P.EPHEMERAL_REQUEST)
-    base = F.array_compact(F.array(F.when(ephemeral, "ephemeral").when(finds(text, P.SNAPSHOT), "snapshot"), F.when(F.length(text) < 80, "short")))
-    stale = F.coalesce(F.try_to_date(F.substring(date, 1, 10), "yyyy-MM-dd") < cutoff, F.lit(False)) & (F.size(base) > 0)
-    none = F.array().cast("array<string>")
-    return F.when(strip(text) == "", F.array(F.lit("empty"))).when(finds(text, P.VALUABLE), none).when(stale, F.concat(base, F.array(F.lit("stale")))).otherwise(base)
+    """Why a stored statement may go: an array, empty if it stays. ``memory.triage`` gives the same for tables, with less work."""
+    text, none = F.coalesce(c, F.lit("")), F.array().cast("array<string>")
+    return F.when(~has_ink(text), F.array(F.lit("empty"))).when(valuable(text), none).otherwise(with_stale(triage_base(text), date, cutoff))
 
 
 def normalized_statement(c: Column) -> Column:

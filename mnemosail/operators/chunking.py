@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,19 +17,23 @@ SPANS = "array<struct<idx:int,start:int,stop:int>>"
 
 
 def window_spans(text: str, size: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(index, start, stop) of sliding windows that prefer to end after a line break in their second half."""
-    n = len(text)
-    if n <= size:
-        return [(0, 0, n)]
-    out, start = [], 0
-    while start < n:
-        stop = start + size
-        if stop < n:
-            line = text.rfind("\n", start, stop)
-            stop = line + 1 if line > start + size // 2 else stop
-        out.append((len(out), start, min(stop, n)))
-        start = stop - overlap
-    return out
+    """(index, start, stop) of windows of ``size`` characters, the next one ``overlap`` before the end of the last.
+
+    An end moves back to the last line break in the second half of its window. Ends after line breaks are listed once and looked up by
+    bisection.
+    """
+    if len(text) <= size:
+        return [(0, 0, len(text))]
+    after_lines = [m.end() for m in re.finditer("\n", text)]
+    ends: list[int] = []
+    starts = [0]
+    while starts[-1] < len(text):
+        full = starts[-1] + size
+        k = bisect_right(after_lines, full) if full < len(text) else 0
+        in_second_half = k and after_lines[k - 1] >= full - size + size // 2 + 2
+        ends.append(after_lines[k - 1] if in_second_half else full)
+        starts.append(ends[-1] - overlap)
+    return [(k, a, min(z, len(text))) for k, (a, z) in enumerate(zip(starts, ends))]
 
 
 def fixed_windows(c: Column, size: int = 800, overlap: int = 200) -> Column:

@@ -7,6 +7,7 @@ cut as the callers of a model would cut them, since models bill by length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VERDICT = "struct<label:string,confidence:double,error:string>"
-PROJECT_LIMIT, STATEMENT_LIMIT, MEMORY_LIMIT = 1000, 800, 300
+CORRECTION_LIMIT, PROJECT_LIMIT, STATEMENT_LIMIT, MEMORY_LIMIT = 1500, 1000, 800, 300
 Backend = Callable[[list[str]], list[tuple[str | None, float, str | None]]]
 
 
@@ -49,6 +50,17 @@ def keyword_backend(labels: dict[str, list[str]]) -> Backend:
     return run
 
 
+def pattern_backend(labels: dict[str, list[str]]) -> Backend:
+    """The first label that has a pattern (case ignored) in the text, for sure."""
+    compiled = {name: [re.compile(p, re.IGNORECASE) for p in patterns] for name, patterns in labels.items()}
+
+    def run(texts: list[str]) -> list[tuple[str | None, float, str | None]]:
+        found = (next((name for name, ps in compiled.items() if any(p.search(t) for p in ps)), None) for t in texts)
+        return [(name, 1.0 if name else 0.0, None) for name in found]
+
+    return run
+
+
 def contradiction(statement: Column, memories: Column) -> Column:
     """struct(contradicts, idx, confidence): the first stored statement that says the opposite by one negation.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +50,21 @@ def classified(messages: DataFrame, cache: DataFrame, text: str, classify) -> Da
 
 
 def triage(facts: DataFrame, cutoff: Column) -> DataFrame:
-    """facts with ``reasons``; blank statements are left out."""
-    return facts.where(T.strip(F.coalesce("text", F.lit(""))) != "").withColumn("reasons", T.triage_reasons(F.col("text"), F.col("date"), cutoff))
+    """facts with ``reasons``; blank statements are left out. Each pattern runs once a text at most: its outcome is a column before it is used again."""
+    text = F.coalesce("text", F.lit(""))
+    rows = facts.where(T.has_ink(text)).withColumn("_base", F.when(T.valuable(text), F.array().cast("array<string>")).otherwise(T.triage_base(text)))
+    return rows.withColumn("reasons", T.with_stale(F.col("_base"), F.col("date"), cutoff)).drop("_base")
+
+
+def unified_diff(a: Column, b: Column, context: int = 3, names: tuple[str, str] = ("stored", "current")) -> Column:
+    """Unified diff of two texts by lines, '' if they are equal."""
+    import difflib
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(["" if p == q else "\n".join(difflib.unified_diff((p or "").split("\n"), (q or "").split("\n"), *names, n=context, lineterm="")) for p, q in zip(x, y, strict=True)])
+
+    return run(a, b)
 
 
 def block_pairs(facts: DataFrame, block: int = 50, text: str = "text", place: str = "id") -> DataFrame:
@@ -73,20 +87,36 @@ def equal_copies(facts: DataFrame, text: str = "text", place: str = "id") -> Dat
     return rows.join(lead, "n").where("id <> first").select("id", "first")
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff/Obershelp similarity, with the popularity heuristic from 200 characters on; not symmetric."""
+def letter_bound(x: pd.Series, y: pd.Series, cells: int = 64) -> np.ndarray:
+    """At least the ratio of each pair: what two texts share is no more than the letters that both have, counted by a residue of their codes."""
+    texts, at = np.unique(np.concatenate([x.to_numpy(str), y.to_numpy(str)]), return_inverse=True)
+    counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % cells, minlength=cells) for t in texts.tolist()])
+    size, (a, b) = counts.sum(axis=1), np.split(at, 2)
+    return 2 * np.minimum(counts[a], counts[b]).sum(axis=1) / np.maximum(size[a] + size[b], 1)
+
+
+def sequence_ratio(a: Column, b: Column, above: float = -1.0) -> Column:
+    """Ratcliff/Obershelp similarity, with the popularity heuristic from 200 characters on; not symmetric. Null where bounds show that it is not above ``above``."""
     from difflib import SequenceMatcher
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)])
+        x, y = x.fillna(""), y.fillna("")
+        may = letter_bound(x, y) > above if len(x) else []
+        return pd.Series([SequenceMatcher(None, p, q).ratio() if ok else None for p, q, ok in zip(x, y, may, strict=True)], dtype="float64")
 
     return run(a, b)
 
 
 def near_duplicates(facts: DataFrame, least: float = 0.85) -> DataFrame:
     """(a, b, ratio) of representatives whose ratio is above ``least``."""
-    return block_pairs(facts).withColumn("ratio", sequence_ratio(F.col("na"), F.col("nb"))).where(F.col("ratio") > least).select("a", "b", "ratio")
+    pairs = close_in_length(block_pairs(facts), F.col("na"), F.col("nb"), least)
+    return pairs.withColumn("ratio", sequence_ratio(F.col("na"), F.col("nb"), least)).where(F.col("ratio") > least).select("a", "b", "ratio")
+
+
+def close_in_length(pairs: DataFrame, a: Column, b: Column, least: float) -> DataFrame:
+    """Pairs whose lengths allow a ratio above ``least``."""
+    return pairs.where(2 * F.least(F.length(a), F.length(b)) > least * (F.length(a) + F.length(b)))
 
 
 def duplicate_removals(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -103,13 +133,13 @@ def near_duplicate_removals(facts: DataFrame, least: float = 0.85) -> DataFrame:
     higher one and is not symmetric, so classes whose ids overlap are compared both ways. Of what replaces a class
     only the ids' ends of each date are kept, so neither copies nor pairs of copies are expanded.
     """
-    facts = facts.where(T.strip(F.coalesce("text", F.lit(""))) != "")
+    facts = facts.where(T.has_ink(F.coalesce("text", F.lit(""))))
     rows = facts.select("id", T.normalized_statement(F.col("text")).alias("n"), F.coalesce("date", F.lit("")).alias("date"))
     dates = rows.groupBy("n", "date").agg(F.max("id").alias("hi"), F.min("id").alias("lo"))
     pairs, last = block_pairs(facts), rows.groupBy(F.col("n").alias("na")).agg(F.max("id").alias("last"))
     back = pairs.join(last, "na").where("last > b").select(F.col("nb").alias("x"), F.col("na").alias("y"))
     ways = pairs.select(F.col("na").alias("x"), F.col("nb").alias("y")).unionByName(back)
-    links = ways.where(sequence_ratio(F.col("x"), F.col("y")) > least)
+    links = close_in_length(ways, F.col("x"), F.col("y"), least).where(sequence_ratio(F.col("x"), F.col("y"), least) > least)
     none = F.lit(None).cast(rows.schema["id"].dataType)
     higher = links.join(dates, links.y == dates.n).select(F.col("x").alias("n"), "date", "hi", none.alias("lo"))
     lower = links.join(dates, links.x == dates.n).select(F.col("y").alias("n"), "date", none.alias("hi"), "lo")

@@ -81,3 +81,13 @@ def nearest_seed(rows: DataFrame, seeds: DataFrame, threshold: float, block: int
     if parts > 1:
         best = best.groupBy("id").agg(F.max("best").alias("best"))
     return best.withColumn("candidate", F.col("best") >= threshold)
+
+
+def pattern_matches(files: DataFrame, pattern: str, limit: int, root: str = "root", path: str = "filepath", text: str = "code", group: int = 0) -> DataFrame:
+    """root, path, place, hit: the first ``limit`` matches of a regular expression, by root, path and place in the text.
+
+    Stands in for structural patterns, which need a grammar for each language.
+    """
+    hits = F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), group)).alias("place", "hit")
+    found = files.where(F.col(text).rlike(pattern)).select(root, path, hits)
+    return found.orderBy(root, path, "place").limit(limit)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import ingest as G
+from ..operators.search import pattern_matches
 from ..sources import files
 from ..sources import readers as IO
 from .inputs import Inputs
@@ -184,10 +185,9 @@ def _(i: Inputs):
     return IO.paged_text(i.spark, at, IO.form_feed_pages, "part-*").select(F.regexp_extract("path", "doc=([0-9]+)", 1).cast("long").alias("doc"), "body")
 
 
-@query("pattern_search", "SELECT doc_id, regexp_extract(text, ' ([a-z]+tion) ', 1) AS hit FROM documents WHERE regexp_matches(text, ' ([a-z]+tion) ') ORDER BY source, doc_id LIMIT 20")
+@query("pattern_search", "WITH m AS (SELECT source, doc_id, unnest(regexp_extract_all(text, ' ([a-z]+tion) ', 1)) AS hit, generate_subscripts(regexp_extract_all(text, ' ([a-z]+tion) ', 1), 1) AS place FROM documents) SELECT source, doc_id, CAST(place-1 AS INT) AS place, hit FROM m ORDER BY source, doc_id, place LIMIT 20")
 def _(i: Inputs):
-    d = i.table("documents").where(F.col("text").rlike(" ([a-z]+tion) "))
-    return d.orderBy("source", "doc_id").limit(20).select("doc_id", F.regexp_extract("text", " ([a-z]+tion) ", 1).alias("hit"))
+    return pattern_matches(i.table("documents"), " ([a-z]+tion) ", 20, "source", "doc_id", "text", group=1)
 
 
 @query("fn_json_len", "SELECT event_id, length(props) AS n FROM events")

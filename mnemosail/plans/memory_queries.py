@@ -220,12 +220,11 @@ def _(i: Inputs):
     return M.reviewed(queue, decisions)
 
 
-@query("udf_classify_correction", "SELECT count(*) AS n FROM conversations WHERE role='user'")
-def _(i: Inputs):
-    return i.messages().where("role = 'user'").select(T.is_correction(F.col("text")).alias("c")).agg(F.count("c").alias("n"))
+LAST = "string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))"
 
 
-@query("rule_drift_diff", "SELECT doc_id, doc_id%5<>0 AS in_sync FROM documents")
+@query("rule_drift_diff", f"SELECT doc_id, doc_id%5<>0 AS in_sync, CASE WHEN doc_id%5=0 THEN '--- stored'||chr(10)||'+++ current'||chr(10)||'@@ -'||len(ls)||' +'||len(ls)||' @@'||chr(10)||'-'||ls[-1]||chr(10)||'+'||ls[-1]||'!' ELSE '' END AS diff FROM (SELECT doc_id, {LAST} AS ls FROM documents)")
 def _(i: Inputs):
-    other = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return i.table("documents").select("doc_id", (T.strip(F.col("text")) == T.strip(other)).alias("in_sync"))
+    mine = T.strip(F.col("text"))
+    other = F.when(F.col("doc_id") % 5 == 0, F.concat(mine, F.lit("!"))).otherwise(mine)
+    return i.table("documents").select("doc_id", mine.alias("a"), other.alias("b")).select("doc_id", (F.col("a") == F.col("b")).alias("in_sync"), M.unified_diff(F.col("a"), F.col("b"), context=0).alias("diff"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators.sized import broadcast_if_small
+from ..operators import classify as K
+from ..operators.evidence import holders
 from .inputs import CALL, FACT, MSG, SERVER, Inputs
 from .registry import query
 
@@ -23,6 +24,15 @@ def _(i: Inputs):
     return i.messages().where("role = 'user'").select("t", "raw_idx", T.is_correction(F.col("text")).alias("is_correction"))
 
 
+ASKED = CORR.replace("text", "substr(text,1,1500)")
+
+
+@query("udf_classify_correction", f"WITH {MSG} SELECT t, raw_idx, coalesce({ASKED}, false) AS is_correction, CASE WHEN coalesce({ASKED}, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM msg WHERE role='user'")
+def _(i: Inputs):
+    v = K.classify(F.col("text"), K.pattern_backend({"correction": [P.any_of(P.CORRECTION), f"(?m){P.CORRECTION_LINE}"]}), K.CORRECTION_LIMIT)
+    return i.messages().where("role = 'user'").select("t", "raw_idx", v.alias("v")).select("t", "raw_idx", F.col("v.label").isNotNull().alias("is_correction"), "v.confidence")
+
+
 @query("is_instruction", f"WITH {MSG} SELECT t, raw_idx, coalesce({INST}, false) AS is_instruction FROM msg WHERE role='user'")
 def _(i: Inputs):
     return i.messages().where("role = 'user'").select("t", "raw_idx", T.is_instruction(F.col("text")).alias("is_instruction"))
@@ -232,21 +242,18 @@ def _(i: Inputs):
     return e.groupBy("event_type").agg(N.percent(F.count(F.when(F.col("value") > 100, 1)), F.count(F.when(F.col("value") > 50, 1)), 1, 0.0).alias("pct"))
 
 
-@query("fn_evidence_exact", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text,1,40))")
+@query("fn_evidence_exact", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
 def _(i: Inputs):
-    b = i.table("benchmark").select("item_id", F.substring("text", 1, 40).alias("needle"))
-    d = i.table("documents")
-    return d.join(broadcast_if_small(b), d.text.contains(b.needle)).select("doc_id", "item_id")
+    return holders(i.table("documents"), i.table("benchmark"))
 
 
 WS = "regexp_replace({0}, '\\s+', ' ', 'g')"
 
 
-@query("fn_evidence_ws_norm", f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains({WS.format('d.text')}, {WS.format('substr(b.text,1,60)')})")
+@query("fn_evidence_ws_norm", f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains({WS.format('d.text')}, {WS.format('b.text')}) WHERE b.text <> ''")
 def _(i: Inputs):
-    b = i.table("benchmark").select("item_id", T.squeeze(F.substring("text", 1, 60)).alias("needle"))
-    d = i.table("documents").select("doc_id", T.squeeze(F.col("text")).alias("hay"))
-    return d.join(broadcast_if_small(b), F.col("hay").contains(F.col("needle"))).select("doc_id", "item_id")
+    d = i.table("documents").select("doc_id", T.squeeze(F.col("text")).alias("text"))
+    return holders(d, i.table("benchmark").select("item_id", T.squeeze(F.col("text")).alias("text")))
 
 
 @query("fn_extract_json", "SELECT event_id, CASE WHEN event_id%2=0 THEN CAST(json_extract(props,'$.k') AS BIGINT) END AS k FROM events")
