@@ -126,7 +126,8 @@ def settle(key: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray,
     cut = np.flatnonzero(np.concatenate([[True], (did[k][1:] != did[k][:-1]) | (th[k][1:] != th[k][:-1]) | (start[k][1:] != start[k][:-1] + 1) | (source[1:] != source[:-1])])) if len(k) else k
     end = np.append(cut[1:], len(k))[: len(cut)] - 1
     a = k[cut]
-    many = [np.concatenate([x[w], x[a]]) for x in (key.view(np.int64), did, th, start)]
+    # settled spans need no group: they are dealt by their document, as those of one passage have one key
+    many = [np.concatenate([key[w], mix64(did[a].view(np.uint64))]).view(np.int64), *(np.concatenate([x[w], x[a]]) for x in (did, th, start))]
     void = np.arange(len(many[0])) < len(w)
     tail = lambda x: np.concatenate([np.zeros(len(w), x.dtype), x])
     kind = np.where(void, WINDOW, SETTLED).astype(np.int32)
