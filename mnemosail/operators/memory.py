@@ -92,7 +92,8 @@ def letter_bound(x: pd.Series, y: pd.Series, cells: int = 64) -> np.ndarray:
     texts, at = np.unique(np.concatenate([x.to_numpy(str), y.to_numpy(str)]), return_inverse=True)
     counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % cells, minlength=cells) for t in texts.tolist()])
     size, (a, b) = counts.sum(axis=1), np.split(at, 2)
-    return 2 * np.minimum(counts[a], counts[b]).sum(axis=1) / np.maximum(size[a] + size[b], 1)
+    both = size[a] + size[b]
+    return np.where(both == 0, 1.0, 2 * np.minimum(counts[a], counts[b]).sum(axis=1) / np.maximum(both, 1))
 
 
 def sequence_ratio(a: Column, b: Column, above: float = -1.0) -> Column:
@@ -116,7 +117,7 @@ def near_duplicates(facts: DataFrame, least: float = 0.85) -> DataFrame:
 
 def close_in_length(pairs: DataFrame, a: Column, b: Column, least: float) -> DataFrame:
     """Pairs whose lengths allow a ratio above ``least``."""
-    return pairs.where(2 * F.least(F.length(a), F.length(b)) > least * (F.length(a) + F.length(b)))
+    return pairs.where((F.length(a) + F.length(b) == 0) | (2 * F.least(F.length(a), F.length(b)) > least * (F.length(a) + F.length(b))))
 
 
 def duplicate_removals(pairs: DataFrame, facts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -10,14 +12,18 @@ from pyspark.sql import functions as F
 
 from mnemosail.functions import numbers as N
 from mnemosail.functions import text as T
+from mnemosail.functions import vectors as V
 from mnemosail.operators import chunking as C
+from mnemosail.operators import evidence as E
 from mnemosail.operators import ingest as G
 from mnemosail.operators import memory as M
 from mnemosail.operators import rollups as R
 from mnemosail.operators import search as S
 from mnemosail.operators import sessions as X
+from mnemosail.sources import files
 from mnemosail.sources import readers as IO
 from mnemosail.streaming import progress as P
+from tests.conftest import DATA
 
 
 def one(spark, column):
@@ -54,6 +60,47 @@ def test_prefix_words_are_all_needed(corpus, qv):
     assert {r.id for r in S.search(corpus, qv, "alpha beta", 3, "lexical").collect()} == {"r3"}
 
 
+def brute_density(text, terms):
+    words = [w for w in re.split(r"[^a-z0-9_]+", text.lower()) if w]
+    hits = [k for k, w in enumerate(words) if any(w.startswith(t) for t in terms)]
+    runs = [(a, z) for a in hits for z in hits if a <= z and all(any(words[k].startswith(t) for k in range(a, z + 1)) for t in terms)]
+    shortest = [(a, z) for a, z in runs if not any((b, y) != (a, z) and a <= b and y <= z for b, y in runs)]
+    return sum(0.1 / (1 + sum(1 for k in range(a, z + 1) if k not in hits)) for a, z in shortest)
+
+
+def test_rank_of_several_words(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["alpha", "alphabet", "beta", "gamma", "x", "y", "al_be"]) for _ in range(r.randrange(1, 25))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for query in ("alpha beta", "alpha beta gamma", "al alpha", "beta"):
+        got = [x.v for x in df.select("t", V.rank(F.lower("t"), query).alias("v")).collect()]
+        hit = [x.v for x in df.select(V.matches_all(F.lower("t"), query).alias("v")).collect()]
+        for t, v, h in zip(texts, got, hit, strict=True):
+            assert v == pytest.approx(brute_density(t, query.split()))
+            assert h == all(any(w.startswith(q) for w in t.split()) for q in query.split())
+    assert not one(spark, V.matches_all(F.lit("a-b"), "a-b")) and one(spark, V.prefix_frequency(F.lit("a-b"), "a-b")) == 0
+
+
+def test_changed_text_changes_the_match_set(spark, corpus, qv):
+    changed = corpus.withColumn("search_text", F.when(F.col("id") == "r1", "gammaterm").otherwise(F.col("search_text")))
+    assert {r.id for r in S.search(changed, qv, "alphaterm", 3, "lexical").collect()} == {"r3"}
+    assert {r.id for r in S.search(changed, qv, "gamma", 3, "lexical").collect()} == {"r1"}
+
+
+def test_seeds_in_blocks(spark):
+    r = random.Random(2)
+    vec = lambda: [r.gauss(0, 1) for _ in range(4)]
+    rows_, seeds = [(k, vec()) for k in range(20)], [(vec(),) for _ in range(9)]
+    a = spark.createDataFrame(rows_, "id long, embedding array<float>"), spark.createDataFrame(seeds, "seed array<float>")
+    whole, parts = ({x.id: x.best for x in S.nearest_seed(*a, 0.5, block=b).collect()} for b in (100, 2))
+    assert whole == pytest.approx(parts) and len(whole) == 20
+
+
+def test_pattern_matches_in_order(spark):
+    df = spark.createDataFrame([("b", "1", "f(1) f(2)"), ("a", "2", "f(3)"), ("a", "1", "none")], "root string, filepath string, code string")
+    assert [(x.root, x.place, x.hit) for x in S.pattern_matches(df, r"f\((\d)\)", 2, group=1).collect()] == [("a", 0, "3"), ("b", 0, "1")]
+
+
 def test_fusion_limit(spark):
     leg = lambda ids: spark.createDataFrame([(i, "p", 1.0, k + 1) for k, i in enumerate(ids)], "id string, filepath string, score double, rank int")
     got = S.fuse(leg("ab"), leg("ac"), 10).orderBy("rank").collect()
@@ -261,6 +308,91 @@ def test_files_and_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 4
 
 
+def test_files_are_replaced_in_one_step(spark, tmp_path):
+    at = f"{tmp_path}/report.md"
+    assert files.read_text(spark, at) is None
+    files.write_text(spark, at, "one\n", 86_400_000)
+    assert (tmp_path / "report.md").stat().st_mtime == 86_400
+    files.write_lines(spark, at, ["two", "äöü"])
+    assert files.read_text(spark, at) == "two\näöü\n"
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["report.md"]
+
+
+def test_tables_are_replaced_in_one_step(spark, tmp_path):
+    at = str(tmp_path / "t")
+    files.replace_table(spark.range(6), at)
+    old = files.current_table(spark, at)
+    files.replace_table(old.where("id > 2"), at)  # reads what it replaces
+    assert sorted(r.id for r in files.current_table(spark, at).collect()) == [3, 4, 5] and old.count() == 6
+    files.replace_table(files.current_table(spark, at).where("id > 3"), at)
+    assert files.current_table(spark, at).count() == 2
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2
+
+
+def test_pages_and_cursors_end_by_themselves(spark):
+    pages = {0: [(1,), (2,)], 1: [(3,), (4,)], 2: [(5,)]}
+    read = lambda kind, fetch, **o: kind("x", "item long", fetch)(o).reader(None)
+    drain = lambda r: sorted(x for p in r.partitions() for (x,) in r.read(p))
+    for stripes in (1, 2, 5):
+        assert drain(read(IO.paged_source, lambda k: pages.get(k, []), pageSize="2", stripes=str(stripes))) == [1, 2, 3, 4, 5]
+    follow = lambda c: (pages[int(c or 0)], str(int(c or 0) + 1) if int(c or 0) < 2 else None)
+    assert drain(read(IO.cursor_source, follow)) == [1, 2, 3, 4, 5]
+    assert drain(read(IO.cursor_source, follow, maxPages="2")) == [1, 2, 3, 4]
+    assert drain(read(IO.cursor_source, follow, limit="3")) == [1, 2, 3]
+
+
+def test_logs_and_paged_documents(spark, tmp_path):
+    (tmp_path / "a.log").write_text("2026-01-02 03:04:05,678 did x\nno time did x\n2026-01-02 03:04:06,000 did y\n2026-01-01 00:00:00,000 did x\n")
+    got = {r.category: str(r.last) for r in IO.log_last_match(spark, f"{tmp_path}/a.log", {"x": "did x", "z": "did z"}).collect()}
+    assert got == {"x": "2026-01-02 03:04:05.678000"}
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("one\f \fthree")
+    (tmp_path / "d" / "b.txt").write_text("broken")
+    pages = lambda data: 1 / 0 if data == b"broken" else IO.form_feed_pages(data)
+    assert [r.body for r in IO.paged_text(spark, f"{tmp_path}/d", pages).collect()] == ["--- Page 1 ---\none\n\n--- Page 3 ---\nthree"]
+    for day, text in (("2026-01-01", '{"n": 1}'), ("2026-01-03", '{"n": 3}'), ("2026-01-04", "{bad"), ("2025-12-01", '{"n": 9}')):
+        (tmp_path / f"{day}-p.json").write_text(text)
+    assert sorted(r.n for r in IO.daily_logs(spark, str(tmp_path), "n long", 4, "2026-01-04", "-p").collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("automaton", [True, False])
+def test_passages_are_found_whole(spark, monkeypatch, automaton):
+    if not automaton:
+        monkeypatch.setattr(E, "ahocorasick", None)
+    found = E.Passages([(1, "ab"), (2, "b c"), (3, "ab"), (4, "abcd")])
+    assert found.within("xab cab") == {1, 2, 3} and found.within("") == set()
+    docs = spark.createDataFrame([(1, "long passage here"), (2, None), (3, "long passage")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "long passage"), (8, "passage here"), (9, ""), (10, None)], "item_id long, text string")
+    for chunk in (4_000_000, 12):
+        assert sorted(tuple(r) for r in E.holders(docs, items, chunk=chunk).collect()) == [(1, 7), (1, 8), (3, 7)]
+
+
+def test_ratio_bounds_lose_nothing(spark):
+    r = random.Random(5)
+    base = "".join(r.choice("abcdef ") for _ in range(120))
+    edit = lambda: "".join(c if r.random() > 0.15 else r.choice("abcxyz ") for c in base)[: r.randrange(60, 120)]
+    rows_ = [(edit(), edit()) for _ in range(300)] + [("", ""), ("a", "")]
+    df = spark.createDataFrame(rows_, "a string, b string")
+    exact = [x.v for x in df.select(M.sequence_ratio(F.col("a"), F.col("b")).alias("v")).collect()]
+    some = [x.v for x in df.select(M.sequence_ratio(F.col("a"), F.col("b"), 0.7).alias("v")).collect()]
+    assert all((v is None and e <= 0.7) or v == e for v, e in zip(some, exact, strict=True)) and None in some
+    assert {tuple(x) for x in M.close_in_length(df, F.col("a"), F.col("b"), 0.7).collect()} >= {p for p, e in zip(rows_, exact, strict=True) if e > 0.7}
+
+
+def test_unified_diff(spark):
+    assert one(spark, M.unified_diff(F.lit("a\nb"), F.lit("a\nc"))) == "--- stored\n+++ current\n@@ -1,2 +1,2 @@\n a\n-b\n+c"
+    assert one(spark, M.unified_diff(F.lit("a"), F.lit("a"))) == ""
+
+
+def test_sorted_queries_are_in_order(spark):
+    from mnemosail import plans
+
+    keys = {"sort_reason_counts": lambda r: (-r.n, r.category), "sort_pending_desc": lambda r: (-r.n, r.bank), "sort_csv": lambda r: (r.day, r.raw_server), "sort_file_mtime": lambda r: (r.mtime, r.page_id), "agg_pending_by_project": lambda r: (-r.n, r.project)}
+    for name, key in keys.items():
+        got = plans.QUERIES[name](spark, f"{DATA}/sf0.001").collect()
+        assert got == sorted(got, key=key) and len(got) > 1, name
+
+
 def test_replace_partitions(spark, tmp_path):
     at = str(tmp_path / "t")
     IO.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "v int, d string"), at, "d")
@@ -273,6 +405,26 @@ def test_debounce_keeps_counting_while_it_waits():
     assert [f for *_, f in out] == [True, False, False, False, True] and out[3][1] == 7 and fired == 20_000 and total == 0
 
 
+def test_streamed_counter_equals_the_batch_one(spark, tmp_path):
+    r = random.Random(6)
+    hits = [(b, t, 1) for b in range(3) for t in sorted(r.sample(range(60_000), 80))]
+    df = spark.createDataFrame(hits, "bank long, at long, n long")
+    want = sorted(tuple(x) for x in P.debounced(df).collect())
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for part in (df.where("at < 20000"), df.where("at >= 20000")):
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema("bank long, at long, n long").parquet(src)
+        P.run_available(P.stream_debounced(stream), lambda b, n: b.write.mode("append").parquet(out), f"{tmp_path}/state")
+    assert sorted((x.bank, x.at, x.total, x.fires) for x in spark.read.parquet(out).collect()) == want
+
+
+def test_size_gate(spark):
+    batch = spark.createDataFrame([(1, 10), (2, 10), (3, 10)], "t long, size long")
+    assert sorted(r.t for r in P.size_gate(batch, spark.createDataFrame([(1, 10), (2, 9)], "t long, recorded long")).collect()) == [2, 3]
+
+
 def test_marks(spark):
     m = spark.createDataFrame([(1, k) for k in range(5)] + [(2, 0)], "t long, raw_idx long")
     marks = spark.createDataFrame([(1, 3), (2, 1), (3, 4)], "t long, message_count long")
