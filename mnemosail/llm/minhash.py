@@ -71,18 +71,20 @@ def shingle_set(text: bytes | None, n: int, memo) -> np.ndarray:
 
 def constants(k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(12345)
-    return rng.integers(1, 2**63, k, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, k, np.uint64)
+    return rng.integers(0, 2**31, k, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, k, np.uint32)
 
 
 def minhash(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """Smallest value of each hash function over the set."""
-    out = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):  # bounded memory for very long texts
-        z = s[None, at : at + 4096] * mul[:, None] + add[:, None]
-        z ^= z >> np.uint64(32)
-        z *= np.uint64(0x9FB21C651E98DF25)
+    """Smallest value of each hash function over the set: functions of the hashes' upper 32 bits, which numpy computes several at a time."""
+    high = (s >> np.uint64(32)).astype(np.uint32)
+    out = np.full(len(mul), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(s), 2048):  # bounded memory for very long texts
+        z = high[None, at : at + 2048] * mul[:, None]
+        z += add[:, None]
+        z ^= z >> np.uint32(15)
+        z *= np.uint32(0x2C1B3C6D)
         out = np.minimum(out, z.min(axis=1))
-    return out
+    return out.astype(np.uint64)
 
 
 def features(docs: DataFrame, c: Config, doc_id: str, text: str) -> DataFrame:
