@@ -200,7 +200,8 @@ def matrix(rows: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sorted_runs(group: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of a suffix array over the contexts of each group, and the words that each entry shares with the one before it (-1 at a group's first)."""
-    text = np.concatenate([group.astype(">u4")[:, None], rows], axis=1)
+    # sizes part texts that end from texts that go on with words of hash 0, as the padding
+    text = np.concatenate([group.astype(">u4")[:, None], rows, size.astype(">u4")[:, None]], axis=1)
     order = np.argsort(np.ascontiguousarray(text).view(f"S{4 * text.shape[1]}")[:, 0], kind="stable")
     g, w, n = group[order], rows[order], size[order]
     differ = np.concatenate([w[1:] != w[:-1], np.ones((max(0, len(w) - 1), 1), bool)], axis=1)
