@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.readers import included
+from . import chunking as C
 from .memory import keep_first
 
 # Associations of people whose comments count, and the order of a board's columns.
@@ -62,3 +66,38 @@ def catalog(tools: DataFrame, prefixed: list[str]) -> DataFrame:
 def items_of(docs: DataFrame, base: Column, sep: str = "-") -> DataFrame:
     """Adds document_id to chunk rows (key, chunk)."""
     return docs.withColumn("document_id", T.document_key(base, F.col("key"), sep))
+
+
+@dataclass(frozen=True)
+class Flow:
+    """One line of a project's configuration: which files it takes, how they are cut, and where the pieces go."""
+
+    name: str
+    kind: str
+    include: tuple[str, ...]
+    exclude: tuple[str, ...]
+    size: int
+    overlap: int
+    sink: str
+
+
+def scanned(files: DataFrame, flows: list[Flow], path: str = "filepath") -> DataFrame:
+    """``files`` with flow, kind, size, overlap and sink: one row for each flow that takes the file. All flows share one scan."""
+
+    def taken(f: Flow) -> Column:
+        row = F.struct(F.lit(f.name).alias("flow"), F.lit(f.kind).alias("kind"), F.lit(f.size).alias("size"), F.lit(f.overlap).alias("overlap"), F.lit(f.sink).alias("sink"))
+        return F.when(included(F.col(path), list(f.include), list(f.exclude)), row)
+
+    rows = files.select("*", F.explode(F.array_compact(F.array(*map(taken, flows)))).alias("_f"))
+    return rows.select(*files.columns, "_f.*")
+
+
+def flow_chunks(files: DataFrame, flows: list[Flow], path: str = "filepath", text: str = "text") -> DataFrame:
+    """flow, kind, sink, path, key, chunk of every file that a flow takes, cut as the flow says."""
+    rows = scanned(files, flows, path)
+    out = None
+    for size, overlap in sorted({(f.size, f.overlap) for f in flows}):
+        own = rows.where((F.col("size") == size) & (F.col("overlap") == overlap))
+        part = C.numbered(own, text, size, overlap).select("flow", "kind", "sink", path, "key", "chunk")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -102,6 +102,40 @@ def _(i: Inputs):
     return G.items_of(chunks, F.concat(F.lit("issue-"), F.col("doc_id").cast("string"))).select("doc_id", "key", "document_id", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
+FLOWS = [
+    G.Flow("alpha", "docs", ("**/*.md",), (), 800, 200, "alpha-docs"),
+    G.Flow("alpha", "code", ("**/*.go",), ("vendor/**", "**/*_test.go"), 1000, 300, "alpha-code"),
+    G.Flow("alpha", "code", ("**/*.ts", "**/*.tsx"), ("**/*.d.ts",), 1000, 300, "alpha-code"),
+    G.Flow("beta", "docs", ("docs/**/*.md", "README.md"), ("docs/old/**",), 800, 200, "beta-docs"),
+    G.Flow("beta", "issues", ("issues/*.md",), (), 12_000, 500, "beta-issues"),
+]
+FLOW_PATH = "CASE doc_id%9 WHEN 0 THEN 'a/main.go' WHEN 1 THEN 'vendor/x/b.go' WHEN 2 THEN 'pkg/c_test.go' WHEN 3 THEN 'web/d.ts' WHEN 4 THEN 'web/e.d.ts' WHEN 5 THEN 'docs/old/f.md' WHEN 6 THEN 'docs/g/h.md' WHEN 7 THEN 'issues/7.md' ELSE 'README.md' END"
+TAKEN = "k AS (SELECT doc_id, text, doc_id%9 AS k FROM documents), taken AS (SELECT doc_id, text, 'alpha' AS flow, 'docs' AS kind, 'alpha-docs' AS sink, 800 AS size FROM k WHERE k IN (5,6,7,8) UNION ALL SELECT doc_id, text, 'alpha', 'code', 'alpha-code', 1000 FROM k WHERE k IN (0,3) UNION ALL SELECT doc_id, text, 'beta', 'docs', 'beta-docs', 800 FROM k WHERE k IN (6,8) UNION ALL SELECT doc_id, text, 'beta', 'issues', 'beta-issues', 12000 FROM k WHERE k=7)"
+
+
+def flow_files(i: Inputs):
+    return i.table("documents").select("doc_id", "text", F.expr(FLOW_PATH).alias("filepath"))
+
+
+@query("flow_scan_matrix", f"WITH {TAKEN} SELECT doc_id, flow, kind, sink, size FROM taken")
+def _(i: Inputs):
+    return G.scanned(flow_files(i), FLOWS).select("doc_id", "flow", "kind", "sink", "size")
+
+
+def cut_flow(size: int, overlap: int, tag: str) -> str:
+    """Windows of the files taken with one size, as table ``cut{tag}``."""
+    src = f"src{tag} AS (SELECT flow||'|'||kind||'|'||sink||'|'||doc_id AS doc_id, text AS body FROM taken WHERE size={size})"
+    return f"{src}, {spans('body', size, overlap, f'src{tag}')}".replace("win0", f"step{tag}").replace("win AS", f"cut{tag} AS")
+
+
+CUT_FLOWS = ", ".join(cut_flow(*x) for x in ((800, 200, "a"), (1000, 300, "b"), (12_000, 500, "c")))
+
+
+@query("flow_chunk_matrix", f"WITH RECURSIVE {TAKEN}, {CUT_FLOWS}, x AS (SELECT doc_id, chunk FROM cuta UNION ALL SELECT doc_id, chunk FROM cutb UNION ALL SELECT doc_id, chunk FROM cutc) SELECT split_part(doc_id,'|',1) AS flow, split_part(doc_id,'|',2) AS kind, split_part(doc_id,'|',3) AS sink, md5(chunk) AS digest FROM x")
+def _(i: Inputs):
+    return G.flow_chunks(flow_files(i), FLOWS).select("flow", "kind", "sink", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
 @query("format_issue_header", "SELECT doc_id, '# PR #'||doc_id||' ('||lang||'): t'||chr(10)||'Repo: o/'||lang||' | Author: a | Created: '||chr(10)||chr(10)||'body' AS header FROM documents")
 def _(i: Inputs):
     head = G.issue_header(F.lit("pr"), F.col("doc_id"), F.concat(F.lit("o/"), "lang"), F.lit("t"), F.lit("a"), F.lit(None).cast("string"), F.lit(" body\n"))
