@@ -96,6 +96,23 @@ def letter_bound(x: pd.Series, y: pd.Series, cells: int = 64) -> np.ndarray:
     return np.where(both == 0, 1.0, 2 * np.minimum(counts[a], counts[b]).sum(axis=1) / np.maximum(both, 1))
 
 
+def letter_places(text: str) -> dict[str, int]:
+    """Places of each letter as the bits of a number."""
+    out: dict[str, int] = {}
+    for k, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+def longest_common(text: str, places: dict[str, int], size: int) -> int:
+    """Length of the longest common subsequence of a text and one of ``size`` letters, by one addition a letter (bit-parallel)."""
+    full = rest = (1 << size) - 1
+    for c in text:
+        hit = rest & places.get(c, 0)
+        rest = ((rest + hit) | (rest - hit)) & full
+    return size - rest.bit_count()
+
+
 def sequence_ratio(a: Column, b: Column, above: float = -1.0) -> Column:
     """Ratcliff/Obershelp similarity, with the popularity heuristic from 200 characters on; not symmetric. Null where bounds show that it is not above ``above``."""
     from difflib import SequenceMatcher
@@ -104,7 +121,21 @@ def sequence_ratio(a: Column, b: Column, above: float = -1.0) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         x, y = x.fillna(""), y.fillna("")
         may = letter_bound(x, y) > above if len(x) else []
-        return pd.Series([SequenceMatcher(None, p, q).ratio() if ok else None for p, q, ok in zip(x, y, may, strict=True)], dtype="float64")
+        out, matcher, held, indexed, places = np.full(len(x), np.nan), SequenceMatcher(), None, False, {}
+        for k in np.argsort(y.to_numpy(str), kind="stable"):  # the matcher indexes its second text once for all its first ones
+            if may[k]:
+                if y.iloc[k] != held:
+                    held, indexed = y.iloc[k], False
+                    places = letter_places(held)
+                text = x.iloc[k]
+                # what the matcher pairs is a common subsequence
+                if not text + held or above < 0 or 2 * longest_common(text, places, len(held)) > above * (len(text) + len(held)):
+                    if not indexed:
+                        matcher.set_seq2(held)
+                        indexed = True
+                    matcher.set_seq1(text)
+                    out[k] = matcher.ratio()
+        return pd.Series(out)
 
     return run(a, b)
 
@@ -116,8 +147,10 @@ def near_duplicates(facts: DataFrame, least: float = 0.85) -> DataFrame:
 
 
 def close_in_length(pairs: DataFrame, a: Column, b: Column, least: float) -> DataFrame:
-    """Pairs whose lengths allow a ratio above ``least``."""
-    return pairs.where((F.length(a) + F.length(b) == 0) | (2 * F.least(F.length(a), F.length(b)) > least * (F.length(a) + F.length(b))))
+    """Pairs whose lengths allow a ratio above ``least``, dealt evenly: ratios cost far more than their bytes tell, and a block's pairs lie together."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    close = pairs.where((F.length(a) + F.length(b) == 0) | (2 * F.least(F.length(a), F.length(b)) > least * (F.length(a) + F.length(b))))
+    return close.repartition(n, F.xxhash64(a, b))
 
 
 def duplicate_removals(pairs: DataFrame, facts: DataFrame) -> DataFrame:

@@ -367,6 +367,18 @@ def test_passages_are_found_whole(spark, monkeypatch, automaton):
         assert sorted(tuple(r) for r in E.holders(docs, items, chunk=chunk).collect()) == [(1, 7), (1, 8), (3, 7)]
 
 
+def test_longest_common_subsequence():
+    r = random.Random(9)
+    for _ in range(200):
+        a, b = ("".join(r.choice("abcd") for _ in range(r.randrange(0, 30))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            past, row = row, [0] * (len(b) + 1)
+            for k, d in enumerate(b, 1):
+                row[k] = past[k - 1] + 1 if c == d else max(past[k], row[k - 1])
+        assert M.longest_common(a, M.letter_places(b), len(b)) == row[-1]
+
+
 def test_ratio_bounds_lose_nothing(spark):
     r = random.Random(5)
     base = "".join(r.choice("abcdef ") for _ in range(120))
