@@ -11,8 +11,9 @@ complements); more get seeded random columns, redrawn for distance.
 
 Only a bounded sample is fitted: about ``sample`` texts in all, shared equally by the languages, but up to ``least`` of
 each language, however many there are, chosen by a hash of the id; and of each language ``sample_bytes`` of text
-over the number of languages at most (the first texts by that hash that fit). Every language that has such a text can be predicted. Every
-text is read whole. Null texts and texts without a letter are
+over the number of languages at most. Long texts come last in that order and what no longer fits is passed over, so
+no text displaces the others of its language; a language with longer texts only gives the beginning of its smallest.
+Every language with a text can be predicted. Every text is read whole. Null texts and texts without a letter are
 ``und`` with score 0 and not ambiguous. A null id is kept; repeated rows repeat.
 Without training rows everything with letters is ``und`` with score 0.
 """

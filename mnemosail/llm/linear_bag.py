@@ -108,9 +108,29 @@ def groups(items: list, size, most: int):
 
 
 def bounded_sample(rows: DataFrame, label: str, text: str, doc_id: str, ticket: Column, each: int, most_bytes: int) -> pd.DataFrame:
-    """doc_id, label and text of each label's first rows by ticket: ``each`` rows and ``most_bytes`` bytes of text of a label at most."""
-    first = Window.partitionBy(label).orderBy("_ticket", doc_id, F.xxhash64(text))
-    kept = rows.withColumn("_ticket", ticket).select(doc_id, label, text, "_ticket")
-    kept = kept.withColumns({"_rank": F.row_number().over(first), "_bytes": F.sum(F.octet_length(text)).over(first.rowsBetween(Window.unboundedPreceding, 0))})
-    part = kept.where((F.col("_rank") <= each) & (F.col("_bytes") <= most_bytes)).select(doc_id, label, text).toPandas()
+    """doc_id, label and text of each label's first rows by ticket: ``each`` rows and ``most_bytes`` bytes of text of a label at most.
+
+    Ids and sizes are ranked, and texts joined last. Texts of over a quarter of ``most_bytes`` come after all others,
+    smallest first, and what no longer fits is passed over, so no text displaces the rest of its label. A label
+    whose texts are all larger than ``most_bytes`` gives the beginning of its smallest. Repeated rows count once.
+    """
+    rows, size, mark = rows.select(doc_id, label, text), F.octet_length(text), F.xxhash64(text)
+    large = F.when(size > most_bytes // 4, size).otherwise(0)
+    sized = rows.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"), mark.alias("_mark"), size.alias("_size"), large.alias("_large"), ticket.alias("_ticket")).distinct()
+    first = Window.partitionBy("_label").orderBy("_large", "_ticket", "_id", "_mark")
+    ranked = sized.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= each)
+    taken, left = [], {}
+    for r in ranked.orderBy("_label", "_rank").select("_id", "_label", "_mark", "_size").collect():
+        fresh = r["_label"] not in left
+        room = left.setdefault(r["_label"], most_bytes)
+        if r["_size"] <= room or (fresh and r["_size"] > most_bytes):
+            left[r["_label"]] = max(0, room - r["_size"])
+            taken.append((r["_id"], r["_label"], r["_mark"]))
+    if not taken:
+        return pd.DataFrame({doc_id: [], label: [], text: []})
+    keys = rows.sparkSession.createDataFrame(taken, ranked.select("_id", "_label", "_mark").schema)
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(label) == F.col("_label")) & (mark == F.col("_mark"))
+    whole = F.when(size > most_bytes, F.left(text, F.lit(most_bytes // 4))).otherwise(F.col(text))
+    found = rows.join(F.broadcast(keys), same).dropDuplicates(["_id", "_label", "_mark"])
+    part = found.select(doc_id, label, whole.alias(text)).toPandas()
     return part.sort_values([doc_id, label, text], kind="stable")

@@ -14,7 +14,7 @@ probabilities.
 
 Only a bounded sample of the labelled rows is fitted (about ``sample_toxic`` +
 ``sample_clean`` texts, chosen by a hash of the id, never twice that, and ``sample_bytes`` of
-text of either label at most); every text is scored whole.
+text of either label at most; long texts come last, and what no longer fits is passed over); every text is scored whole.
 
 Null and empty texts score like a text without words (the lowest passage logit
 that the curve was fitted on); rows with a null id are scored too, and their
