@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, language_id, minhash, packing, substring, suffix_dedup, token_counts, toxicity, url_filter
+from . import ann, decontam, importance, language_id, minhash, packing, substring, suffix_dedup, token_counts, toxicity, url_filter
 from .common import crc_mod, read_table
 
 
@@ -71,6 +71,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op12_importance": op12_importance,
 }
 
 WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
@@ -104,5 +109,21 @@ hit AS (SELECT tok.doc_id, word, i, max(rep.p) OVER (PARTITION BY tok.doc_id ORD
 k AS (SELECT doc_id, count(*) FILTER (last > i - 35) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (coalesce(last <= i - 35, true)) AS kept FROM hit GROUP BY 1)
 SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
+#: crc32 of a word's UTF-8 bytes, from their hexadecimal digits, with the table of the reflected polynomial 0xEDB88320.
+CRC_STEP = "list_reduce(list_prepend(c, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)"
+
+OP12_SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+x AS (SELECT doc_id, unnest(ws) AS w FROM d),
+tab AS (SELECT list({CRC_STEP} ORDER BY c) AS t FROM (SELECT unnest(range(256)) AS c)),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM x UNION ALL SELECT w FROM b)),
+h AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(hex(w)), 2), lambda i: ('0x' || substr(hex(w), CAST(i + 1 AS INT), 2))::BIGINT)), lambda a, y: xor(t[CAST((xor(a, y) & 255) + 1 AS INT)], a >> 8))) % 10000 AS k FROM v, tab),
+ks AS (SELECT k, count(*) AS s FROM x JOIN h USING (w) GROUP BY 1), kt AS (SELECT k, count(*) AS t FROM b JOIN h USING (w) GROUP BY 1),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM x) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM ks FULL JOIN kt USING (k)),
+m AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM x JOIN h USING (w) JOIN g USING (k) GROUP BY 1),
+z AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT z.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)"""
+
 #: The others train models, follow links or call tokenizers; tests hold them against brute force.
-SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op7_substring": OP7_SQL}
+SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op7_substring": OP7_SQL, "op12_importance": OP12_SQL}

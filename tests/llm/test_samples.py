@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mnemosail.llm import language_id, linear_bag, queries, toxicity
 from tests.conftest import DATA
 
-LONG = 10_000_000
+LONG = 1_000_000
 
 
 def texts_of(stems, n, seed):
@@ -27,7 +27,7 @@ def test_a_long_text_does_not_displace_its_language(spark):
     tickets = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 20))
     first = df.where("lang = 'aa'").orderBy(tickets).first().doc_id  # the longest text has the smallest ticket
     df = df.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("bado "), LONG)).otherwise(F.col("text")))
-    c = language_id.Config(sample_bytes=1 << 24)
+    c = language_id.Config(sample_bytes=1 << 22)
     texts, langs = language_id.language_sample(df, F.lit(True), c)
     assert langs.count("aa") > 100 and langs.count("bb") > 100 and sum(map(len, texts)) <= c.sample_bytes
     got = language_id.predict(df, language_id.fit(texts, langs)).join(df.select("doc_id", "lang"), "doc_id")
@@ -39,7 +39,7 @@ def test_a_long_text_does_not_displace_its_label(spark):
     df = spark.createDataFrame(rows_, "doc_id long, text string, toxic int")
     first = df.where("toxic = 1").orderBy(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30))).first().doc_id
     docs = df.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("idiot "), LONG)).otherwise(F.col("text")))
-    texts, labels = toxicity.labelled_sample(docs, df.select("doc_id", "toxic"), F.lit(True), toxicity.Config(sample_bytes=1 << 24))
+    texts, labels = toxicity.labelled_sample(docs, df.select("doc_id", "toxic"), F.lit(True), toxicity.Config(sample_bytes=1 << 22))
     assert labels.count(1) == 99 and labels.count(0) == 300
     got = toxicity.score(docs, toxicity.fit(texts, labels)).join(df.select("doc_id", "toxic"), "doc_id").collect()
     assert all((r.score >= 0.7) == (r.toxic == 1) for r in got)
