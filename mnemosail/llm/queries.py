@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, divergence, importance, language_id, minhash, packing, substring, suffix_dedup, token_counts, toxicity, url_filter
+from . import ann, decontam, divergence, importance, language_id, main_text, minhash, packing, substring, suffix_dedup, token_counts, toxicity, url_filter
 from .common import crc_mod, read_table
 
 
@@ -71,6 +71,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return main_text.extract(pages, main_text.fit(main_text.sample_sentences(pages)))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_main_text": op11_main_text,
     "op12_importance": op12_importance,
     "op13_divergence": op13_divergence,
 }
