@@ -53,8 +53,13 @@ def cover_density(doc_words: Column, terms: list[str], weight: float = 0.1) -> C
     """
     on = lambda w: F.array(*[w.startswith(t) for t in terms])
     marks = F.filter(F.transform(doc_words, lambda w, i: F.struct(i.alias("at"), on(w).alias("on"))), lambda m: F.array_contains(m["on"], True))
+    return cover_of_marks(marks, len(terms), weight)
+
+
+def cover_of_marks(marks: Column, n: int, weight: float = 0.1) -> Column:
+    """The same of marks (at, on) in order of their places: where a match is, and of which of ``n`` terms."""
     marks = F.transform(marks, lambda m, k: F.struct(m["at"].alias("at"), m["on"].alias("on"), k.alias("k")))
-    none = F.array(*[F.lit(-1) for _ in terms])
+    none = F.array(*[F.lit(-1) for _ in range(n)])
     start = F.struct(none.alias("at"), none.alias("k"), F.lit(-1).alias("low"), F.lit(0.0).alias("score"))
 
     def step(s: Column, m: Column) -> Column:

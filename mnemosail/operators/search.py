@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from .postings import TextIndex
+from .vector_index import VectorIndex
 
 POOL, RRF_K = 3, 60
 
@@ -35,6 +37,12 @@ def dense_leg(chunks: DataFrame, query: DataFrame, limit: int) -> DataFrame:
     return ranked(scored.where(F.col("score").isNotNull()).select("id", "filepath", "score"), "score", limit)
 
 
+def indexed_leg(index: TextIndex, query: str, limit: int, scope: Column | None = None) -> DataFrame:
+    """``lexical_leg`` from an index: of the texts, only ids, paths and places of words are read."""
+    hits = index.matches(query).join(index.texts(), "id")
+    return ranked(hits if scope is None else hits.where(scope), "score", limit)
+
+
 def lexical_leg(chunks: DataFrame, query: str, limit: int) -> DataFrame:
     """Rows in which every query word is a prefix of a word, by ``vectors.rank``. Texts are searched as they are; only matching ones are split."""
     low = F.lower(F.concat_ws(" ", "search_text", "filepath"))
@@ -53,15 +61,25 @@ def fuse(dense: DataFrame, lexical: DataFrame, limit: int) -> DataFrame:
     return top.select("id", F.coalesce("df", "lf").alias("filepath"), F.round("dense_score", 4).alias("dense_score"), F.round("lexical_score", 4).alias("lexical_score"), F.round("rrf", 6).alias("rrf_score"), "rank")
 
 
-def search(chunks: DataFrame, query_vector: DataFrame, query: str, limit: int = 10, mode: str = "hybrid", repo: str | None = None, release: str | None = None) -> DataFrame:
-    """Hybrid, dense or lexical search over one scope."""
-    limit = min(limit, 20)
-    scoped = chunks.where(in_scope(F.col("filepath"), repo, release))
+def search(
+    chunks: DataFrame, query_vector: DataFrame, query: str, limit: int = 10, mode: str = "hybrid", repo: str | None = None, release: str | None = None,
+    texts: TextIndex | None = None, vectors: VectorIndex | None = None,
+) -> DataFrame:
+    """Hybrid, dense or lexical search over one scope. With an index of texts or of vectors a leg reads that instead of ``chunks``; the rows are the same."""
+    limit, scope = min(limit, 20), in_scope(F.col("filepath"), repo, release)
+    scoped = chunks.where(scope)
+
+    def dense(n: int) -> DataFrame:
+        return dense_leg(scoped, query_vector, n) if vectors is None else ranked(vectors.exact(query_vector, n, scope), "score", n)
+
+    def lexical(n: int) -> DataFrame:
+        return lexical_leg(scoped, query, n) if texts is None else indexed_leg(texts, query, n, scope)
+
     if mode == "dense":
-        return dense_leg(scoped, query_vector, limit).withColumn("score", F.round("score", 4))
+        return dense(limit).withColumn("score", F.round("score", 4))
     if mode == "lexical":
-        return lexical_leg(scoped, query, limit).withColumn("score", F.round("score", 4))
-    return fuse(dense_leg(scoped, query_vector, POOL * limit), lexical_leg(scoped, query, POOL * limit), limit)
+        return lexical(limit).withColumn("score", F.round("score", 4))
+    return fuse(dense(POOL * limit), lexical(POOL * limit), limit)
 
 
 def nearest_seed(rows: DataFrame, seeds: DataFrame, threshold: float, block: int = 10_000) -> DataFrame:

@@ -9,11 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.postings import TextIndex
+from ..operators.vector_index import VectorIndex
+from ..sources import files
+
 AS_OF = "2024-01-31 00:00:00"
 BANKS = ["hindsight", "hindsight-docs", "hindsight-issues", "cocoindex-code"]
 CODE_BANK = "cocoindex-code"
 
 
+#: Indexes that this process has built, by application and input; they are deleted when the application ends.
+_BUILT: dict[tuple[str, ...], object] = {}
+
+
 class Inputs:
     """Tables of one folder."""
 
@@ -55,6 +63,25 @@ class Inputs:
         path = F.concat(repo, F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
         return e.join(d, e.vec_id == d.doc_id).select(F.col("vec_id").alias("id"), path.alias("filepath"), F.concat(path, F.lit(" "), "text").alias("search_text"), "embedding")
 
+    def _index(self, kind: str, build):
+        """An index of the chunks, built when the first query asks for it and again when the tables change."""
+        state = [files.fingerprint(self.spark, f"{self.dir}/{t}.parquet") for t in ("embeddings", "documents")]
+        key = (kind, self.spark.sparkContext.applicationId, self.dir, *state)
+        if key not in _BUILT:
+            _BUILT[key] = build(files.scratch(self.spark, kind))
+        return _BUILT[key]
+
+    def text_index(self) -> TextIndex:
+        def build(root: str) -> TextIndex:
+            index = TextIndex(self.spark, root)
+            index.add(self.chunks())
+            return index
+
+        return self._index("texts", build)
+
+    def vector_index(self) -> VectorIndex:
+        return self._index("vectors", lambda root: VectorIndex.build(self.chunks(), root))
+
     def calls(self) -> DataFrame:
         """ts, day, raw_server, bank, hit, duration, chars: tool-call log."""
         e, k = self.table("events"), F.col("event_id") % 5

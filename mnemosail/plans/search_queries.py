@@ -27,53 +27,63 @@ RRF = "fused AS (SELECT coalesce(d.id,l.id) AS id, coalesce(d.filepath,l.filepat
 TOP = "SELECT id, filepath, round(ds,4) AS dense_score, round(ls,4) AS lexical_score, round(rrf,6) AS rrf_score, row_number() OVER (ORDER BY rrf DESC, dr NULLS LAST, lr NULLS LAST, id) AS rank FROM fused ORDER BY rank LIMIT 10"
 
 
+def searched(i: Inputs, query: str, mode: str = "hybrid", release: str | None = None):
+    """The ten best, from the indexes that the mode needs."""
+    texts, vectors = i.text_index() if mode != "dense" else None, i.vector_index() if mode != "lexical" else None
+    return S.search(i.chunks(), vector(i), query, 10, mode, release=release, texts=texts, vectors=vectors)
+
+
+def dense(i: Inputs, limit: int):
+    return S.ranked(i.vector_index().exact(vector(i), limit), "score", limit)
+
+
 def vector(i: Inputs):
     return i.table("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
 
 
 @query("search_hybrid", f"WITH {legs(30)}, {RRF} {TOP}")
 def hybrid(i: Inputs):
-    return S.search(i.chunks(), vector(i), TERM, 10)
+    return searched(i, TERM)
 
 
 @query("search_hybrid_release", f"WITH {legs(30, "filepath LIKE '%@release-v1.5/%'")}, {RRF} {TOP}")
 def _(i: Inputs):
-    return S.search(i.chunks(), vector(i), TERM, 10, release="v1.5")
+    return searched(i, TERM, release="v1.5")
 
 
 @query("search_dense", f"WITH {legs(10)} SELECT id, filepath, round(score,4) AS score, rank FROM dense")
 def _(i: Inputs):
-    return S.search(i.chunks(), vector(i), TERM, 10, "dense")
+    return searched(i, TERM, "dense")
 
 
 @query("search_bm25", f"WITH {legs(10)} SELECT id, filepath, round(score,4) AS score, rank FROM lex")
 def _(i: Inputs):
-    return S.search(i.chunks(), vector(i), TERM, 10, "lexical")
+    return searched(i, TERM, "lexical")
 
 
 @query("topk_dense", f"WITH {legs(15, 'true')} SELECT id, round(score,4) AS score FROM dense")
 def _(i: Inputs):
-    return S.dense_leg(i.chunks(), vector(i), 15).select("id", F.round("score", 4).alias("score"))
+    return dense(i, 15).select("id", F.round("score", 4).alias("score"))
 
 
 @query("topk_lexical", f"WITH {legs(15, 'true')} SELECT id, round(score,4) AS score FROM lex")
 def _(i: Inputs):
-    return S.lexical_leg(i.chunks(), TERM, 15).select("id", F.round("score", 4).alias("score"))
+    return S.indexed_leg(i.text_index(), TERM, 15).select("id", F.round("score", 4).alias("score"))
 
 
 @query("topk_rrf", f"WITH {legs(12, 'true')}, {RRF} SELECT id, round(rrf,6) AS rrf_score FROM fused ORDER BY rrf DESC, dr NULLS LAST, lr NULLS LAST, id LIMIT 5")
 def _(i: Inputs):
-    return S.fuse(S.dense_leg(i.chunks(), vector(i), 12), S.lexical_leg(i.chunks(), TERM, 12), 5).select("id", "rrf_score")
+    return S.fuse(dense(i, 12), S.indexed_leg(i.text_index(), TERM, 12), 5).select("id", "rrf_score")
 
 
 @query("win_rrf_rank", f"WITH {legs(20, 'true')} SELECT id, round(1.0::DOUBLE/(60+rank),6) AS part FROM dense")
 def _(i: Inputs):
-    return S.dense_leg(i.chunks(), vector(i), 20).select("id", F.round(1 / (60 + F.col("rank")), 6).alias("part"))
+    return dense(i, 20).select("id", F.round(1 / (60 + F.col("rank")), 6).alias("part"))
 
 
 @query("join_dense_lexical_full_outer", f"WITH {legs(25, 'true')}, {RRF} SELECT id, dr IS NOT NULL AS in_dense, lr IS NOT NULL AS in_lexical FROM fused")
 def _(i: Inputs):
-    d, x = S.dense_leg(i.chunks(), vector(i), 25).select("id", "rank"), S.lexical_leg(i.chunks(), TERM, 25).select("id", F.col("rank").alias("lr"))
+    d, x = dense(i, 25).select("id", "rank"), S.indexed_leg(i.text_index(), TERM, 25).select("id", F.col("rank").alias("lr"))
     return d.join(x, "id", "full").select("id", F.col("rank").isNotNull().alias("in_dense"), F.col("lr").isNotNull().alias("in_lexical"))
 
 
@@ -117,7 +127,7 @@ def _(i: Inputs):
 
 @query("search_lexical_words", f"WITH {CHUNK}, {COVER.format(where=MAIN)}, r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(score, 9) AS score FROM cover)) SELECT r.id AS id, filepath, round(score, 4) AS score, rank FROM r JOIN w ON w.id=r.id WHERE rank <= 10")
 def _(i: Inputs):
-    return S.search(i.chunks(), vector(i), "th an", 10, "lexical")
+    return searched(i, "th an", "lexical")
 
 
 @query("scan_pg_vector_table", "SELECT vec_id, label, len(embedding) AS dim FROM embeddings")

@@ -63,6 +63,19 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if there is one."""
+    place, fs = _open(spark, path)
+    fs.delete(place, True)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Size, number and latest change of the files below a path."""
+    place, fs = _open(spark, path)
+    summary, latest = fs.getContentSummary(place), fs.getFileStatus(place).getModificationTime()
+    return f"{summary.getLength()}-{summary.getFileCount()}-{latest}"
+
+
 def write_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
     """A report of some lines, replaced in one step."""
     write_text(spark, path, "".join(f"{x}\n" for x in lines))
