@@ -23,12 +23,6 @@ def older_copies(df: DataFrame, key: str, created: str, place: str) -> DataFrame
     return df.withColumn("_r", F.row_number().over(w)).where("_r > 1").drop("_r")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
-    """Union of both; of each key the row with the highest version, new rows before old ones of the same."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return keep_first(both, [key], F.desc(version), F.desc("_new")).drop("_new")
-
-
 def target_diff(current: DataFrame, declared: DataFrame, key: str, content: str) -> DataFrame:
     """key, action (insert, update, delete) that turns the current rows into the declared ones."""
     c = current.select(F.col(key), F.col(content).alias("_c"), F.lit(True).alias("_ic"))

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import memory as M
 from ..sources import files
 from ..sources import readers as IO
+from ..sources.keyed_table import KeyedTable
 from .inputs import CALL, FACT, Inputs
 from .registry import query
 from .text_queries import TRIAGE
@@ -30,7 +31,10 @@ def _(i: Inputs):
     d = i.table("documents")
     old = d.select("doc_id", F.col("source").alias("v"), F.lit(1).alias("ver"))
     new = d.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("v"), F.lit(2).alias("ver")).unionByName(d.where("doc_id % 10 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("added").alias("v"), F.lit(2).alias("ver")))
-    return M.upsert(old, new, "doc_id", "ver")
+    target = KeyedTable.create(i.spark, files.scratch(i.spark, "items"), old.schema, "doc_id", "ver", 16)
+    target.upsert(old)
+    target.upsert(new)
+    return target.rows()
 
 
 @query("target_state_diff", "WITH c AS (SELECT doc_id, lang AS x FROM documents WHERE doc_id%5<>0), d AS (SELECT doc_id, CASE WHEN doc_id%4=0 THEN 'zz' ELSE lang END AS x FROM documents WHERE doc_id%7<>0) SELECT coalesce(c.doc_id,d.doc_id) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'insert' WHEN d.doc_id IS NULL THEN 'delete' ELSE 'update' END AS action FROM c FULL JOIN d ON c.doc_id=d.doc_id WHERE c.doc_id IS NULL OR d.doc_id IS NULL OR c.x IS DISTINCT FROM d.x")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify as K
-from ..operators import memory as M
 from ..sources import files
 from ..sources import readers as IO
+from ..sources.keyed_table import KeyedTable
 from .inputs import CHUNK, Inputs
 from .registry import query
 from .stream_queries import scratch
@@ -50,9 +50,10 @@ def _(i: Inputs):
 def _(i: Inputs):
     d = i.table("documents")
     current, declared = d.where("doc_id % 2 = 0").select("doc_id", F.lit("old").alias("x")), d.where("doc_id % 3 <> 0").select("doc_id", F.col("lang").alias("x"))
-    diff = M.target_diff(current, declared, "doc_id", "x")
-    kept = current.join(diff, "doc_id", "left_anti")
-    return kept.unionByName(declared.join(diff.where("action <> 'delete'"), "doc_id", "left_semi"))
+    target = KeyedTable.create(i.spark, scratch(i), current.schema, "doc_id", buckets=16)
+    target.declare(current)
+    target.declare(declared)
+    return target.rows()
 
 
 @query("sink_atomic_replace", "SELECT doc_id, lang FROM documents WHERE doc_id%2=0")

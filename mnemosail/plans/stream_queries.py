@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.memory import upsert
 from ..sources import files
 from ..sources import readers as IO
-from ..streaming.progress import expire, retried, run_available, size_gate, stream_debounced, stream_new_messages
+from ..sources.changed_files import changed_files
+from ..sources.keyed_table import KeyedTable
+from ..streaming.progress import retried, run_available, size_gate, stream_debounced, stream_new_messages, stream_new_messages_expiring
 from .inputs import Inputs
 from .registry import query
 from .rollup_queries import DAILY, daily
@@ -36,14 +37,44 @@ def collected(i: Inputs, stream: DataFrame, transform=lambda b: b) -> DataFrame:
     return i.spark.read.schema(transform(i.spark.createDataFrame([], stream.schema)).schema).parquet(f"{at}/out").drop("batch")
 
 
-@query("scan_walk_dir_live", "SELECT page_id, url FROM pages")
+def publish(i: Inputs, rows: DataFrame, root: str, parts: int) -> None:
+    """Rows as JSON lines, in files ``part-<k>.json`` that are replaced where they exist; ``rows`` names its part."""
+    staged = f"{scratch(i)}/staged"
+    rows.select("part", F.to_json(F.struct(*[c for c in rows.columns if c != "part"])).alias("value")).repartition(parts, "part").write.partitionBy("part").text(staged)
+    for folder in files.folder_names(i.spark, staged):  # parts at most
+        for name in files.folder_names(i.spark, f"{staged}/{folder}"):
+            if folder.startswith("part=") and name.startswith("part-"):
+                files.move(i.spark, f"{staged}/{folder}/{name}", f"{root}/part-{folder[5:]}.json")
+
+
+def live(i: Inputs, *versions: DataFrame, parts: int = 4) -> DataFrame:
+    """What the files of a folder hold after the last version, as a stream of changed files has delivered it: each file as delivered last."""
+    at = scratch(i)
+
+    def sink(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+
+    for rows in versions:
+        publish(i, rows, f"{at}/in", parts)
+        run_available(changed_files(i.spark, f"{at}/in", f"{at}/listings", pattern="*.json"), sink, f"{at}/progress")
+    got = i.spark.read.parquet(f"{at}/out")
+    last = got.groupBy("path").agg(F.max("batch").alias("batch"))
+    return got.join(last, ["path", "batch"]).select(F.from_json("value", versions[0].drop("part").schema).alias("r")).select("r.*")
+
+
+@query("scan_walk_dir_live", "SELECT page_id, CASE WHEN page_id % 4 = 1 THEN url || '?changed' ELSE url END AS url FROM pages")
 def _(i: Inputs):
-    return collected(i, source(i, "pages").select("page_id", "url"))
+    pages = i.table("pages").select("page_id", "url", (F.col("page_id") % 4).alias("part"))
+    # one of four files changes in place
+    return live(i, pages, pages.where("part = 1").withColumn("url", F.concat("url", F.lit("?changed"))))
 
 
-@query("stream_live_files", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("stream_live_files", "SELECT event_type, count(*) AS n FROM events WHERE NOT (event_id % 4 = 2 AND event_id % 3 = 1) GROUP BY 1")
 def _(i: Inputs):
-    return collected(i, source(i, "events").select("event_type")).groupBy("event_type").agg(F.count("*").alias("n"))
+    events = i.table("events").select("event_id", "event_type", (F.col("event_id") % 4).alias("part"))
+    # a file grows, then another shrinks; each is delivered again, whole
+    got = live(i, events.where("part <> 1 or event_id % 3 = 0"), events.where("part = 1"), events.where("part = 2 and event_id % 3 <> 1"))
+    return got.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -102,24 +133,32 @@ def _(i: Inputs):
     return deliveries(i, said, transform=gate).select("t")
 
 
-@query("stream_state_ttl", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")
+@query("stream_state_ttl", """WITH n AS (SELECT conv_id AS t, count(*) AS n FROM conversations GROUP BY 1)
+SELECT t, CASE WHEN t % 3 = 0 THEN n ELSE least(n, 2) + n END AS delivered FROM n""")
 def _(i: Inputs):
-    now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
-    return collected(i, source(i, "events").select("event_id", "ts"), lambda b: expire(b, "ts", now)).select("event_id")
+    said = messages(i)
+
+    def on(day: int, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("ts", F.to_timestamp(F.lit(f"2024-01-{day:02} 00:00:00")))
+
+    # a third comes back after 3 and again after 5 idle days and is read on, the others after 9 and are read from message 0 again
+    parts = on(1, said.where("raw_idx < 2")), on(4, said.where("t % 3 = 0")), on(9, said.where("t % 3 = 0")), on(10, said)
+    got = with_state(i, lambda: deliveries(i, *parts, stream=stream_new_messages_expiring))
+    return got.groupBy("t").agg(F.count("*").alias("delivered"))
 
 
 @query("stream_poll_issues", "SELECT source, count(*) AS n FROM (SELECT DISTINCT doc_id, source FROM documents) GROUP BY 1")
 def _(i: Inputs):
-    target, d = scratch(i), i.table("documents").select("doc_id", "source")
-    files.replace_table(d.where("false").withColumn("version", F.lit(0)), target)
+    d = i.table("documents").select("doc_id", "source", F.lit(1).alias("version"))
+    target = KeyedTable.create(i.spark, scratch(i), d.schema, "doc_id", "version", 16)
 
     def merge(batch: DataFrame) -> DataFrame:
-        files.replace_table(upsert(files.current_table(i.spark, target), batch, "doc_id", "version"), target)
+        target.upsert(batch)
         return batch
 
     # every poll fetches everything again; ids make it idempotent
-    deliveries(i, d.withColumn("version", F.lit(1)), d.withColumn("version", F.lit(2)), transform=merge)
-    return files.current_table(i.spark, target).groupBy("source").agg(F.count("*").alias("n"))
+    deliveries(i, d, d.withColumn("version", F.lit(2)), transform=merge)
+    return target.rows().groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("stream_hourly_vs_nightly", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 24 HOUR AND ts < TIMESTAMP '2024-01-30 22:00:00'")

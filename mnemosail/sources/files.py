@@ -34,21 +34,16 @@ def write_text(spark: SparkSession, path: str, text: str, modified_ms: int | Non
 
     Each writer has its own temporary name beside the file, and the rename overwrites.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    temporary, fs = _open(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(temporary, True)
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    place, fs = _open(spark, temporary)
+    out = fs.create(place, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    qualified = fs.makeQualified(place)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), conf).rename(fs.makeQualified(temporary), qualified, options)
+    move(spark, temporary, path)
     if modified_ms is not None:
-        fs.setTimes(place, modified_ms, -1)
+        fs.setTimes(_open(spark, path)[0], modified_ms, -1)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -69,6 +64,23 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is directly below a folder."""
+    place, fs = _open(spark, path)
+    return [str(f.getPath().getName()) for f in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file, over another if there is one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    (old, fs), (new, _) = _open(spark, source), _open(spark, target)
+    fs.mkdirs(new.getParent())
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(new).toUri(), conf).rename(fs.makeQualified(old), fs.makeQualified(new), options)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Size, number and latest change of the files below a path."""
     place, fs = _open(spark, path)

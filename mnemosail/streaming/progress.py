@@ -28,11 +28,6 @@ def next_marks(messages: DataFrame, marks: DataFrame) -> DataFrame:
     return marks.join(now, "t", "full").select("t", F.coalesce("_n", "message_count").alias("message_count"))
 
 
-def expire(marks: DataFrame, last: str, now, days: int = 7) -> DataFrame:
-    """Marks processed within the last days."""
-    return marks.where(F.col(last) >= now - F.make_dt_interval(F.lit(days)))
-
-
 def count_steps(times: list[int], counts: list[int], total: int, fired: int | None, threshold: int, gap: int) -> tuple[list[tuple[int, int, bool]], int, int | None]:
     """Running count and whether it fires at each time; firing resets it, and waits keep it growing."""
     out = []
@@ -75,6 +70,41 @@ class MessageProgress(StatefulProcessor):
         pass
 
 
+class ExpiringProgress(StatefulProcessor):
+    """``MessageProgress`` whose state goes when a transcript has been idle for ``idle`` ms of event time.
+
+    A timer deletes the state once the watermark has passed; a transcript that comes back before the timer has run, but after that time, starts over too, so
+    results do not depend on how deliveries are cut into batches.
+    """
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.progress = handle, handle.getValueState("progress", "n long, at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("raw_idx", kind="stable")
+        first, last = (int(t.timestamp() * 1000) for t in (pdf["ts"].min(), pdf["ts"].max()))
+        done, at = self.progress.get() if self.progress.exists() else (0, None)
+        size = int(pdf["raw_idx"].max()) + 1
+        if at is not None:
+            self.handle.deleteTimer(at + self.idle)
+            if first - at > self.idle or size < done:
+                done = 0
+        last = last if at is None else max(last, at)
+        self.progress.update((size, last))
+        self.handle.registerTimer(last + self.idle)
+        yield pdf[pdf["raw_idx"] >= done].drop_duplicates("raw_idx")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.progress.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 class Debounce(StatefulProcessor):
     """Running total per bank that fires at a threshold, not before ``gap`` seconds after the last time; hits come in order of time, batch by batch."""
 
@@ -118,6 +148,15 @@ def stream_new_messages(stream: DataFrame) -> DataFrame:
     return stream.groupBy("t").transformWithStateInPandas(statefulProcessor=MessageProgress(), outputStructType=stream.schema, outputMode="append", timeMode="none")
 
 
+def stream_new_messages_expiring(stream: DataFrame, days: int = 7, late: str = "0 seconds") -> DataFrame:
+    """``stream_new_messages`` of (t, raw_idx, ts, ...) that forgets transcripts after ``days`` idle days: those are read from message 0 again.
+
+    Needs the RocksDB state store.
+    """
+    rows = stream.withWatermark("ts", late)
+    return rows.groupBy("t").transformWithStateInPandas(statefulProcessor=ExpiringProgress(days * 86_400_000), outputStructType=stream.schema, outputMode="append", timeMode="eventTime")
+
+
 def watch(spark: SparkSession, path: str, schema: str, fmt: str = "json", pattern: str | None = None) -> DataFrame:
     """Stream of new files below a folder."""
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
