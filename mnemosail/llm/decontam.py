@@ -15,6 +15,10 @@ pass over the documents each, so its size never meets a limit. Items shorter tha
 a window form one window with all their words, which needs ``literals`` ordinary words or only ordinary ones.
 With more than one chunk each chunk's result is written before the next chunk is built, so the driver holds one at a time.
 
+Items whose words have fewer than ``least_chars`` characters together are reported like others, but drop no document.
+Windows that more than ``common`` places of the benchmark share (an instruction that opens many questions) are
+looked up only for items that other windows of the document point to, or whose common windows alone could count; no match is lost by that.
+
 Null and empty texts (on either side) match nothing. Rows with a null id are
 compared too and reported under null. Repeated rows and items repeat their pairs.
 
@@ -59,6 +63,8 @@ class Config:
     enough: int = 25
     agreement: float = 0.8
     drift: float = 0.25
+    least_chars: int = 8
+    common: int = 32
     chunk_windows: int = 1_000_000
 
 
@@ -150,37 +156,63 @@ class Table:
             hashes.append(g), item.append(np.full(len(g), k)), start.append(s)
         none = np.empty(0, np.int64)
         hashes = np.concatenate(hashes) if hashes else none.astype(np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.start = hashes[order], (np.concatenate(item) if item else none)[order], (np.concatenate(start) if start else none)[order]
+        item, start = (np.concatenate(x) if x else none for x in (item, start))
+        order = np.lexsort((start, item, hashes))
+        hashes, item, start = hashes[order], item[order], start[order]
+        run = np.concatenate([[0], np.cumsum(hashes[1:] != hashes[:-1])]) if len(hashes) else none
+        common = np.bincount(run)[run] > c.common if len(hashes) else none.astype(bool)
+        self.cover = self.covered(item, start)
+        # common windows alone never count for the others
+        alone = self.covered(item[common], start[common])
+        able = (alone >= c.coverage * self.words()) | (alone >= c.enough)
+        seed = ~common | able[item] if len(items) else common
+        self.hashes, self.item, self.start = hashes[seed], item[seed], start[seed]
+        self.more = hashes[~seed], item[~seed], start[~seed]
         self.bits = np.zeros(1 << 22, bool)  # most windows of clean texts stop here
-        self.bits[self.hashes & np.uint64((1 << 22) - 1)] = True
+        self.bits[hashes & np.uint64((1 << 22) - 1)] = True
         self.short = {n: (np.array(sorted(x[0] for x in v), np.uint64), [x[1] for x in sorted(v)]) for n, v in short.items()}
 
     def __len__(self) -> int:
         return len(self.hashes) + len(self.short)
 
+    def words(self) -> np.ndarray:
+        """Words of each item."""
+        return np.array([(t.end - t.at).sum() for t in self.items], np.int64)
+
+    def covered(self, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Words of each item that some windows cover: all items' entries in one row, with a gap after each."""
+        size = np.fromiter((len(t.hashes) + 1 for t in self.items), np.int64, len(self.items))
+        base = np.cumsum(size) - size
+        edge = np.bincount(base[item] + start, minlength=size.sum()) - np.bincount(base[item] + start + self.c.window, minlength=size.sum()) if len(item) else np.zeros(size.sum(), np.int64)
+        weight = np.concatenate([np.append(t.end - t.at, 0) for t in self.items]) if self.items else edge
+        return np.add.reduceat(weight * (np.cumsum(edge) > 0), base) if self.items else edge
+
     def share(self) -> np.ndarray:
         """Share of each item's words that its windows cover."""
-        out = np.zeros(len(self.items))
-        for k in np.unique(self.item):
-            t, edge = self.items[k], np.zeros(len(self.items[k].hashes) + 1, np.int64)
-            s = self.start[self.item == k]
-            np.add.at(edge, s, 1)
-            np.add.at(edge, s + self.c.window, -1)
-            out[k] = (t.end - t.at)[np.cumsum(edge[:-1]) > 0].sum() / (t.end - t.at).sum()
+        out = self.cover / np.maximum(self.words(), 1)
         for _, items in self.short.values():
             out[items] = 1.0
         return out
 
     def hits(self, h: np.ndarray, slot: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, document start, item start, words) of every matching window."""
+        """(item, document start, item start, words) of matching windows: all of every item that could count."""
         out = []
         g, at = windows(h, slot, self.c)
         may = np.flatnonzero(self.bits[g & np.uint64((1 << 22) - 1)])
         if len(may):
             lo, hi = (np.searchsorted(self.hashes, g[may], side) for side in ("left", "right"))
-            for p, a, b in zip(at[may].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                out += [(int(self.item[j]), p, int(self.start[j]), self.c.window) for j in range(a, b)]
+            for k in np.flatnonzero(hi > lo).tolist():
+                p = int(at[may[k]])
+                out += [(int(self.item[j]), p, int(self.start[j]), self.c.window) for j in range(lo[k], hi[k])]
+        if out and len(self.more[0]):
+            hashes, item, start = self.more
+            known = np.unique([x[0] for x in out])
+            lo, hi = (np.searchsorted(hashes, g[may], side) for side in ("left", "right"))
+            for k in np.flatnonzero(hi > lo).tolist():
+                p, part = int(at[may[k]]), item[lo[k] : hi[k]]
+                first, last = (np.searchsorted(part, known, side) for side in ("left", "right"))
+                for i, a, b in zip(known.tolist(), (first + lo[k]).tolist(), (last + lo[k]).tolist(), strict=True):
+                    out += [(i, p, int(start[j]), self.c.window) for j in range(a, b)]
         for n, (table, items) in self.short.items():
             g = gram_hashes(h, n)
             lo, hi = (np.searchsorted(table, g, side) for side in ("left", "right"))
@@ -204,6 +236,7 @@ class Benchmark:
         found = np.maximum(*(t.share() for t in self.tables)) if forms else []
         lost = [x < c.coverage for x in found]
         self.tables.append(Table([verbatim(t, memo) if k else NOTHING for t, k in zip(self.tokens, lost, strict=True)], c))
+        self.weighty = [sum(len(x) for x in t if x not in ".!?") >= c.least_chars for t in self.tokens]
         self.tokens = [[x.lower() for x in t] for t in self.tokens]
 
     def judge(self, item: int, mine: Template, text: Template, tokens: list[str], places: np.ndarray, line: dict[int, int], whole: bool = False) -> tuple | None:
@@ -248,9 +281,17 @@ class Benchmark:
 
     def matches(self, text: str, memo: Memo) -> list[tuple]:
         """(item id, first word, words covered, share of the item, share of consistent slots) per item, its best alignment."""
+        return [(self.ids[k], -v[1] + 0, v[0], v[2], v[3]) for k, v in sorted(self.best(text, memo).items())]
+
+    def leaks(self, text: str, memo: Memo) -> bool:
+        """If an item matches that is long enough to drop a document."""
+        return any(self.weighty[k] for k in self.best(text, memo))
+
+    def best(self, text: str, memo: Memo) -> dict[int, tuple]:
+        """Each matching item's best alignment, as ``judge`` has it."""
         tokens = TOKEN.findall(text)
         if not tokens:
-            return []
+            return {}
         both = templates(tokens, memo)
         memo.trim()
         best: dict[int, tuple] = {}
@@ -267,7 +308,7 @@ class Benchmark:
                 found = self.judge(item, table.items[item], t, tokens, both[0].at, line, table is self.tables[2])
                 if found and (item not in best or found > best[item]):
                     best[item] = found
-        return [(self.ids[k], -v[1] + 0, v[0], v[2], v[3]) for k, v in sorted(best.items())]
+        return best
 
 
 def benchmark_chunks(benchmark: DataFrame, c: Config, item_id: str, item_text: str):
@@ -324,7 +365,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, c: Config = Config(
         def run(batches, shared=shared):
             bench, memo = shared.value, Memo(code)
             for b in batches:
-                yield b.filter(pa.array([not (t and bench.matches(t, memo)) for t in b.column(text).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not (t and bench.leaks(t, memo)) for t in b.column(text).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
         if not only:
