@@ -35,7 +35,8 @@ from .common import discard, materialize, session, written
 ALLOW, BLOCK = "allow", "block"
 #: Upper-case and lower-case letters that host names fold.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?is)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: Links that name their host, with or without a scheme.
+LINK = r"""(?is)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -87,7 +88,7 @@ def shares(edges: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     """(a, b, n): links between different hosts."""
     links = pages.where(F.col("host") != "").select("host", F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK), 1)).alias("url"))
-    ends = links.select(F.col("host").alias("a"), host_of(F.col("url")).alias("b")).where((F.col("b") != "") & (F.col("a") != F.col("b")))
+    ends = links.select(F.col("host").alias("a"), host_of(F.regexp_replace("url", "^//", "http://")).alias("b")).where((F.col("b") != "") & (F.col("a") != F.col("b")))
     return ends.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
