@@ -24,7 +24,7 @@ stays exact and the second pass groups more windows, in the end all of them, at
 is not broadcast would not save that: to ask its blocks, the gram places (0.4 bytes per byte of text) and then the
 texts once more would have to be shuffled.
 
-Windows are compared by 80 bits of two independent hashes. Null texts have no words. Rows are
+Windows are compared by 96 bits of two independent hashes. Null texts have no words. Rows are
 matched to their starts by id and text hash, so null ids and repeated rows
 are safe; a repeated row makes its own windows repeated.
 """
@@ -154,7 +154,7 @@ def estimated_heavy(grams: np.ndarray, tops: list[np.ndarray], cells: int) -> np
     return ok
 
 
-MARK = np.dtype([("h", "<u8"), ("c", "<u2")])
+MARK = np.dtype([("h", "<u8"), ("c", "<u4")])
 
 
 def blobs(data: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -219,7 +219,7 @@ def repeated_windows(rows: DataFrame, shared, length: int, gram: int, cells: int
                 if not len(p):
                     continue
                 m = np.empty(len(p), MARK)
-                m["h"], m["c"] = gram_hashes(h, length)[p], gram_hashes(h, length, CHECK_SEED)[p] >> np.uint64(48)
+                m["h"], m["c"] = gram_hashes(h, length)[p], gram_hashes(h, length, CHECK_SEED)[p] >> np.uint64(32)
                 k = np.where(estimated_heavy(g[picked], tops, cells)[inv][p], m["h"], g[at[p]])
                 marks.append(m), keys.append(k), owner.append(np.full(len(p), len(docs), np.int32)), place.append(p.astype(np.int32))
                 docs.append((did, th))
