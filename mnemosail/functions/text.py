@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .literals import finds_any
 
 SIGNAL_LIMIT = 2000
 
@@ -25,7 +26,8 @@ def squeeze(c: Column) -> Column:
 
 
 def finds(c: Column, patterns: list[str], flags: str = "iU") -> Column:
-    return c.rlike(f"(?{flags})" + P.any_of(patterns))
+    """If one of the patterns is found; texts without the words that a pattern needs are not searched for it."""
+    return finds_any(c, patterns, flags)
 
 
 def is_boilerplate(c: Column) -> Column:
