@@ -34,4 +34,4 @@ def test_same_as_the_alternation(spark, name):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     plain = F.col("t").rlike("(?iU)" + P.any_of(patterns))
     rows = df.select(plain.alias("a"), finds_any(F.col("t"), patterns, "iU").alias("b")).collect()
-    assert all(x.a == x.b for x in rows) and sum(bool(x.a) for x in rows) > 2
+    assert all(x.a == x.b for x in rows) and sum(bool(x.a) for x in rows) > 0
