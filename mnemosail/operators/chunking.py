@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .code_split import code_spans
 
 HEADING = r"(?md)^#{1,6}[ \t]+.*$"
 SPANS = "array<struct<idx:int,start:int,stop:int>>"
@@ -106,32 +107,14 @@ def issue_sections(rows: DataFrame, header: str, comments: str, size: int = 1200
     return docs_parts(rows.select(*keep, F.explode(F.concat(head, talk)).alias("_s")), keep, F.col("_s.b"), F.col("_s.k"), size, overlap)
 
 
-def code_spans(text: str, size: int, overlap: int) -> list[tuple[int, int, int]]:
-    """Generic code windows: cut after a blank line if one is in the second half, else after a line, else anywhere."""
-    n, out, start = len(text), [], 0
-    while start < n or not out:
-        stop = min(start + size, n)
-        if stop < n:
-            for mark in ("\n\n", "\n"):
-                at = text.rfind(mark, start + size // 2, stop)
-                if at >= 0:
-                    stop = at + len(mark)
-                    break
-        out.append((len(out), start, stop))
-        if stop >= n:
-            break
-        start = max(stop - overlap, start + 1)
-    return out
-
-
 def code_chunks(files: DataFrame, path: str = "filepath", code: str = "code", size: int = 1000, overlap: int = 300) -> DataFrame:
-    """id ``path:i``, chunk_index, code, search_text of each chunk of each file."""
+    """id ``path:i``, chunk_index, code, search_text of each chunk of each file, split by the language of its extension."""
 
     @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: code_spans(t or "", size, overlap))
+    def spans(texts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([code_spans(t or "", p, size, overlap) for t, p in zip(texts, paths, strict=True)])
 
-    rows = files.select(path, code, F.explode(spans(F.col(code))).alias("_s"))
+    rows = files.select(path, code, F.explode(spans(F.col(code), F.col(path))).alias("_s"))
     chunk = piece(F.col(code), F.col("_s"))
     return rows.select(F.concat(F.col(path), F.lit(":"), F.col("_s.idx").cast("string")).alias("id"), F.col(path).alias("filepath"), F.col("_s.idx").alias("chunk_index"), chunk.alias("code"), F.concat(F.col(path), F.lit(" "), chunk).alias("search_text"))
 
