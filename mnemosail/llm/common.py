@@ -151,17 +151,18 @@ def mix64(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def gram_hashes(h: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+def gram_hashes(h: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15, mixed: bool = True) -> np.ndarray:
     """Hashes of all runs of ``n`` consecutive word hashes.
 
     A polynomial in an odd 64-bit base evaluated by Horner's rule over prefix
-    positions, each step one vector operation, then mixed.
+    positions, each step one vector operation, then mixed. Without mixing the
+    hashes of words should fill their high bits, and so do those of runs.
     """
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
     base = np.uint64(seed | 1)
-    z, width, powers = mix64(h + np.uint64(seed & 0xFFFF)), 1, base
+    z, width, powers = mix64(h + np.uint64(seed & 0xFFFF)) if mixed else h, 1, base
     # doubling: z holds runs of ``width`` words; join two runs to get twice that
     parts: list[tuple[int, np.ndarray, np.uint64]] = [(1, z, powers)]
     with np.errstate(over="ignore"):
@@ -176,7 +177,7 @@ def gram_hashes(h: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> np.nda
                 piece = z[done : done + m]
                 out = piece if out is None else out * power + piece
                 done += width
-        return mix64(out)
+        return mix64(out) if mixed else out
 
 
 def window_argmin(h: np.ndarray, w: int) -> np.ndarray:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, discard, gram_hashes, materialize, session, small_batches, written
 
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?]")
+TOKEN = re.compile(r"[^\W\d]\w*+|\d++(?:[.,]\d+)*+|\w++|[.!?]")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees metre metres meter meters kilometre kilometres kilometer kilometers".split())
 #: Words that start sentences without being names.
@@ -52,6 +52,9 @@ ORDINARY = frozenset(
     "a about above according after again all also although altogether among an and another any are as assume at because before below besides between both but by calculate can choose compute consider could describe despite determine did do does due during each either eventually every everyone evaluate except explain find finally first for four from furthermore give given had has have he hence her here hers his how however i identify if in including initially instead into is it its last lastly later let list long many may me meanwhile might more moreover most much must my name near neither next no nobody none nor not nothing now of off often on once one only or originally other others otherwise our out over per perhaps please prove same second select several shall she should show similarly since so solve some someone sometimes state still such suppose than that the their them then there therefore these they third this those though through thus to today together tomorrow two under unless until up upon us using was we were what whatever when whenever where whether which while who whom whose why will with within without would write yes yesterday yet you your".split()
 )
 WORD, TITLE, NUMBER, UNIT, END, ORDINARY_TITLE = range(6)
+#: Windows are looked up by their first bits before they are searched for.
+BITS = 22
+HIGH = np.uint64(64 - BITS)
 PLACEHOLDER = {NUMBER: "<number>", TITLE: "<name>", UNIT: "<unit>"}
 
 
@@ -133,7 +136,7 @@ NOTHING = verbatim([], Memo(int))
 
 def windows(h: np.ndarray, slot: np.ndarray, c: Config) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts) of the windows that are specific enough."""
-    g = gram_hashes(h, c.window)
+    g = gram_hashes(h, c.window, mixed=False)
     cum = np.concatenate([[0], np.cumsum(slot == 0)])
     at = np.flatnonzero(cum[c.window :] - cum[: len(g)] >= c.literals) if len(g) else np.empty(0, np.int64)
     return g[at], at
@@ -150,7 +153,7 @@ class Table:
             n = len(t.hashes)
             if n < c.window:
                 if n and (t.slot == 0).sum() >= min(c.literals, n):
-                    short.setdefault(n, []).append((int(gram_hashes(t.hashes, n)[0]), k))
+                    short.setdefault(n, []).append((int(gram_hashes(t.hashes, n, mixed=False)[0]), k))
                 continue
             g, s = windows(t.hashes, t.slot, c)
             hashes.append(g), item.append(np.full(len(g), k)), start.append(s)
@@ -168,8 +171,8 @@ class Table:
         seed = ~common | able[item] if len(items) else common
         self.hashes, self.item, self.start = hashes[seed], item[seed], start[seed]
         self.more = hashes[~seed], item[~seed], start[~seed]
-        self.bits = np.zeros(1 << 22, bool)  # most windows of clean texts stop here
-        self.bits[hashes & np.uint64((1 << 22) - 1)] = True
+        self.bits = np.zeros(1 << BITS, bool)  # most windows of clean texts stop here
+        self.bits[hashes >> HIGH] = True
         self.short = {n: (np.array(sorted(x[0] for x in v), np.uint64), [x[1] for x in sorted(v)]) for n, v in short.items()}
 
     def __len__(self) -> int:
@@ -198,7 +201,7 @@ class Table:
         """(item, document start, item start, words) of matching windows: all of every item that could count."""
         out = []
         g, at = windows(h, slot, self.c)
-        may = np.flatnonzero(self.bits[g & np.uint64((1 << 22) - 1)])
+        may = np.flatnonzero(self.bits[g >> HIGH])
         if len(may):
             lo, hi = (np.searchsorted(self.hashes, g[may], side) for side in ("left", "right"))
             for k in np.flatnonzero(hi > lo).tolist():
@@ -214,7 +217,7 @@ class Table:
                 for i, a, b in zip(known.tolist(), (first + lo[k]).tolist(), (last + lo[k]).tolist(), strict=True):
                     out += [(i, p, int(start[j]), self.c.window) for j in range(a, b)]
         for n, (table, items) in self.short.items():
-            g = gram_hashes(h, n)
+            g = gram_hashes(h, n, mixed=False)
             lo, hi = (np.searchsorted(table, g, side) for side in ("left", "right"))
             for p in np.flatnonzero(hi > lo).tolist():
                 out += [(items[j], p, 0, n) for j in range(lo[p], hi[p])]
