@@ -4,7 +4,6 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from mnemosail.operators import chunking, evidence
 from mnemosail.operators.code_split import CUTS, EXTENSIONS, LANGUAGE, code_spans, language_of, parts_of
