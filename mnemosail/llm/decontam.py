@@ -71,19 +71,23 @@ class Config:
     chunk_windows: int = 1_000_000
 
 
+#: Kinds of listed words and signs, whatever their case.
+KINDS = dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBER_WORDS, NUMBER) | dict.fromkeys(".!?", END)
+
+
 def code(token: str) -> int:
     """Hash of the lower-cased token with its kind in the low 3 bits."""
     low = token.lower()
-    if token[0].isdigit() or low in NUMBER_WORDS:
-        kind = NUMBER
-    elif token in ".!?":
-        kind = END
-    elif low in UNITS:
-        kind = UNIT
-    elif len(token) > 1 and token[0].isupper() and token[1:].islower():
-        kind = ORDINARY_TITLE if low in ORDINARY else TITLE
-    else:
-        kind = WORD
+    kind = KINDS.get(low)
+    if kind is None:
+        if token == low:
+            kind = NUMBER if token[0].isdigit() else WORD
+        elif token[0].isdigit():
+            kind = NUMBER
+        elif len(token) > 1 and token[0].isupper() and token[1:].islower():
+            kind = ORDINARY_TITLE if low in ORDINARY else TITLE
+        else:
+            kind = WORD
     return (xxhash.xxh3_64_intdigest(low) & ~7) | kind
 
 
