@@ -21,9 +21,8 @@ def scratch(i: Inputs) -> str:
 
 
 def source(i: Inputs, table: str) -> DataFrame:
-    """The table's files as a stream of files."""
-    schema = i.table(table).schema
-    return i.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(i.dir)
+    """The table's files as a stream of files, be it one file or a folder of them; as a pattern, for a stream's plain path has to be a folder."""
+    return i.spark.readStream.schema(i.table(table).schema).parquet(f"{i.dir}/{{{table}.parquet}}")
 
 
 def collected(i: Inputs, stream: DataFrame, transform=lambda b: b) -> DataFrame:

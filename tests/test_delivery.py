@@ -11,11 +11,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from mnemosail import plans
 from mnemosail.plans.stream_queries import ROCKS
 from mnemosail.sources import changed_files as C
 from mnemosail.sources import item_sink
 from mnemosail.sources.keyed_table import KeyedTable
 from mnemosail.streaming.progress import stream_new_messages_expiring
+from tests.conftest import DATA
 
 # changed files
 
@@ -122,6 +124,14 @@ def test_progress_expires(spark, tmp_path):
     assert [sorted(got[n]) for n in range(4)] == [[("a", 0), ("a", 1), ("b", 0), ("c", 0)], [("a", 2)], [("a", 3), ("c", 0), ("c", 1)], [("a", 0), ("b", 0)]]
 
 
+@pytest.mark.parametrize("name", ["stream_new_messages", "stream_hourly_vs_nightly"])
+def test_streams_read_tables_in_several_files(spark, tmp_path, name):
+    for table in ("conversations", "events"):
+        spark.read.parquet(f"{DATA}/sf0.001/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    got, want = (plans.QUERIES[name](spark, at).collect() for at in (f"file://{tmp_path}", f"{DATA}/sf0.001"))
+    assert len(got) and sorted(got) == sorted(want)
+
+
 # items
 
 
