@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, session, small_batches
+from ..functions.batches import small_batches
+from .common import materialize, session
 
 LEAF = 256
 

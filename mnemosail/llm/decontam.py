@@ -42,7 +42,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, discard, gram_hashes, materialize, session, small_batches, written
+from ..functions.batches import small_batches
+from .common import Memo, discard, gram_hashes, materialize, session, written
 
 TOKEN = re.compile(r"[^\W\d]\w*+|\d++(?:[.,]\d+)*+|\w++|[.!?]")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())

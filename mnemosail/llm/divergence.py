@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, session, small_batches
+from ..functions.batches import small_batches
+from .common import materialize, session
 
 #: A-Z become lower case, bytes that are no part of a term become blanks; bytes of 128 and more belong to terms.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))

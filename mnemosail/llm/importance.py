@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, materialize, session, small_batches
+from ..functions.batches import small_batches
+from .common import Memo, materialize, session
 
 #: A-Z become lower case, bytes that are no part of a word become blanks; bytes of 128 and more belong to words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))

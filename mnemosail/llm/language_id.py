@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, small_batches
+from ..functions.batches import small_batches
+from .common import session
 from .linear_bag import WORD, Vocabulary, bounded_sample, groups, has_letter, word_lists
 
 UNKNOWN = "und"

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import html_layouts
-from .common import Memo, session, small_batches
+from ..functions.batches import small_batches
+from .common import Memo, session
 from .html_blocks import LEAF, PATH, Block, Places, blocks, bucket
 
 WORDS, FIGURES = 128, 16

@@ -41,7 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, gram_hashes, materialize, mix64, session, small_batches, word_hashes, word_memo, written
+from ..functions.batches import small_batches
+from .common import discard, gram_hashes, materialize, mix64, session, word_hashes, word_memo, written
 from .graph import components
 
 

@@ -34,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, session, small_batches
+from ..functions.batches import small_batches
+from .common import materialize, session
 
 CHUNK = re.compile(r"[^ \t\r\n]+")
 MODEL = "word_bpe_49k.json"

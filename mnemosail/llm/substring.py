@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix64, session, small_batches, window_argmin, word_hashes, word_memo
+from ..functions.batches import small_batches
+from .common import gram_hashes, mix64, session, window_argmin, word_hashes, word_memo
 
 ROW_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BLOCK = 20  # cells of one block: 2 ** BLOCK

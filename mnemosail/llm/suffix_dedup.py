@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gram_hashes, materialize, merge_spans, mix64, session, small_batches, window_argmin, word_hashes, word_memo
+from ..functions.batches import small_batches
+from .common import gram_hashes, materialize, merge_spans, mix64, session, window_argmin, word_hashes, word_memo
 from .substring import keyed, row_key
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")

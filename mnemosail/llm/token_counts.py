@@ -30,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, session, small_batches, stable
+from ..functions.batches import small_batches
+from .common import materialize, session, stable
 
 META = "▁"
 SEGMENT = re.compile(r" ( *[^ ]+| *\Z)")

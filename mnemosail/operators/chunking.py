@@ -7,10 +7,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import small_batches
 from .code_split import code_spans
 
 HEADING = r"(?md)^#{1,6}[ \t]+.*$"
@@ -41,6 +42,7 @@ def fixed_windows(c: Column, size: int = 800, overlap: int = 200) -> Column:
     """Array of (idx, start, stop). Each end depends on the one before, so this is an Arrow function, called once a text."""
     if overlap * 2 >= size:
         raise ValueError("overlap must be less than half the size")
+    small_batches(SparkSession.active())
 
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
@@ -109,6 +111,7 @@ def issue_sections(rows: DataFrame, header: str, comments: str, size: int = 1200
 
 def code_chunks(files: DataFrame, path: str = "filepath", code: str = "code", size: int = 1000, overlap: int = 300) -> DataFrame:
     """id ``path:i``, chunk_index, code, search_text of each chunk of each file, split by the language of its extension."""
+    small_batches(files.sparkSession)
 
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series, paths: pd.Series) -> pd.Series:
@@ -121,6 +124,7 @@ def code_chunks(files: DataFrame, path: str = "filepath", code: str = "code", si
 
 def embed(rows: DataFrame, text: str, dim: int = 64, embedder=None) -> DataFrame:
     """Adds ``embedding``. ``embedder``: list of texts to list of vectors; the default hashes words, for tests."""
+    small_batches(rows.sparkSession)
     embedder = embedder or (lambda texts: [hash_vector(t, dim) for t in texts])
 
     @F.pandas_udf("array<float>")
@@ -144,6 +148,7 @@ def hash_vector(text: str, dim: int) -> list[float]:
 
 def rich_text(c: Column) -> Column:
     """Plain text of a document tree given as JSON. The tree is recursive, which no column expression is."""
+    small_batches(SparkSession.active())
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

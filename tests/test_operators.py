@@ -457,6 +457,28 @@ def test_stream_state(spark, tmp_path):
     assert sorted(r.raw_idx for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_windows_travel_in_small_batches(spark):
+    import pandas as pd
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        docs = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(300))).alias("id"), F.repeat(F.lit("line \n"), 20_000).alias("text")).coalesce(1)
+        spans = C.fixed_windows(F.col("text"))
+        assert int(spark.conf.get(key)) <= 4 << 20
+
+        @F.pandas_udf("long")
+        def together(s: pd.Series) -> pd.Series:
+            return pd.Series([len(s)] * len(s))
+
+        got = docs.select(F.size(spans).alias("n"), together(F.col("text")).alias("k")).agg(F.max("k").alias("k"), F.count("*").alias("rows"), F.min("n").alias("n")).first()
+    finally:
+        spark.conf.set(key, before)
+    # 36 MB of texts; a batch may pass its bound by one text
+    assert got.k <= 36 and got.rows == 300 and got.n == len(C.window_spans("line \n" * 20_000, 800, 200))
+
+
 def test_rest_does_not_import_llm():
     import re
     from pathlib import Path
