@@ -135,3 +135,14 @@ def test_no_vectors(spark, tmp_path):
     index = VectorIndex.build(spark.createDataFrame([(1, "p", None)], "id long, filepath string, embedding array<float>"), f"file://{tmp_path}/v")
     q = spark.createDataFrame([([1.0, 2.0],)], "q array<float>")
     assert index.exact(q, 5).count() == 0 and index.probe(q.select(F.lit(1).alias("query_id"), "q"), 5).count() == 0
+
+
+def test_postings_of_a_text_need_no_grouping(spark):
+    from mnemosail.functions import vectors as V
+    from mnemosail.operators.postings import postings
+
+    rows = spark.createDataFrame([(k, t.lower()) for k, (_, _, t) in enumerate(texts(40, 9))] + [(90, ""), (91, "é-a_1 A"), (92, None)], "id long, low string").where("low is not null")
+    want = rows.select("id", F.posexplode(V.words(F.col("low"))).alias("at", "term")).groupBy("term", "id").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    got = postings(rows.withColumn("low", F.lower("low")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
