@@ -25,8 +25,8 @@ from mnemosail.llm.common import crc_mod, discard, materialize, read_table, writ
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sample = toxicity.labelled_sample(docs, read_table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
-    return toxicity.drop_toxic(docs, toxicity.fit(*sample), 0.7)
+    sample = toxicity.labelled_rows(docs, read_table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
+    return toxicity.drop_toxic(docs, toxicity.fit_rows(sample), 0.7)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Shared folder of a session that names none and whose executors are threads of this process.
@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_DIR).rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
+def materialize(df: DataFrame, tag: str, share: int = 1, seen: Column | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor. Used where a table
@@ -36,10 +36,16 @@ def materialize(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
 
     share: tables of narrow rows are written by one task for so many shuffle
     partitions; many tiny files cost more than they hold.
+
+    seen: an aggregate of the rows, taken while they are written; ``table_seen``
+    of the result has it. Asking the table afterwards would be a further job.
     """
     spark = session(df)
     if share > 1:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
+    if seen is not None:
+        noted = Observation()
+        df = df.observe(noted, seen.alias("seen"))
     path = f"{shared_dir(spark)}/mnemosail/{tag}-{uuid.uuid4().hex}"
     place, fs = _filesystem(spark, path)
     fs.deleteOnExit(place)
@@ -47,6 +53,8 @@ def materialize(df: DataFrame, tag: str, share: int = 1) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
+    if seen is not None:
+        out.table_seen = noted.get["seen"]
     return out
 
 

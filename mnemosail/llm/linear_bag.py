@@ -107,7 +107,7 @@ def groups(items: list, size, most: int):
         yield run
 
 
-def bounded_sample(rows: DataFrame, label: str, text: str, doc_id: str, ticket: Column, each: int, most_bytes: int) -> pd.DataFrame:
+def bounded_rows(rows: DataFrame, label: str, text: str, doc_id: str, ticket: Column, each: int, most_bytes: int) -> DataFrame:
     """doc_id, label and text of each label's first rows by ticket: ``each`` rows and ``most_bytes`` bytes of text of a label at most.
 
     Ids and sizes are ranked, and texts joined last. Texts of over a quarter of ``most_bytes`` come after all others,
@@ -127,10 +127,19 @@ def bounded_sample(rows: DataFrame, label: str, text: str, doc_id: str, ticket:
             left[r["_label"]] = max(0, room - r["_size"])
             taken.append((r["_id"], r["_label"], r["_mark"]))
     if not taken:
-        return pd.DataFrame({doc_id: [], label: [], text: []})
+        return rows.where(F.lit(False))
     keys = rows.sparkSession.createDataFrame(taken, ranked.select("_id", "_label", "_mark").schema)
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(label) == F.col("_label")) & (mark == F.col("_mark"))
     whole = F.when(size > most_bytes, F.left(text, F.lit(most_bytes // 4))).otherwise(F.col(text))
     found = rows.join(F.broadcast(keys), same).dropDuplicates(["_id", "_label", "_mark"])
-    part = found.select(doc_id, label, whole.alias(text)).toPandas()
+    return found.select(doc_id, label, whole.alias(text))
+
+
+def in_order(part: pd.DataFrame, label: str, text: str, doc_id: str) -> pd.DataFrame:
+    """Rows of ``bounded_rows`` in the order in which models are fitted on them."""
     return part.sort_values([doc_id, label, text], kind="stable")
+
+
+def bounded_sample(rows: DataFrame, label: str, text: str, doc_id: str, ticket: Column, each: int, most_bytes: int) -> pd.DataFrame:
+    """``bounded_rows`` on the driver, in order."""
+    return in_order(bounded_rows(rows, label, text, doc_id, ticket, each, most_bytes).toPandas(), label, text, doc_id)

@@ -204,15 +204,15 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str = "doc_id
 
     for leaders, tries in ((c.leaders, c.tries), (None, c.tries), (None, None)):
         pairs = candidates(buckets, labels, sketches, tested, leaders, tries, c)
-        pairs = materialize(pairs, "pairs", 4)
-        if pairs.isEmpty():
+        pairs = materialize(pairs, "pairs", 4, F.count("*"))
+        if not pairs.table_seen:
             continue
         held = sets.select("node", "members").join(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "node", "left_semi")
         both = pairs.join(held.select(F.col("node").alias("x"), F.col("members").alias("mx")), "x").join(held.select(F.col("node").alias("y"), F.col("members").alias("my")), "y")
-        now = materialize(confirm(both, c.percent), "tested", 4)
+        now = materialize(confirm(both, c.percent), "tested", 4, F.count_if("linked"))
         links = now.where("linked").select("x", "y")
         tested = tested.unionByName(now)
-        if links.isEmpty():
+        if not now.table_seen:
             continue
         lx, ly = (labels.select(F.col("node").alias(v), F.col("root").alias(f"c{v}")) for v in "xy")
         ends = links.join(lx, "x", "left").join(ly, "y", "left").select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b"))

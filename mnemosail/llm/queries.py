@@ -29,7 +29,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    model = toxicity.fit(*toxicity.labelled_sample(docs, labels, crc_mod(F.col("doc_id"), 3) != 1))
+    model = toxicity.fit_rows(toxicity.labelled_rows(docs, labels, crc_mod(F.col("doc_id"), 3) != 1))
     held = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

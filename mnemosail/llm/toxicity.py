@@ -15,6 +15,7 @@ probabilities.
 Only a bounded sample of the labelled rows is fitted (about ``sample_toxic`` +
 ``sample_clean`` texts, chosen by a hash of the id, never twice that, and ``sample_bytes`` of
 text of either label at most; long texts come last, and what no longer fits is passed over); every text is scored whole.
+The queries fit it in one task (``fit_rows``), so that the driver holds the model only.
 
 Null and empty texts score like a text without words (the lowest passage logit
 that the curve was fitted on); rows with a null id are scored too, and their
@@ -27,13 +28,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import small_batches
 from .common import session
-from .linear_bag import WORD, Vocabulary, bounded_sample, groups, word_lists
+from .linear_bag import WORD, Vocabulary, bounded_rows, groups, in_order, word_lists
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
 
 
+#: Products whose sums do not depend on the number of threads, as those of BLAS do.
+times = np.einsum
+
+
 def fit(texts: list[str], labels: list[int], c: Config = Config()) -> Model:
     """Train on the given texts; deterministic for the same rows in the same order."""
     y = np.asarray(labels, int)
@@ -106,7 +112,7 @@ def fit(texts: list[str], labels: list[int], c: Config = Config()) -> Model:
     ge, gw, gb = np.full(c.buckets, 1e-6, np.float32), np.full(w.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
 
     def word_margins() -> np.ndarray:
-        u = emb @ (w[:, 1] - w[:, 0])
+        u = times("ij,j->i", emb, w[:, 1] - w[:, 0])
         return np.add.reduceat(u[where], first[:-1]) / count
 
     def passage_margins(d: np.ndarray, s: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -128,13 +134,13 @@ def fit(texts: list[str], labels: list[int], c: Config = Config()) -> Model:
         coef *= (rng.random(len(coef)) < c.keep) / np.float32(c.keep)
         edges = np.searchsorted(seg, np.arange(len(batch)))
         x = np.add.reduceat(emb[bucket] * coef[:, None], edges, axis=0)
-        z = x @ w + b
+        z = times("ij,jk->ik", x, w) + b
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(batch)), target] -= 1
         p *= (weight / weight.sum())[:, None] * len(batch) ** 0.5
-        dw, db, dx = x.T @ p, p.sum(axis=0), p @ w.T
+        dw, db, dx = times("ij,ik->jk", x, p), p.sum(axis=0), times("ij,kj->ik", p, w)
         gw[...] += dw**2
         gb[...] += db**2
         uniq, inv = np.unique(bucket, return_inverse=True)
@@ -173,7 +179,7 @@ def fit(texts: list[str], labels: list[int], c: Config = Config()) -> Model:
             for k in range(0, len(rows), c.batch):
                 part = order[k : k + c.batch]
                 step_on([rows[j] for j in part], target[part], weight[part])
-    u = (emb @ (w[:, 1] - w[:, 0])).astype(np.float64)[:, None]
+    u = times("ij,j->i", emb, w[:, 1] - w[:, 0]).astype(np.float64)[:, None]
     model = Model(u, float(b[1] - b[0]), 1.0, 0.0, 0.0, c)
     m = np.add.reduceat(u[where, 0], first[:-1]) / count
     worst = np.array([model.worst(m[d]) if len(d) else np.nan for d in docs])
@@ -190,14 +196,14 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     wt = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum())))
     t, pen = np.zeros(2), np.diag([0.02 * len(y) / 10, 1e-6])
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ t, -30, 30)))
-        grad = z.T @ (wt * (p - y)) + pen @ t
-        t = t - np.linalg.solve((z * (wt * p * (1 - p))[:, None]).T @ z + pen + 1e-9 * np.eye(2), grad)
+        p = 1 / (1 + np.exp(-np.clip(times("ij,j->i", z, t), -30, 30)))
+        grad = times("ij,i->j", z, wt * (p - y)) + times("ij,j->i", pen, t)
+        t = t - np.linalg.solve(times("ij,ik->jk", z * (wt * p * (1 - p))[:, None], z) + pen + 1e-9 * np.eye(2), grad)
     return float(t[0] / scale), float(t[1] - t[0] * mid / scale)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, c: Config = Config(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int]]:
-    """About ``sample_toxic`` and ``sample_clean`` labelled texts (all, if there are fewer), by a hash of their ids."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, usable: Column, c: Config = Config(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """Rows (doc_id, _y, text) of about ``sample_toxic`` and ``sample_clean`` labelled texts (all, if there are fewer), by a hash of their ids."""
     y = labels.select(F.col(doc_id), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & usable).distinct()
     have = {r["_y"]: r["count"] for r in y.groupBy("_y").count().collect()}
     most = {1: c.sample_toxic, 0: c.sample_clean}
@@ -207,8 +213,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, c: Confi
     chosen = y.where(ticket < F.when(F.col("_y") == 1, share[1]).otherwise(share[0])).limit(2 * sum(most.values()))
     chosen = F.broadcast(chosen)
     rows = docs.where(F.col(text).isNotNull()).select(doc_id, text).join(chosen, doc_id)
-    rows = bounded_sample(rows, "_y", text, doc_id, ticket, 2 * max(most.values()), c.sample_bytes)
-    return rows[text].tolist(), rows["_y"].tolist()
+    return bounded_rows(rows, "_y", text, doc_id, ticket, 2 * max(most.values()), c.sample_bytes)
+
+
+def texts_and_labels(part: pd.DataFrame) -> tuple[list[str], list[int]]:
+    doc_id, label, text = part.columns
+    part = in_order(part, label, text, doc_id)
+    return part[text].tolist(), part[label].tolist()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, c: Config = Config(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int]]:
+    """``labelled_rows`` as lists on the driver."""
+    return texts_and_labels(labelled_rows(docs, labels, usable, c, doc_id, text, label).toPandas())
+
+
+def fit_rows(sample: DataFrame, c: Config = Config()) -> Model:
+    """``fit`` on the rows of ``labelled_rows``, in one task: only the model comes to the driver, which else keeps what the training took."""
+    small_batches(session(sample))
+
+    def run(batches):
+        batches = list(batches)
+        m = fit(*(texts_and_labels(pa.Table.from_batches(batches).to_pandas()) if batches else ([], [])), c)
+        yield pa.RecordBatch.from_arrays([pa.array([m.u.tobytes()], pa.binary()), pa.array([str(m.u.dtype)]), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.shift, m.empty))], ["u", "kind", "bias", "slope", "shift", "empty"])
+
+    found = sample.coalesce(1).mapInArrow(run, "u binary, kind string, bias double, slope double, shift double, empty double").collect()
+    if not found:  # an empty sample may have no partition
+        return fit([], [], c)
+    ((u, kind, *rest),) = found
+    return Model(np.frombuffer(u, kind).reshape(-1, 1), *rest, c)
 
 
 def scorer(shared):

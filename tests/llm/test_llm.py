@@ -285,6 +285,20 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 150: 100, 200: 100}
 
 
+def test_rounds_end_without_further_jobs(spark, monkeypatch):
+    ids = spark.range(10)
+    assert common.materialize(ids, "seen", 4, F.count_if(F.col("id") > 6)).table_seen == 3
+    for empty in (ids.where("id < 0"), ids.where("false"), ids.join(ids.where("id < 0"), "id")):
+        assert common.materialize(empty, "seen", seen=F.count("*")).table_seen == 0
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "isEmpty", lambda self: pytest.fail("a job of its own"))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, minhash.Config(words=4)).collect()}
+    want = {k: c for k, (_, c) in brute_components(TEXTS, 4).items()}
+    assert got == want
+    loops = spark.createDataFrame([(7, 7)], "a long, b long")
+    assert graph.components(loops).count() == 0 and graph.components(loops.where("a < 0")).count() == 0
+
+
 def test_own_sketch_bounds_the_difference():
     r = np.random.default_rng(2)
     c, mask = minhash.Config(), np.uint64(1023)

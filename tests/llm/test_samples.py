@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mnemosail.llm import language_id, linear_bag, queries, toxicity
 from tests.conftest import DATA
 
@@ -88,6 +89,20 @@ def test_toxicity_scores_text_by_text(spark, documents):
     assert len(got) == documents.count()
 
 
+def test_training_stays_off_the_driver(spark, documents, monkeypatch):
+    labels, usable = spark.read.parquet(f"{DATA}/sf0.001/labels.parquet"), queries.crc_mod(F.col("doc_id"), 3) != 1
+    want, rows_ = toxicity.fit(*toxicity.labelled_sample(documents, labels, usable)), toxicity.labelled_rows(documents, labels, usable)
+    for got, same in ((toxicity.fit_rows(rows_), want), (toxicity.fit_rows(rows_.where("false")), toxicity.fit([], []))):
+        assert np.array_equal(got.u, same.u) and got.u.dtype == same.u.dtype and got.config == same.config
+        assert (got.bias, got.slope, got.shift, got.empty) == (same.bias, same.slope, same.shift, same.empty)
+    none = toxicity.fit_rows(toxicity.labelled_rows(documents, labels.where("false"), usable))
+    assert (none.u.shape, none.slope, none.shift) == ((none.config.buckets, 1), 0.0, toxicity.fit([], []).shift)
+    here = []  # workers append to copies
+    monkeypatch.setattr(toxicity, "fit", lambda *a, f=toxicity.fit: here.append(len(a)) or f(*a))
+    kept = corpus_pipeline.drop_toxic(spark, documents, f"{DATA}/sf0.001").count()
+    assert 0 < kept < documents.count() and not here
+
+
 def test_languages_text_by_text(spark, documents):
     model = language_id.fit(*language_id.language_sample(documents, queries.crc_mod(F.col("doc_id"), 4) != 2))
     c, got = model.config, {r.doc_id: r for r in queries.op9_language_id(spark, f"{DATA}/sf0.001").collect()}
