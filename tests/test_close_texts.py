@@ -5,7 +5,9 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from mnemosail.functions import text as T
 from mnemosail.operators import close_texts as C
 from mnemosail.operators import memory as M
 
@@ -51,3 +53,27 @@ def test_tiles_have_every_pair(spark):
     for tile in (2048, 7):
         got = M.close_pairs(rows, 0.85, tile=tile).collect()
         assert {(g.fx, g.fy) for g in got} == want and len(got) == len(want) and any(i > j for i, j in want)
+
+
+@pytest.mark.parametrize("sizes", [(200, 200), (150, 199), (30, 60)])
+def test_pairs_of_any_beginning(spark, sizes):
+    r, parts = random.Random(3), "th an er on re in ing ti ed is . , wh ly sh q z x ñ 𝒳 ".split(" ")
+    texts = ["".join(r.choices(parts, k=130))[: r.randint(*sizes)] for _ in range(30)]
+    for t in list(texts):
+        for edits in (1, 2, 6, 9):
+            c = list(t)
+            for k in [r.randrange(8), *(r.randrange(len(c)) for _ in range(edits * len(c) // 60))]:
+                c[k : k + r.randrange(0, 3)] = r.choice(parts)
+            texts.append("".join(c)[: sizes[1]])
+    texts = list(dict.fromkeys(texts))
+    want = {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if i < j and SequenceMatcher(None, s, t).ratio() > 0.85}
+    facts = spark.createDataFrame([(k, t, "2026-01-01") for k, t in enumerate(texts)], "id long, text string, date string")
+    rows = spark.createDataFrame([(t, k, k) for k, t in enumerate(texts)], "n string, first long, last long")
+    for tile, step in ((16_384, 2048), (40, 9)):
+        got = M.close_pairs(rows, 0.85, 0, tile, step=step).collect()
+        assert {(g.fx, g.fy) for g in got} == want and len(got) == len(want)
+    assert sum(texts[i][:50] != texts[j][:50] for i, j in want) > len(want) // 2
+    norm = {x.id: x.n for x in facts.select("id", T.normalized_statement(F.col("text")).alias("n")).collect()}
+    if all(norm[k] == t for k, t in enumerate(texts)):
+        assert {(g.a, g.b) for g in M.near_duplicates(facts, block=0).collect()} == want
+        assert {g.id for g in M.near_duplicate_removals(facts, block=0).collect()} == {i for i, _ in want}
