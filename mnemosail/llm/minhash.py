@@ -22,8 +22,9 @@ pair of different components untested, so components are those of all links.
 
 With 20 bands of 3, a pair at similarity 0.8 misses every band with
 probability 6e-7, and one with more shared shingles more rarely; nothing catches such a pair.
-The last round compares the nodes of a bucket that have no link yet with all others of it by their sketches, which is
-quadratic in families of texts just below the threshold; what the sketches stop never becomes a row.
+The last rounds compare the nodes of a bucket that have no link yet with all others of it by their sketches, which is
+quadratic in families of texts just below the threshold. Buckets of more than ``small`` nodes are compared as arrays, by tiles
+of ``tile`` nodes, at some hundredths of a microsecond a pair; what the sketches stop never becomes a row.
 
 Empty and null texts have the empty set and link with nothing. Rows with a null
 id belong to their text's group (its id, if any row has one). Rows that repeat
@@ -58,6 +59,8 @@ class Config:
     far: int = 86  # XOR bits of the sketches above which a pair is no candidate
     leaders: int = 16
     tries: int = 4
+    small: int = 32
+    tile: int = 1024
 
 
 def shingle_set(text: bytes | None, n: int, memo) -> np.ndarray:
@@ -239,17 +242,62 @@ def without_near_duplicates(docs: DataFrame, c: Config = Config(), doc_id: str =
     return rows.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*docs.columns)
 
 
+def joined(rows: DataFrame, others: DataFrame, c: Config) -> DataFrame:
+    """(x, y, cx, cy, bits) of candidate pairs of ``rows``, outside their buckets' largest components, with ``others``."""
+    x = rows.where("c <> big").select("key", F.col("c").alias("cx"), *as_side_columns("x"))
+    y = others.select("key", F.col("c").alias("cy"), *as_side_columns("y"))
+    bits = xor_bits(F.col("sx"), F.col("sy"), c.bits // 64)
+    return x.join(y, "key").where((F.col("cx") != F.col("cy")) & may_link(c)).select("x", "y", "cx", "cy", bits.alias("bits"))
+
+
+def tiled(rows: DataFrame, c: Config) -> DataFrame:
+    """The same pairs of ``rows`` as ``joined`` has, either way round. A bucket is cut into parts; each pair of parts is one task's tile."""
+    parts = F.ceil(F.col("m") / c.tile).cast("int")
+    met = rows.withColumnRenamed("own", "parity").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = met.select("key", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "node", "c", (F.col("c") != F.col("big")).alias("out"), "n", "sketch", "parity")
+    columns = ["x", "y", "cx", "cy", "bits"]
+
+    def run(key, table):
+        _, i, j = (k.as_py() for k in key)
+        own, node, group, out, n = (table.column(k).to_numpy() for k in ("own", "node", "c", "out", "n"))
+        sketch, parity = (table.column(k).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1) for k in ("sketch", "parity"))
+        u, v = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        # all pairs with an end outside the largest component
+        sides = [(u[out[u]], u)] if i == j else [(u[out[u]], v), (u[~out[u]], v[out[v]])]
+        found = [close_sketches(xs[k : k + 128], ys, group, n, sketch, parity, c) for xs, ys in sides for k in range(0, len(xs), 128)]
+        x, y, bits = (np.concatenate(f) for f in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        return pa.table([node[x], node[y], group[x], group[y], bits.astype(np.int32)], names=columns)
+
+    spread = int(session(rows).conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(spread, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(run, "x long, y long, cx long, cy long, bits int")
+
+
+def close_sketches(xs, ys, group, n, sketch, parity, c: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, bits) of rows xs and ys of different groups whose sketches allow a link, as ``may_link`` has it."""
+    bits = np.zeros((len(xs), len(ys)), np.uint16)
+    for w in range(sketch.shape[1]):
+        bits += np.bitwise_count(sketch[xs, w, None] ^ sketch[ys, w])
+    a, b = np.nonzero((bits <= c.far) & (group[xs, None] != group[ys]))
+    bits, x, y = bits[a, b], xs[a], ys[b]
+    least = np.zeros(len(x), np.int64)
+    for w in range(parity.shape[1]):
+        least += np.bitwise_count(parity[x, w] ^ parity[y, w])
+    total = n[x] + n[y]
+    may = 100 * (total - least) >= c.percent * (total + least)
+    return x[may], y[may], bits[may]
+
+
 def candidates(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tested: DataFrame, leaders: int | None, tries: int | None, c: Config) -> DataFrame:
     """Untested pairs (x, y) of one bucket and different components, x outside the bucket's largest."""
     rows = buckets.select("key", "node", "m").join(labels, "node", "left").select("key", "node", "m", F.coalesce("root", "node").alias("c"))
     parts = rows.groupBy("key", "c").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(F.max_by("c", F.col("size")).alias("big"), F.count("*").alias("parts")).where("parts > 1").select("key", "big")
     rows = rows.join(materialize(mixed, "mixed", 4), "key").join(sketches, "node")
-    y = rows if leaders is None else rows.where(F.pmod(F.xxhash64("node", "key"), F.col("m")) < leaders)
-    x = rows.where("c <> big").select("key", F.col("c").alias("cx"), *as_side_columns("x"))
-    y = y.select("key", F.col("c").alias("cy"), *as_side_columns("y"))
-    bits = xor_bits(F.col("sx"), F.col("sy"), c.bits // 64)
-    found = x.join(y, "key").where((F.col("cx") != F.col("cy")) & may_link(c)).select("x", "y", "cx", "cy", bits.alias("bits"))
+    if leaders is None:
+        large = F.col("m") > c.small
+        found = joined(rows.where(~large), rows.where(~large), c).unionByName(tiled(rows.where(large), c))
+    else:
+        found = joined(rows, rows.where(F.pmod(F.xxhash64("node", "key"), F.col("m")) < leaders), c)
     found = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("cx")).otherwise(F.col("cy")).alias("cx"), F.when(F.col("x") < F.col("y"), F.col("cy")).otherwise(F.col("cx")).alias("cy"), "bits").distinct()
     done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     found = found.join(done, ["x", "y"], "left_anti")

@@ -263,6 +263,32 @@ def test_group_of_near_copies_with_stragglers(spark):
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(i, n, c) for i, (n, c) in brute_components(texts, 4).items()}
 
 
+def test_large_buckets_are_compared_by_tiles(spark):
+    base, texts = words(61, 120, 400).split(), {}
+    r = random.Random(62)
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randrange(0, 7)):
+            w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+        texts[i + 1] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for c in (minhash.Config(words=4, leaders=3, tries=1, small=2, tile=9), minhash.Config(words=4, leaders=3, tries=1, small=2)):
+        got = minhash.near_duplicates(df, c).collect()
+        assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(i, n, k) for i, (n, k) in brute_components(texts, 4).items()}
+    nodes = minhash.features(df, c, "doc_id", "text").select(F.col("doc_id").alias("node"), "n", "sketch", "own")
+    rows = nodes.select(F.explode(F.array(F.lit(5).cast("long"), F.col("node") % 3)).alias("key"), "node", (F.col("node") % 7).alias("c"), F.lit(2).cast("long").alias("big"), F.lit(120).cast("long").alias("m"), "n", "sketch", "own")
+    pairs = lambda found: {(min(p, q), max(p, q), b) for p, q, b in ((f.x, f.y, f.bits) for f in found.collect())}
+    want = pairs(minhash.joined(rows, rows, c))
+    assert len(want) > 100 and pairs(minhash.tiled(rows, minhash.Config(words=4, tile=9))) == pairs(minhash.tiled(rows, c)) == want
+    plan = minhash.candidates(*last_round(spark, rows), None, None, c)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan  # no join has all pairs of a large bucket
+
+
+def last_round(spark, rows):
+    labels = rows.select("node", F.col("c").alias("root")).distinct()
+    return rows.select("key", "node", "m"), labels, rows.select("node", "n", "sketch", "own").distinct(), spark.createDataFrame([], "x long, y long, linked boolean")
+
+
 def test_one_id_with_two_texts(spark):
     a, b = words(50, 60, 5000), words(51, 60, 5000)
     df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, words(52, 60, 5000))], "doc_id long, text string")
