@@ -27,12 +27,12 @@ def human_comments(comments: Column, most: int = 10, least: int = 20, trusted: l
     return F.slice(F.filter(comments, good), 1, most)
 
 
-def issue_header(kind: Column, number: Column, repo: Column, title: Column, author: Column, created: Column, body: Column) -> Column:
+def issue_header(kind: Column, number: Column, repo: Column, title: Column, author: Column, created: Column, body: Column, trim=T.strip) -> Column:
     """Title line, stable facts and description: nothing that changes with the issue's state. Ends with an empty line where there is no description."""
     name = F.when(kind == "pr", "PR").otherwise("Issue")
     head = F.concat(F.lit("# "), name, F.lit(" #"), number.cast("string"), F.lit(" ("), F.substring_index(repo, "/", -1), F.lit("): "), title)
     facts = F.concat(F.lit("Repo: "), repo, F.lit(" | Author: "), F.coalesce(author, F.lit("unknown")), F.lit(" | Created: "), F.substring(F.coalesce(created, F.lit("")), 1, 10))
-    text = T.strip(F.coalesce(body, F.lit("")))
+    text = trim(F.coalesce(body, F.lit("")))
     return F.concat_ws("\n", head, facts, F.lit(""), F.nullif(text, F.lit("")))
 
 
